@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -45,7 +46,8 @@ def normalize_text(c: Column, metadata_first: bool = False) -> Column:
     return c
 
 
-def _accent_table() -> tuple[str, str]:
+@functools.cache
+def accent_table() -> tuple[str, str]:
     """Every BMP letter whose canonical decomposition is one base letter plus marks."""
     accented, plain = [], []
     for point in range(0xC0, 0x10000):
@@ -60,7 +62,7 @@ def _accent_table() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    accented, plain = _accent_table()
+    accented, plain = accent_table()
     return F.regexp_replace(F.translate(c, accented, plain), r"\p{Mn}+", "")
 
 
