@@ -1 +1,107 @@
+"""Words, vocabulary, encoding, chunks, masked examples and document vectors."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.registry import query, table
+from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
+from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, word_frequency
+from nearfold.plans.embedding import embed_documents
+from nearfold.session import staged
+
+MAX_LENGTH, STRIDE = 128, 32
+CLS, SEP, MASK = (BASE_SPECIALS.index(t) for t in ("[CLS]", "[SEP]", "[MASK]"))
+SPECIAL_IDS = list(range(len(BASE_SPECIALS)))
+HASHED_IDS = 30_000
+
+WORDS_SQL = f"regexp_extract_all(regexp_replace(text, '{CONTROL}', '', 'g'), '{word_pattern()}', 1)"
+
+
+def hashed_ids(text: Column) -> Column:
+    """Token ids by hash, for jobs whose result must not depend on a trained vocabulary."""
+    return F.transform(
+        words(text), lambda w: F.lit(5) + F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % HASHED_IDS
+    )
+
+
+TOKENS_SQL = f"""WITH ids AS (
+  SELECT doc_id, list_transform({WORDS_SQL}, lambda w: 5 + CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % {HASHED_IDS}) AS ids FROM documents
+), starts AS (
+  SELECT doc_id, ids, unnest(generate_series(0, greatest(len(ids) - {STRIDE} - 1, 0), {MAX_LENGTH - 2 - STRIDE})) AS s FROM ids
+), chunks AS (
+  SELECT doc_id, CAST(s // {MAX_LENGTH - 2 - STRIDE} AS INT) AS chunk_no,
+    list_concat([{CLS}], ids[s + 1 : s + {MAX_LENGTH - 2}], [{SEP}]) AS input_ids,
+    len(ids[s + 1 : s + {MAX_LENGTH - 2}]) + 2 AS n FROM starts
+)"""
+
+
+def _joined(c: str | Column) -> Column:
+    return F.array_join(F.col(c) if isinstance(c, str) else c, " ")
+
+
+@query("word_frequency", f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS w FROM documents) GROUP BY w HAVING count(*) >= 3")
+def word_frequency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_frequency(table(spark, sf_dir, "documents"), min_count=3)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", hashed_ids(F.col("text")).alias("input_ids"))
+    return chunk_tokens(docs, MAX_LENGTH, STRIDE, CLS, SEP, SPECIAL_IDS)
+
+
+@query(
+    "chunk_tokens",
+    TOKENS_SQL + """
+SELECT doc_id, chunk_no, array_to_string(input_ids, ' ') AS input_ids,
+  rtrim(repeat('1 ', n)) AS attention_mask, '1 ' || repeat('0 ', n - 2) || '1' AS special_tokens_mask FROM chunks""",
+)
+def chunk_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select(
+        "doc_id", "chunk_no", *[_joined(c).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")]
+    )
+
+
+@query(
+    "mlm_examples",
+    TOKENS_SQL + f""", drawn AS (
+  SELECT doc_id, chunk_no, list_transform(input_ids, lambda x, i: {{'id': x, 'm': md5('42:' || doc_id || ':' || chunk_no || ':' || (i - 1))}}) AS d
+  FROM chunks
+), chosen AS (
+  SELECT doc_id, chunk_no, list_transform(d, lambda t: {{'id': t.id,
+    'chosen': t.id > 4 AND CAST(('0x' || substr(t.m, 1, 7)) AS INT) / 268435456.0::DOUBLE < 0.15::DOUBLE,
+    'kind': CAST(('0x' || substr(t.m, 8, 7)) AS INT) / 268435456.0::DOUBLE, 'other': CAST(('0x' || substr(t.m, 15, 7)) AS INT) % {HASHED_IDS}}}) AS d
+  FROM drawn
+)
+SELECT doc_id, chunk_no,
+  array_to_string(list_transform(d, lambda t: CASE WHEN NOT t.chosen THEN t.id WHEN t.kind < 0.8::DOUBLE THEN {MASK}
+    WHEN t.kind < 0.8::DOUBLE + 0.1::DOUBLE THEN t.other ELSE t.id END), ' ') AS masked_ids,
+  array_to_string(list_transform(d, lambda t: CASE WHEN t.chosen THEN t.id ELSE -100 END), ' ') AS labels
+FROM chosen""",
+)
+def mlm_examples_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = mlm_examples(_chunks(spark, sf_dir), 0.15, 42, MASK, HASHED_IDS)
+    return examples.select("doc_id", "chunk_no", _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_frequency(table(spark, sf_dir, "documents"), BASE_SPECIALS, lowercase=True, accents=True)
+    return staged(train_vocabulary(counts, 300), "vocabulary")
+
+
+@query("wordpiece_vocab")
+def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir)
+
+
+@query("wordpiece_encode")
+def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(spark, sf_dir))
+    return encoded.select("doc_id", F.size("input_ids").alias("n_pieces"), _joined("input_ids").alias("input_ids"))
+
+
+@query("embed_documents")
+def embed_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed_documents(docs, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH, stride=STRIDE)

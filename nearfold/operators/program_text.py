@@ -22,7 +22,7 @@ RESULT_PREFIX = r"(%[-0-9A-Za-z_.$]+\s*=\s*)?"
 CALL_PREFIX = r"((tail|musttail|notail)\s+)?"
 # -------------------------------------------------------------------------------
 
-INSTRUCTION = rf"(?i)^{RESULT_PREFIX}{CALL_PREFIX}({'|'.join(OPCODES)})([^\p{L}\p{N}_]|$)"
+INSTRUCTION = rf"(?i)^{RESULT_PREFIX}{CALL_PREFIX}({'|'.join(OPCODES)})([^\p{{L}}\p{{N}}_]|$)"
 
 
 def _opens(line: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ MASK_SHARE, RANDOM_SHARE = 0.8, 0.1
 #: Candidate pairs looked at per round of vocabulary training.
 PAIRS_PER_ROUND = 256
 
+#: Rounds between two writes of the rewritten words.
+ROUNDS_PER_STAGE = 8
+
 
 def word_frequency(
     docs: DataFrame,
@@ -50,24 +54,27 @@ def word_frequency(
 def _independent(pairs: list[tuple[str, str, int]], room: int, least: int) -> list[tuple[str, str, int]]:
     """The leading pairs that one-at-a-time merging would pick in this very order.
 
-    Merging (a, b) only changes counts of pairs that contain a or b, and a pair
-    made with the new piece never counts more than the old pair it came from.
-    So the next pair in the ranking is safe while it shares no piece with an
-    earlier pick and outranks every pair that does by count.
+    Merging (a, b) uses up an ``a`` before a ``b``, so it only changes counts of
+    pairs that end in a or begin with b; and a pair made with the new piece
+    never counts more than the one of these it came from. So the next pair in
+    the ranking is safe while it is no such neighbour of an earlier pick and
+    outranks all such neighbours by count.
     """
     chosen: list[tuple[str, str, int]] = []
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     for i, (left, right, n) in enumerate(pairs):
         if n < least or len(chosen) == room:
             break
-        if left in used or right in used:
+        if right in lefts or left in rights:
             break
         tied = [p for p in pairs[i + 1 :] if p[2] == n]
         open_ended = bool(chosen) and len(pairs) == PAIRS_PER_ROUND and pairs[-1][2] == n
-        if open_ended or any(p[0] in used or p[1] in used for p in tied):
+        if open_ended or any(p[1] in lefts or p[0] in rights for p in tied):
             break
         chosen.append((left, right, n))
-        used |= {left, right}
+        lefts.add(left)
+        rights.add(right)
     return chosen
 
 
@@ -91,28 +98,30 @@ def train_vocabulary(
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     pieces = F.transform(letters, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(CONTINUES), c)))
     # Pieces are held as " t ##h ##e ": a piece never holds a space.
+    # Few bytes but much work per word, hence at least one partition per core.
+    spread = plain.repartition(spark.sparkContext.defaultParallelism)
     table = session.staged(
-        plain.select(F.concat(F.lit(" "), F.array_join(pieces, " "), F.lit(" ")).alias("pieces"), "n"), "words"
+        spread.select(F.concat(F.lit(" "), F.array_join(pieces, " "), F.lit(" ")).alias("pieces"), "n"), "words"
     )
     split = F.filter(F.split("pieces", " "), lambda p: p != "")
-    single = [r[0] for r in plain.select(F.explode(letters).alias("c")).distinct().orderBy("c").collect()]
-    continued = [
-        r[0] for r in table.select(F.explode(split).alias("p")).distinct().orderBy("p").collect()
-        if r[0].startswith(CONTINUES) and len(r[0]) > len(CONTINUES)
-    ]
+    # One letter each so far: as many as the corpus has distinct characters.
+    first = [r[0] for r in table.select(F.explode(split).alias("p")).distinct().orderBy("p").collect()]
+    continued = [p for p in first if p.startswith(CONTINUES) and len(p) > len(CONTINUES)]
+    single = sorted({p for p in first if p not in continued} | {p[len(CONTINUES) :] for p in continued})
     tokens = list(dict.fromkeys([*specials, *single, *continued]))
     known = set(tokens)
+    rounds, cached = 0, []
     while len(tokens) < vocab_size:
-        listed = table.select(split.alias("p"), "n")
-        adjacent = listed.select(
-            F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("l"), F.slice("p", F.lit(2), F.size("p")).alias("r"))).alias("x"),
-            "n",
-        )
+        rounds += 1
+        # Every "left right" at a piece boundary; the look-ahead lets them overlap.
+        adjacent = F.regexp_extract_all("pieces", F.lit("(?<= )(?=([^ ]+ [^ ]+) )"), F.lit(1))
         ranked = (
-            adjacent.groupBy("x.l", "x.r").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), "l", "r").limit(PAIRS_PER_ROUND).collect()
+            table.select(F.explode(adjacent).alias("pair"), "n")
+            .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_frequency)
+            .orderBy(F.desc("n"), F.split("pair", " ")).limit(PAIRS_PER_ROUND).collect()
         )
-        picks = _independent([tuple(r) for r in ranked], vocab_size - len(tokens), min_frequency)
+        head = [(*row["pair"].split(" "), row["n"]) for row in ranked]
+        picks = _independent(head, vocab_size - len(tokens), min_frequency)
         if not picks:
             break
         rewritten = F.col("pieces")
@@ -123,7 +132,18 @@ def train_vocabulary(
             if merged not in known:
                 known.add(merged)
                 tokens.append(merged)
-        table = session.staged(table.select(rewritten.alias("pieces"), "n"), "words")
+        # The next count fills the cache in passing; now and then the words are
+        # written out, so that neither plans nor recomputation after a loss grow.
+        table = table.select(rewritten.alias("pieces"), "n")
+        if rounds % ROUNDS_PER_STAGE == 0:
+            table = session.staged(table, "words")
+            for old in cached:
+                old.unpersist()
+            cached = []
+        else:
+            cached.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+    for old in cached:
+        old.unpersist()
     return vocabulary_table(spark, tokens)
 
 

@@ -40,11 +40,8 @@ def read_corpus(
     ``max_files`` keeps the first files in natural path order; it lists paths
     from file metadata only, before any text is read. No match is an error.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
     paths = [path] if isinstance(path, str) else list(path)
-    files = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = whole_files(spark, paths, file_glob)
     if files.isEmpty():
         raise ValueError(f"no files matched {paths}" + (f" with {file_glob}" if file_glob else ""))
     if max_files is not None:
@@ -54,6 +51,14 @@ def read_corpus(
     return files.select(id_from_path(F.col("path"), id_pattern).alias("doc_id"), "path", text.alias("text"))
 
 
+def whole_files(spark: SparkSession, paths: str | list[str], file_glob: str | None = None) -> DataFrame:
+    """(path, text): one row per file at any depth below ``paths``."""
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    return reader.load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def limit_corpus(files: DataFrame, n: int, path: str = "path") -> DataFrame:
     """First ``n`` rows in natural path order."""
     if n <= 0:
@@ -126,7 +131,7 @@ def read_commands(spark: SparkSession, path: str, benchmark: str = "benchmark",
 
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, mapped) pairs of one JSON object."""
-    return name_map(spark.read.option("wholetext", True).text(path), "value")
+    return name_map(whole_files(spark, path), "text")
 
 
 def name_map(df: DataFrame, json_col: str, *kept: str) -> DataFrame:
@@ -140,10 +145,7 @@ def name_map(df: DataFrame, json_col: str, *kept: str) -> DataFrame:
 
 def scan_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(code_id, passes) from a folder of ``<code_id>_seq.txt`` files."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_seq.txt").text(path)
-    )
-    return read_sequences(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return read_sequences(whole_files(spark, path, "*_seq.txt"))
 
 
 def read_sequences(files: DataFrame) -> DataFrame:
