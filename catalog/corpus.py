@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import query, table
+from catalog.registry import documents, query, table
 from catalog.tokens import TOKENS_SQL, hashed_ids
 from nearfold.functions.columns import id_from_path, natural_key, natural_order
 from nearfold.functions.text import fold_text, normalize_text
@@ -42,7 +42,7 @@ UNION ALL SELECT 'p' || page_id, {normalized_sql('html')} FROM pages""",
 )
 def normalize_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all raw pages, whole."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text")
     )
@@ -51,14 +51,14 @@ def normalize_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fold_text", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def fold_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fold_text(F.col("text")).alias("folded"))
+    return documents(spark, sf_dir).select("doc_id", fold_text(F.col("text")).alias("folded"))
 
 
 @query("corpus_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text file per document, written and scanned back."""
     path = scratch_path(spark, "corpus")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("value"))
     docs.write.partitionBy("doc_id").text(path)
     read = read_corpus(spark, path, "*.txt", r"doc_id=([0-9]+)/")
     # The text writer ends every row with a line feed.
@@ -127,7 +127,7 @@ FROM split s JOIN chunks c ON c.doc_id = s.doc_id GROUP BY s.split""",
 )
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, chunks and content tokens on either side of the split."""
-    docs = hash_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 0.15, 42)
+    docs = hash_split(documents(spark, sf_dir), "doc_id", 0.15, 42)
     chunks = chunk_tokens(
         docs.select(F.struct("doc_id", "split").alias("doc"), hashed_ids(F.col("text")).alias("input_ids")),
         128, 32, 2, 3, [0, 1, 2, 3, 4], "doc",

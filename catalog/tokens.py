@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import query, table
+from catalog.registry import documents, query, table
 from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
 from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, word_frequency
 from nearfold.plans.embedding import embed_documents
@@ -43,11 +43,11 @@ def _joined(c: str | Column) -> Column:
 
 @query("word_frequency", f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS w FROM documents) GROUP BY w HAVING count(*) >= 3")
 def word_frequency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_frequency(table(spark, sf_dir, "documents"), min_count=3)
+    return word_frequency(documents(spark, sf_dir), min_count=3)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", hashed_ids(F.col("text")).alias("input_ids"))
+    docs = documents(spark, sf_dir).select("doc_id", hashed_ids(F.col("text")).alias("input_ids"))
     return chunk_tokens(docs, MAX_LENGTH, STRIDE, CLS, SEP, SPECIAL_IDS)
 
 
@@ -86,7 +86,7 @@ def mlm_examples_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = word_frequency(table(spark, sf_dir, "documents"), BASE_SPECIALS, lowercase=True, accents=True)
+    counts = word_frequency(documents(spark, sf_dir), BASE_SPECIALS, lowercase=True, accents=True)
     return staged(train_vocabulary(counts, 300), "vocabulary")
 
 
@@ -97,11 +97,11 @@ def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wordpiece_encode")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(spark, sf_dir))
+    encoded = encode(documents(spark, sf_dir), _vocabulary(spark, sf_dir))
     return encoded.select("doc_id", F.size("input_ids").alias("n_pieces"), _joined("input_ids").alias("input_ids"))
 
 
 @query("embed_documents")
 def embed_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return embed_documents(docs, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH, stride=STRIDE)

@@ -18,7 +18,6 @@ from nearfold.functions.vectors import as_doubles
 from nearfold.operators.nearest import (
     Centres,
     collect_centres,
-    fits_broadcast,
     nearest_centres,
     squared_distances,
     _matrix,
@@ -91,9 +90,9 @@ def inertia_by_k(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None =
     One pass: each batch keeps a running minimum over the centres and sends
     one partial sum per k.
     """
-    if not fits_broadcast(centres):
-        raise ValueError("an inertia curve needs centres that fit a broadcast")
     known = collect_centres(centres, scaler)
+    if known is None:
+        raise ValueError("an inertia curve needs centres that fit a broadcast")
     shared = vectors.sparkSession.sparkContext.broadcast(
         (known.vectors, known.mean, known.deviation)
     )

@@ -103,25 +103,31 @@ class Centres:
         self.deviation = np.asarray(scaler.deviation) if scaler else None
 
 
-def fits_broadcast(centres: DataFrame, vector_col: str = "embedding", limit: int | None = None) -> bool:
-    limit = session.BROADCAST_BYTES if limit is None else limit
-    row = centres.agg(F.count("*"), F.max(F.size(vector_col))).head()
-    return row[0] * (row[1] or 0) * 8 <= limit
-
-
 def collect_centres(
     centres: DataFrame, scaler: Scaler | None = None, id_col: str = "cluster_id", vector_col: str = "embedding"
-) -> Centres:
-    """Bring centres to the driver; call only when ``fits_broadcast`` said yes."""
-    rows = centres.select(F.col(id_col).cast("int"), F.col(vector_col).cast("array<double>")).toArrow()
-    if rows.num_rows == 0:
+) -> Centres | None:
+    """Bring centres to the driver, or None when they are too large for a broadcast.
+
+    A row limit bounds what is fetched, so one job both checks and collects.
+    """
+    rows = centres.select(F.col(id_col).cast("int"), F.col(vector_col).cast("array<double>"))
+    if scaler is not None:
+        dim = scaler.dim
+    else:
+        first = rows.head()
+        if first is None:
+            raise ValueError("no centres to measure against")
+        dim = len(first[1])
+    most = session.BROADCAST_BYTES // (8 * dim)
+    found = rows.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return None
+    if found.num_rows == 0:
         raise ValueError("no centres to measure against")
-    dim = len(rows.column(1)[0])
-    plain = Centres(rows.column(0).to_numpy(), _matrix(rows.column(1), dim), None)
-    if scaler is None:
-        return plain
-    scaled = (plain.vectors - np.asarray(scaler.mean)) / np.asarray(scaler.deviation)
-    return Centres(plain.ids, scaled, scaler)
+    vectors = _matrix(found.column(1), dim)
+    if scaler is not None:
+        vectors = (vectors - np.asarray(scaler.mean)) / np.asarray(scaler.deviation)
+    return Centres(found.column(0).to_numpy(), vectors, scaler)
 
 
 def map_vectors(
@@ -171,9 +177,10 @@ def nearest_centres(
 ) -> DataFrame:
     """Add ``neighbours``: the k nearest centres by (distance, cluster_id)."""
     if isinstance(centres, DataFrame):
-        if not fits_broadcast(centres):
+        known = collect_centres(centres, scaler)
+        if known is None:
             return _nearest_in_grid(samples, centres, k, scaler, id_col, vector_col, keep_vector)
-        centres = collect_centres(centres, scaler)
+        centres = known
 
     def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> list[tuple[str, pa.Array]]:
         order, dist = _best(x, vectors, k)

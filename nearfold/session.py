@@ -63,3 +63,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Split a scan that has fewer input splits than the cluster has cores.
+
+    For work that is heavy per row, such as rewriting whole texts. A table with
+    many files or row groups is returned as it is, without a shuffle. Meant for
+    plain scans, whose partitions are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
