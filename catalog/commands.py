@@ -17,10 +17,13 @@ MARKER = "benchmark://"
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One command per order and return flag, one pass per line; some are empty."""
+    """One command per order and return flag, one pass per line number; some are empty.
+
+    There are only seven line numbers, so no group grows with the table.
+    """
     names = F.array(*[F.lit(p) for p in PASSES])
     steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
-        F.array_sort(F.collect_list("l_linenumber")).alias("steps"), F.max("l_quantity").alias("most")
+        F.array_sort(F.collect_set("l_linenumber")).alias("steps"), F.max("l_quantity").alias("most")
     )
     passes = F.array_join(F.transform("steps", lambda i: F.concat(F.lit("-"), F.element_at(names, i))), " ")
     short = F.concat(F.lit("opt "), passes, F.lit(" input.bc -o output.bc"))
@@ -36,7 +39,8 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMANDS_SQL = f"""WITH steps AS (
   SELECT l_orderkey, l_returnflag AS flag, max(l_quantity) AS most,
     string_agg('-' || {list(PASSES)!r}[l_linenumber], ' ' ORDER BY l_linenumber) AS passes
-  FROM lineitem GROUP BY l_orderkey, l_returnflag
+  FROM (SELECT l_orderkey, l_returnflag, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)
+  GROUP BY l_orderkey, l_returnflag
 ), commands AS (
   SELECT 'benchmark://set-v1/Source_' || l_orderkey || '.bc' AS benchmark, flag, l_orderkey, passes,
     CASE WHEN most < 5 THEN '' WHEN flag = 'N' THEN '/usr/bin/opt-10  ' || passes || ' x/input.bc -o ''out file.bc'''
@@ -88,7 +92,7 @@ def pass_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "resolve_actions",
     COMMANDS_SQL + f""", used AS (
-  SELECT l.l_orderkey, l.l_returnflag AS flag, l.l_linenumber AS i FROM lineitem l
+  SELECT DISTINCT l.l_orderkey, l.l_returnflag AS flag, l.l_linenumber AS i FROM lineitem l
   JOIN steps s ON s.l_orderkey = l.l_orderkey AND s.flag = l.l_returnflag AND s.most >= 5
 )
 SELECT c.benchmark || '#' || c.flag AS id,
@@ -133,7 +137,10 @@ def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer and every order day is a cluster listing its orders as files."""
+    """Every customer and every order day is a cluster listing its orders as files.
+
+    A cluster's list is cut into rows of at most fifty neighbouring order keys.
+    """
     o = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("a/Source_"), F.col("o_orderkey").cast("string"), F.lit(".ll")).alias("file"),
         F.col("o_orderkey").alias("key"),
@@ -142,10 +149,12 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def listed(by: str) -> DataFrame:
-        return o.groupBy(F.col(by).alias("cluster")).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "file"))), lambda x: x["file"]), ", ").alias("files"),
-            F.min_by("file", "key").alias("closest_name"),
+        named = o.withColumnRenamed(by, "cluster")
+        closest = named.groupBy("cluster").agg(F.min_by("file", "key").alias("closest_name"))
+        lists = named.groupBy("cluster", F.floor(F.col("key") / 50).alias("part")).agg(
+            F.array_join(F.collect_set("file"), ", ").alias("files")
         )
+        return lists.join(closest, "cluster").select("cluster", "files", "closest_name")
 
     return listed("customer").unionByName(listed("day"))
 
@@ -210,7 +219,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS code_id, passes FROM (
 def sequence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass lists keyed by code id, from the stored text of every order."""
     steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_returnflag", "l_linenumber"))).alias("steps")
+        F.array_sort(F.collect_set(F.struct("l_returnflag", "l_linenumber"))).alias("steps")
     )
     names = F.array(*[F.lit(p) for p in PASSES])
     text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, s["l_linenumber"]))), "\n")

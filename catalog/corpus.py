@@ -12,7 +12,7 @@ from nearfold.functions.text import fold_text, normalize_text
 from nearfold.operators.program_text import CALL_PREFIX, OPCODES, RESULT_PREFIX, function_body_lines, instruction_count
 from nearfold.operators.ranks import hash_split
 from nearfold.operators.tokens import chunk_tokens
-from nearfold.session import scratch_path
+from nearfold.session import scratch_path, spread
 from nearfold.sources.readers import limit_corpus, read_corpus
 
 WORD = r"\p{L}\p{N}_"
@@ -127,7 +127,7 @@ FROM split s JOIN chunks c ON c.doc_id = s.doc_id GROUP BY s.split""",
 )
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, chunks and content tokens on either side of the split."""
-    docs = hash_split(documents(spark, sf_dir), "doc_id", 0.15, 42)
+    docs = spread(hash_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 0.15, 42))
     chunks = chunk_tokens(
         docs.select(F.struct("doc_id", "split").alias("doc"), hashed_ids(F.col("text")).alias("input_ids")),
         128, 32, 2, 3, [0, 1, 2, 3, 4], "doc",
@@ -143,6 +143,7 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per line number and flags, so that no program grows with the table."""
     part = F.col("l_partkey").cast("string")
     number = F.col("l_linenumber").cast("string")
     line = (
@@ -152,7 +153,8 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linestatus") == "F", F.concat(F.lit("  ; ret "), part))
         .otherwise(F.concat(F.lit("}\n  %z = mul i32 1, 2\ndefine i32 @f"), part, F.lit("() {\nret:   ; preds = %0\n\t!dbg")))
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    kinds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    lines = kinds.agg(F.min("l_partkey").alias("l_partkey")).select(
         "l_orderkey", F.struct(F.col("l_linenumber").alias("n"), line.alias("line")).alias("l")
     )
     body = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("ls"))
@@ -169,7 +171,8 @@ PROGRAMS_SQL = rf"""WITH items AS (
     WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN '  tail call void @g()' WHEN l_returnflag = 'R' THEN 'b' || l_partkey || ':'
     WHEN l_linestatus = 'F' THEN '  ; ret ' || l_partkey
     ELSE '}}' || chr(10) || '  %z = mul i32 1, 2' || chr(10) || 'define i32 @f' || l_partkey || '() {{' || chr(10)
-         || 'ret:   ; preds = %0' || chr(10) || chr(9) || '!dbg' END AS line FROM lineitem
+         || 'ret:   ; preds = %0' || chr(10) || chr(9) || '!dbg' END AS line
+  FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)
 ), programs AS (
   SELECT l_orderkey AS doc_id, 'declare void @g()' || chr(10) || '  %z = sub i32 1, 2' || chr(10) || 'define i32 @main(i32 %a) {{' || chr(10)
     || 'entry:' || chr(10) || string_agg(line, chr(10) ORDER BY n, line) || chr(10) || '  fneg float %x' || chr(10)

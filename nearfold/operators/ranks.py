@@ -5,61 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Histogram cells per group; the exact step then sorts about 1/CELLS of a group.
-CELLS = 4096
+#: Rank error of the bracketing sketch is at most one in this many rows.
+SKETCH_ACCURACY = 10_000
+
+#: Groups up to this size are ordered whole; the bracket pays off beyond it.
+ORDERED_ROWS = 100_000
 
 
 def group_percentile(df: DataFrame, group: str, value: str, q: float, name: str) -> DataFrame:
-    """Linear-interpolated ``q`` quantile of ``value`` per group.
+    """Linear-interpolated ``q`` quantile of ``value`` per group, exactly.
 
-    Equal values are tallied before the shuffle. A histogram over each group's
-    own range finds the cells that hold the two neighbouring ranks, and only
-    those cells are ordered, so a group with a third of all rows is no burden.
+    A sketch with a known rank error gives each group a narrow bracket around
+    the wanted ranks. Rows below the bracket are only counted, equal values in
+    it are tallied before the shuffle, and only the tally of the bracket, well
+    under a thousandth of a group, is put in order. A group with a third of all
+    rows, or one far outlier, is therefore no burden.
     """
     v = F.col(value).cast("double")
+    known = df.select(F.col(group), v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # Four times the sketch's error: for a large group that also covers the
+    # difference between its rank convention and the interpolated one.
+    margin = 4.0 / SKETCH_ACCURACY
+    large = F.count("*") > ORDERED_ROWS
+    low, high = F.min("v"), F.max("v")
+    if q > margin:
+        low = F.when(large, F.percentile_approx("v", q - margin, SKETCH_ACCURACY)).otherwise(low)
+    if q < 1 - margin:
+        high = F.when(large, F.percentile_approx("v", q + margin, SKETCH_ACCURACY)).otherwise(high)
+    bracket = known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total"))
+    # NULL stands for "somewhere below the bracket" and sorts first.
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
     tally = (
-        df.filter(v.isNotNull() & ~F.isnan(v))
-        .groupBy(F.col(group), v.alias("v"))
+        known.join(bracket, group)
+        .filter(F.col("v") <= F.col("high"))
+        .groupBy(group, "total", inside.alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    span = tally.groupBy(group).agg(
-        F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total")
-    )
-    position = F.when(
-        F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS)
-    ).otherwise(F.lit(0))
     target = (F.col("total") - 1) * F.lit(float(q))
-    celled = tally.join(span, group).select(
-        group,
-        "v",
-        "n",
-        F.least(position, F.lit(CELLS - 1)).alias("cell"),
-        target.alias("target"),
-    )
-    low_rank, high_rank = F.floor("target"), F.ceil("target")
+    before = Window.partitionBy(group).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = tally.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
-    def holds(rank: Column) -> Column:
-        return (F.col("seen") <= rank) & (rank < F.col("seen") + F.col("n"))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("seen") <= rank) & (rank < F.col("seen") + F.col("n")), F.col("v")))
 
-    in_order = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        celled.groupBy(group, "cell", "target")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("seen", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
-        .filter(holds(low_rank) | holds(high_rank))
-        .select(group, "cell", F.col("seen").alias("before"))
-    )
-    in_cell = Window.partitionBy(group, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    exact = celled.join(cells, [group, "cell"]).withColumn(
-        "seen", F.col("before") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))
-    )
-    ends = exact.groupBy(group).agg(
-        F.max(F.when(holds(low_rank), F.col("v"))).alias("low_v"),
-        F.max(F.when(holds(high_rank), F.col("v"))).alias("high_v"),
-        F.first("target").alias("target"),
-    )
-    share = F.col("target") - F.floor("target")
-    return ends.select(group, (F.col("low_v") + (F.col("high_v") - F.col("low_v")) * share).alias(name))
+    ends = ranked.groupBy(group, "total").agg(at(F.floor(target)).alias("low_v"), at(F.ceil(target)).alias("high_v"))
+    missed = F.raise_error(F.lit("the quantile fell outside its bracket")).cast("double")
+    low_v, high_v = F.coalesce("low_v", missed), F.coalesce("high_v", missed)
+    share = target - F.floor(target)
+    return ends.select(group, (low_v + (high_v - low_v) * share).alias(name))
 
 
 def hash_split(df: DataFrame, id_col: str, ratio: float, seed: int) -> DataFrame:

@@ -23,8 +23,15 @@ def representative_vectors(clusters: DataFrame, vectors: DataFrame) -> DataFrame
 
 
 def missing_representatives(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Representatives without a vector.
+
+    The vectors are first cut down to those of representatives; only these few
+    take part in the anti-join.
+    """
     reps = clusters.select("cluster_id", canonical_id(F.col("closest_code_id")).alias("closest_code_id"))
-    return reps.join(vectors.select(F.col("id").alias("closest_code_id")), "closest_code_id", "left_anti")
+    ids = vectors.select(F.col("id").alias("closest_code_id"))
+    present = ids.join(reps, "closest_code_id", "left_semi")
+    return reps.join(present, "closest_code_id", "left_anti")
 
 
 def sequence_codes(text: Column, representative: Column, limit: int = SEQUENCES_PER_CLUSTER) -> Column:

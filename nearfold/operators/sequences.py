@@ -38,11 +38,14 @@ def cluster_lookup(
 ) -> DataFrame:
     """(name, cluster, closest_name) from a membership table with delimited file lists.
 
-    A file listed by several clusters belongs to the last of them.
+    A cluster's list may be spread over several rows. A file listed by several
+    clusters belongs to the last of them.
     """
-    listed = members.select("*", F.explode(F.split("files", _literal(separator))).alias("item"))
+    # The nearest member is renamed once per list, before the lists are taken apart.
+    closest = mapped_names(members, "closest_name", name_map, prefix)
+    listed = closest.select("*", F.explode(F.split("files", _literal(separator))).alias("item"))
     files = listed.withColumn("name", F.trim("item")).filter("name <> ''").drop("item", "files")
-    named = mapped_names(mapped_names(files, "name", name_map, prefix), "closest_name", name_map, prefix)
+    named = mapped_names(files, "name", name_map, prefix)
     return dedupe_last(named, ["name"], order).select("name", "cluster", "closest_name")
 
 
@@ -66,22 +69,45 @@ def extract_sequences(commands: DataFrame, order: list[Column | str]) -> DataFra
     return dedupe_last(rows, ["benchmark"], order).select("benchmark", affix_passes(F.col("commandline")).alias("passes"))
 
 
+#: Largest action table that is looked up within the row.
+INLINE_ACTIONS = 1_000
+
+
 def resolve_actions(sequences: DataFrame, actions: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, actions, unknown): pass names as action numbers in order; unknown names apart.
 
-    ``actions`` is (name, action); matching ignores case and leading dashes.
+    ``actions`` is (name, action); matching ignores case and leading dashes. An
+    action table of the usual size is looked up inside each row, without a
+    shuffle; a larger one is joined.
     """
-    known = actions.select(F.regexp_replace(F.lower("name"), "^-+", "").alias("pass_key"), "action")
+    known = actions.select(_pass_key(F.col("name")).alias("pass_key"), "action")
+    few = known.limit(INLINE_ACTIONS + 1).collect()
+    if len(few) > INLINE_ACTIONS:
+        return _join_actions(sequences, known, id_col)
+    table = F.map_from_arrays(
+        F.array(*[F.lit(r["pass_key"]) for r in few]).cast("array<string>"),
+        F.array(*[F.lit(r["action"]) for r in few]).cast("array<int>"),
+    )
+    passes = F.coalesce("passes", F.array().cast("array<string>"))
+    found = F.transform(passes, lambda p: F.try_element_at(table, _pass_key(p)))
+    missed = F.filter(passes, lambda p: F.try_element_at(table, _pass_key(p)).isNull())
+    return sequences.select(id_col, F.filter(found, lambda a: a.isNotNull()).alias("actions"), missed.alias("unknown"))
+
+
+def _pass_key(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "^-+", "")
+
+
+def _join_actions(sequences: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     steps = sequences.select(id_col, F.posexplode_outer("passes").alias("pos", "pass"))
-    keyed = steps.withColumn("pass_key", F.regexp_replace(F.lower("pass"), "^-+", ""))
-    joined = keyed.join(known, "pass_key", "left")
-    hit = F.when(F.col("action").isNotNull(), F.struct("pos", F.col("action").cast("string").alias("v")))
+    joined = steps.withColumn("pass_key", _pass_key(F.col("pass"))).join(known, "pass_key", "left")
+    hit = F.when(F.col("action").isNotNull(), F.struct("pos", F.col("action").cast("int").alias("v")))
     miss = F.when(F.col("action").isNull() & F.col("pass").isNotNull(), F.struct("pos", F.col("pass").alias("v")))
     gathered = joined.groupBy(id_col).agg(
         F.array_sort(F.collect_list(hit)).alias("hits"), F.array_sort(F.collect_list(miss)).alias("misses")
     )
     return gathered.select(
         id_col,
-        F.transform("hits", lambda s: s["v"].cast("int")).alias("actions"),
+        F.transform("hits", lambda s: s["v"]).alias("actions"),
         F.transform("misses", lambda s: s["v"]).alias("unknown"),
     )

@@ -125,6 +125,18 @@ def test_percentile_is_exact(spark, q):
     assert got == pytest.approx({g: float(np.quantile(v, q)) for g, v in groups.items()})
 
 
+@pytest.mark.parametrize("q", [0.0001, 0.1, 0.9999])
+def test_percentile_of_a_large_group_is_exact(spark, q):
+    n = 400_000
+    i = F.col("id")
+    # Long tail, a spike of equal values and one far outlier.
+    value = F.when(i == 7, -1e12).when(i % 4 == 0, 2.5).otherwise(F.pow((i * 7919 % n) / n, 9.0) * 1e6)
+    df = spark.range(n).select(F.when(i % 50 == 0, "small").otherwise("hot").alias("g"), value.alias("v"))
+    table = df.toPandas()
+    got = {r["g"]: r["p"] for r in group_percentile(df, "g", "v", q, "p").collect()}
+    assert got == pytest.approx({g: float(np.quantile(v, q)) for g, v in table.groupby("g")["v"]})
+
+
 # --- vocabulary and encoding -------------------------------------------------------
 
 TEXTS = [
@@ -286,6 +298,17 @@ def test_corpus_files(spark, tmp_path):
     assert not found["Source_1"]["has_source"]
 
 
+def test_actions_inline_and_joined(spark, monkeypatch):
+    from nearfold.operators import sequences as sq
+
+    seqs = spark.createDataFrame([("x", ["-GVN", "nope", "licm", "gvn"]), ("y", []), ("z", None)], "id string, passes array<string>")
+    actions = spark.createDataFrame([("-licm", 1), ("gvn", 2)], "name string, action int")
+    want = [("x", [2, 1, 2], ["nope"]), ("y", [], []), ("z", [], [])]
+    assert sorted(map(tuple, sq.resolve_actions(seqs, actions).collect())) == want
+    monkeypatch.setattr(sq, "INLINE_ACTIONS", 1)
+    assert sorted(map(tuple, sq.resolve_actions(seqs, actions).collect())) == want
+
+
 def test_sequence_files(spark, tmp_path):
     commands = spark.createDataFrame(
         [("b/x/p1", "opt -a -b input.bc -o output.bc", 1), ("b/x/p1/", "opt -c", 2), ("p2", "", 1), ("p2", None, 2), ("p3", "opt", 1)],
