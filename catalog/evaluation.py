@@ -15,6 +15,7 @@ from nearfold.functions.measures import (
     reduction_pct,
 )
 from nearfold.operators import evaluation as ev
+from nearfold.plans.retrieval import evaluate
 from nearfold.session import staged
 
 
@@ -128,10 +129,7 @@ FINAL_COLUMNS = """id, cluster, base_code_id, oz_count, base_count, reduction_pc
 
 def _final(spark: SparkSession, sf_dir: str, per_cluster: int) -> DataFrame:
     s = setting(spark, sf_dir)
-    codes = s.rep_codes if per_cluster == 1 else s.top_codes
-    base = staged(_base(s, codes), "base")
-    gates = staged(ev.cluster_thresholds(base), "thresholds")
-    return ev.final_result(base, codes, gates, s.measurements, s.baselines)
+    return evaluate(s.neighbours, s.clusters, s.measurements, s.baselines, per_cluster=per_cluster).final
 
 
 @query("zero_shot_final", final_sql("rep_codes") + f"\nSELECT {FINAL_COLUMNS} FROM final")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from catalog.registry import table
 from nearfold.operators.clusters import cluster_summary, group_means, own_centre_distance
-from nearfold.operators.nearest import nearest_centres
-from nearfold.operators.retrieval import cluster_codes, representative_vectors
+from nearfold.operators.retrieval import cluster_codes
 from nearfold.operators.scaling import Scaler, fit_scaler
+from nearfold.plans.retrieval import nearest_clusters
 from nearfold.session import staged
 
 
@@ -92,7 +92,7 @@ def setting(spark: SparkSession, sf_dir: str) -> Setting:
     v = vectors(spark, sf_dir).select("id", "embedding")
     c = clusters(spark, sf_dir)
     scaler = fit_scaler(v)
-    near = nearest_centres(v, representative_vectors(c, v), 5, scaler)
+    near = nearest_clusters(v, v, c, scaler=scaler)
     return Setting(v, c, scaler, near, baselines(spark, sf_dir))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import documents, query, table
 from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
-from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, word_frequency
+from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, vocabulary_table, word_frequency
 from nearfold.plans.embedding import embed_documents
 from nearfold.session import staged
 
@@ -95,12 +95,100 @@ def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabulary(spark, sf_dir)
 
 
-@query("wordpiece_encode")
+# --- encoding with a vocabulary that SQL can build too: letters and frequent words --
+
+#: A word is frequent when it makes up at least one in this many, so there are at most that many.
+FREQUENT_SHARE = 10_000
+BUCKETS = 64
+
+
+def _frequent_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = staged(
+        word_frequency(documents(spark, sf_dir), BASE_SPECIALS, lowercase=True, accents=True)
+        .filter(~F.col("word").isin(*BASE_SPECIALS)),
+        "counts",
+    )
+    total = counts.agg(F.sum("n")).head()[0]
+    letters = {r[0] for r in counts.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().collect()}
+    frequent = {r[0] for r in counts.filter(F.col("n") * FREQUENT_SHARE >= total).select("word").collect()}
+    return vocabulary_table(
+        spark, [*BASE_SPECIALS, *sorted(letters), *sorted("##" + c for c in letters), *sorted(frequent - letters)]
+    )
+
+
+ENCODE_SQL = f"""WITH RECURSIVE raw AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(text, '{CONTROL}', '', 'g'), '{word_pattern(BASE_SPECIALS)}', 1) AS ws FROM documents
+), spoken AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS raw FROM raw
+), tokens AS (
+  SELECT doc_id, i, CASE WHEN raw IN {BASE_SPECIALS!r} THEN raw ELSE lower(strip_accents(raw)) END AS w FROM spoken
+), counts AS (
+  SELECT w, count(*) AS n FROM tokens WHERE w <> '' AND w NOT IN {BASE_SPECIALS!r} GROUP BY w
+), letters AS (
+  SELECT DISTINCT unnest(string_split(w, '')) AS c FROM counts
+), frequent AS (
+  SELECT w FROM counts WHERE n * {FREQUENT_SHARE} >= (SELECT sum(n) FROM counts) AND w NOT IN (SELECT c FROM letters)
+), listed AS (
+  SELECT unnest([0, 1, 2, 3, 4]) AS id, unnest({list(BASE_SPECIALS)!r}) AS token
+  UNION ALL SELECT 4 + row_number() OVER (ORDER BY kind, token), token FROM (
+    SELECT 1 AS kind, c AS token FROM letters UNION ALL SELECT 2, '##' || c FROM letters UNION ALL SELECT 3, w FROM frequent)
+), vocab AS (
+  SELECT CAST(id AS INT) AS id, token FROM listed
+), spans AS (
+  SELECT w, s, s + l AS e, substr(w, s + 1, l) AS part FROM (
+    SELECT w, s, unnest(range(1, length(w) - s + 1)) AS l FROM (SELECT w, unnest(range(0, length(w))) AS s FROM counts WHERE length(w) <= 100))
+), longest AS (
+  SELECT w, s, max(e) AS e, arg_max(v.id, e) AS id FROM spans JOIN vocab v ON v.token = CASE WHEN s = 0 THEN part ELSE '##' || part END GROUP BY w, s
+), walk AS (
+  SELECT w, CAST(0 AS BIGINT) AS done, CAST([] AS INT[]) AS ids FROM counts WHERE length(w) <= 100
+  UNION ALL SELECT k.w, CAST(l.e AS BIGINT), list_append(k.ids, l.id) FROM walk k JOIN longest l ON l.w = k.w AND l.s = k.done
+), pieces AS (
+  SELECT c.w, coalesce(k.ids, [1]) AS ids FROM counts c LEFT JOIN (SELECT w, ids FROM walk WHERE done = length(w)) k ON k.w = c.w
+  UNION ALL SELECT token, [id] FROM vocab WHERE token IN {BASE_SPECIALS!r}
+), encoded AS (
+  SELECT r.doc_id, coalesce(flatten(list(p.ids ORDER BY t.i) FILTER (WHERE p.ids IS NOT NULL)), CAST([] AS INT[])) AS ids
+  FROM raw r LEFT JOIN tokens t ON t.doc_id = r.doc_id LEFT JOIN pieces p ON p.w = t.w GROUP BY r.doc_id
+)"""
+
+
+@query("wordpiece_encode", ENCODE_SQL + "\nSELECT doc_id, CAST(len(ids) AS INT) AS n_pieces, array_to_string(ids, ' ') AS input_ids FROM encoded")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(documents(spark, sf_dir), _vocabulary(spark, sf_dir))
+    encoded = encode(documents(spark, sf_dir), _frequent_vocabulary(spark, sf_dir))
     return encoded.select("doc_id", F.size("input_ids").alias("n_pieces"), _joined("input_ids").alias("input_ids"))
 
 
+def _bucket_embedder(chunks: DataFrame) -> DataFrame:
+    """A user-made embedder: token ids counted per remainder."""
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+        lambda d: F.size(F.filter("input_ids", lambda i: i % BUCKETS == d)).cast("double"),
+    )
+    return chunks.select("doc_id", "chunk_no", counts.alias("vec"), F.size("input_ids").alias("n_tokens"))
+
+
+@query(
+    "embed_documents_hook",
+    ENCODE_SQL + f""", starts AS (
+  SELECT doc_id, ids, unnest(generate_series(0, greatest(len(ids) - {STRIDE} - 1, 0), {MAX_LENGTH - 2 - STRIDE})) AS s FROM encoded
+), chunks AS (
+  SELECT doc_id, s, list_concat([{CLS}], ids[s + 1 : s + {MAX_LENGTH - 2}], [{SEP}]) AS ids FROM starts
+), sums AS (
+  SELECT doc_id, id % {BUCKETS} AS pos, CAST(sum(n) AS DOUBLE) AS x FROM (SELECT doc_id, len(ids) AS n, unnest(ids) AS id FROM chunks) GROUP BY 1, 2
+), norms AS (
+  SELECT doc_id, sqrt(sum(x * x)) AS norm FROM sums GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(s.pos AS INT) AS pos, round(s.x / n.norm, 6) AS value FROM sums s JOIN norms n ON n.doc_id = s.doc_id""",
+)
+def embed_documents_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding job around an embedder of the user's own."""
+    vectors = embed_documents(
+        documents(spark, sf_dir), _frequent_vocabulary(spark, sf_dir), _bucket_embedder, MAX_LENGTH, STRIDE,
+        preprocess=False, specials=BASE_SPECIALS,
+    )
+    long = vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).filter("value <> 0")
+    return long.withColumn("value", F.round("value", 6))
+
+
 @query("embed_documents")
 def embed_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfold.session import staged
+
 #: Rank error of the bracketing sketch is at most one in this many rows.
 SKETCH_ACCURACY = 10_000
 
@@ -32,7 +34,11 @@ def group_percentile(df: DataFrame, group: str, value: str, q: float, name: str)
         low = F.when(large, F.percentile_approx("v", q - margin, SKETCH_ACCURACY)).otherwise(low)
     if q < 1 - margin:
         high = F.when(large, F.percentile_approx("v", q + margin, SKETCH_ACCURACY)).otherwise(high)
-    bracket = known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total"))
+    # Written out, so that its true size lets it be broadcast: the rows are then
+    # tallied where they lie and never shuffled by a possibly very uneven group.
+    bracket = staged(
+        known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total")), "brackets"
+    )
     # NULL stands for "somewhere below the bracket" and sorts first.
     inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
     tally = (

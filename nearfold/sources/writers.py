@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.operators.scaling import Scaler, identity_scaler
+
 CSV = {"header": True, "escape": '"', "quote": '"'}
 
 
@@ -53,3 +55,16 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
     sequences.select("benchmark", F.array_join("passes", "\n").alias("value")).write.mode("overwrite").partitionBy(
         "benchmark"
     ).text(path)
+
+
+def write_model(centres: DataFrame, scaler: Scaler | None, folder: str) -> None:
+    """A fitted clustering as two tables: centres, and the scaler they were scaled with."""
+    folder = folder.rstrip("/")
+    centres.select("cluster_id", "embedding").write.mode("overwrite").parquet(f"{folder}/centres")
+    known = scaler or identity_scaler(centres.select(F.size("embedding")).head()[0])
+    known.to_table(centres.sparkSession).write.mode("overwrite").parquet(f"{folder}/scaler")
+
+
+def read_model(spark: SparkSession, folder: str) -> tuple[DataFrame, Scaler]:
+    folder = folder.rstrip("/")
+    return spark.read.parquet(f"{folder}/centres"), Scaler.from_table(spark.read.parquet(f"{folder}/scaler"))

@@ -19,6 +19,8 @@ from nearfold.operators.scaling import Scaler, fit_scaler
 from nearfold.operators.sequences import extract_sequences
 from nearfold.plans.clustering import cluster_vectors
 from nearfold.plans.embedding import embed_documents
+from nearfold.plans.retrieval import evaluate, nearest_clusters
+from nearfold.plans.vocabulary import learn_vocabulary
 from nearfold.sources import readers, writers
 from nearfold.streaming.assign import assign_stream
 
@@ -358,6 +360,53 @@ def test_table_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "config")).count() == 1
 
 
+def test_vocabulary_job_and_files(spark, tmp_path):
+    docs = spark.createDataFrame([("%a = add i32 7", ), ("store %b, @g",)], "text string")
+    vocab, config = learn_vocabulary(docs, 60)
+    tokens = [r["token"] for r in vocab.orderBy("id").collect()]
+    assert tokens[:13] == [*BASE_SPECIALS, *CODE_SPECIALS]
+    writers.write_config(config, str(tmp_path / "config"))
+    row = spark.read.json(str(tmp_path / "config")).head()
+    assert row["files_used"] == 2 and row["vocab_size_actual"] == len(tokens)
+    assert row["special_tokens"] == list(CODE_SPECIALS)
+
+
+def test_model_files(spark, tmp_path):
+    v = vectors(spark, POINTS)
+    done = cluster_vectors(v, k=4, n_init=1)
+    writers.write_model(done.centres, done.scaler, str(tmp_path / "model"))
+    centres, scaler = writers.read_model(spark, str(tmp_path / "model"))
+    assert scaler == done.scaler
+    z = v.withColumn("embedding", scaler.apply(F.col("embedding")))
+    again = cl.assignments(nn.nearest_centres(z, centres, 1))
+    key = lambda df: sorted((r["id"], r["cluster"]) for r in df.collect())
+    assert key(again) == key(done.assignments)
+    writers.write_model(done.centres, None, str(tmp_path / "plain"))
+    assert writers.read_model(spark, str(tmp_path / "plain"))[1].mean == (0.0,) * 5
+
+
+def test_retrieval_job_with_given_thresholds(spark):
+    v = vectors(spark, POINTS)
+    clusters = spark.createDataFrame([(1, "3", "3,4"), (2, "8.0", "")], "cluster_id int, closest_code_id string, top_closest_ids string")
+    near = nearest_clusters(v, v, clusters)
+    ids = v.select("id")
+    rows = [(code, 50 + int(code)) for code in ("3", "4", "8")]
+    codes = spark.createDataFrame(rows, "code_id string, count bigint")
+
+    def scorer(candidates):
+        return candidates.join(codes, "code_id", "left").withColumn("compile_ms", F.lit(1.0))
+
+    base = ids.withColumns({n: F.lit(100).cast("bigint") for n in ("oz_count", "clang_oz_count", "gym_oz_count")})
+    gates = spark.createDataFrame([(2, 45.0), (2, 40.0), (1, None)], "cluster int, delta_p10 double")
+    done = evaluate(near, clusters, scorer, base, gates)
+    got = {r["category"] for r in done.final.filter("cluster = 2").collect()}
+    # Cluster 2 offers 58, below its gate; its neighbour's 53 is fine and ungated.
+    assert got == {"ncs_ok"}
+    assert {r["final_count"] for r in done.final.collect()} == {53}
+    assert done.report.filter("metric = 'preset_fallback_count'").head()["value"] == 0.0
+    assert done.final.count() == 300
+
+
 def test_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     samples = vectors(spark, POINTS)
