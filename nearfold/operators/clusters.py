@@ -14,14 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions.columns import by_numeric_id, numeric_id
-from nearfold.functions.vectors import as_doubles
-from nearfold.operators.nearest import (
-    Centres,
-    collect_centres,
-    nearest_centres,
-    squared_distances,
-    _matrix,
-)
+from nearfold.functions.vectors import as_doubles, distance
+from nearfold.operators.nearest import _matrix, collect_centres, nearest_centres, squared_distances
 from nearfold.operators.scaling import Scaler
 from nearfold.session import staged
 
@@ -41,9 +35,8 @@ def group_means(df: DataFrame, group: str, vector_col: str = "embedding") -> Dat
 
 
 def own_centre_distance(df: DataFrame, centres: DataFrame, cluster_col: str = "cluster") -> DataFrame:
-    """(id, cluster, distance_to_centroid) for a given membership."""
-    from nearfold.functions.vectors import distance
-
+    """(id, cluster, distance_to_centroid) for a given membership; ``centres`` is best a
+    written table, so that its known size decides about a broadcast."""
     c = centres.select(F.col("cluster_id").alias(cluster_col), F.col("embedding").alias("centre"))
     joined = df.join(c, cluster_col)
     return joined.select(
@@ -141,36 +134,43 @@ def elbow_k(curve: DataFrame) -> DataFrame:
     return row.select(chosen.cast("int").alias("k"))
 
 
+def _features(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", "embedding", array_to_vector(as_doubles(F.col("embedding"))).alias("features")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+
+
+def _best_fit(features: DataFrame, k: int, n_init: int, seed: int, max_iter: int) -> tuple[float, list[list[float]]]:
+    """Lowest inertia and its centres over ``n_init`` seeds; only k centres reach the driver."""
+    best = None
+    for run in range(n_init):
+        model = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(features)
+        if best is None or model.summary.trainingCost < best[0]:
+            best = (float(model.summary.trainingCost), [c.tolist() for c in model.clusterCenters()])
+    return best
+
+
 def fit_kmeans(
     vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300
 ) -> tuple[DataFrame, float]:
     """Best of ``n_init`` seeded fits: (centre table, inertia).
 
     Clusters are numbered by their smallest member id, because the numbers a
-    fit hands out depend on its seed. Only the k centres reach the driver.
+    fit hands out depend on its seed.
     """
-    features = vectors.select("id", "embedding", array_to_vector(as_doubles(F.col("embedding"))).alias("features"))
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = vectors.sparkSession
+    features = _features(vectors)
     try:
         n = features.count()
         if not 1 <= k <= n:
             raise ValueError(f"k must lie between 1 and the number of rows ({n}), got {k}")
-        best = None
-        for run in range(n_init):
-            model = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(features)
-            if best is None or model.summary.trainingCost < best[0]:
-                best = (model.summary.trainingCost, [c.tolist() for c in model.clusterCenters()])
-        rows = vectors.sparkSession.createDataFrame(
-            list(enumerate(best[1])), "cluster_id INT, embedding ARRAY<DOUBLE>"
-        )
-        near = nearest_centres(features.select("id", "embedding"), rows, 1)
+        inertia, found = _best_fit(features, k, n_init, seed, max_iter)
+        schema = "cluster_id INT, embedding ARRAY<DOUBLE>"
+        near = nearest_centres(features.select("id", "embedding"), spark.createDataFrame(list(enumerate(found)), schema))
         order = F.struct(numeric_id(F.col("id")).isNull(), numeric_id(F.col("id")), F.col("id"))
-        firsts = (
-            near.groupBy(F.get("neighbours", 0)["cluster_id"].alias("c")).agg(F.min(order).alias("o")).orderBy("o").collect()
-        )
-        centres = [(new, best[1][row["c"]]) for new, row in enumerate(firsts)]
-        table = vectors.sparkSession.createDataFrame(centres, "cluster_id INT, embedding ARRAY<DOUBLE>")
-        return table, float(best[0])
+        firsts = near.groupBy(F.get("neighbours", 0)["cluster_id"].alias("c")).agg(F.min(order).alias("o"))
+        numbered = [(new, found[row["c"]]) for new, row in enumerate(firsts.orderBy("o").collect())]
+        return spark.createDataFrame(numbered, schema), inertia
     finally:
         features.unpersist()
 
@@ -178,8 +178,12 @@ def fit_kmeans(
 def inertia_for_grid(
     vectors: DataFrame, k_values: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300
 ) -> DataFrame:
-    """(k, inertia) of a full fit per k: the elbow curve."""
-    rows = [(int(k), fit_kmeans(vectors, int(k), n_init, seed, max_iter)[1]) for k in k_values]
+    """(k, inertia) of a full fit per k: the elbow curve. The vectors are cached once for all k."""
+    features = _features(vectors)
+    try:
+        rows = [(int(k), _best_fit(features, int(k), n_init, seed, max_iter)[0]) for k in k_values]
+    finally:
+        features.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
 
 
@@ -215,26 +219,12 @@ def member_segments(assigned: DataFrame, segment_rows: int = 10_000) -> DataFram
     (cluster_id, segment, member_ids): a large cluster is spread over many
     segments by id hash, so no row and no task has to hold all of it.
     """
-    sizes = assigned.groupBy("cluster").agg(F.ceil(F.count("*") / segment_rows).alias("segments"))
+    # Written out, so that it can be broadcast and no row is shuffled by cluster alone.
+    sizes = staged(
+        assigned.groupBy("cluster").agg(F.ceil(F.count("*") / segment_rows).alias("segments")), "segment-counts"
+    )
     spread = assigned.join(sizes, "cluster").withColumn("segment", F.pmod(F.xxhash64("id"), F.col("segments")))
     ordered = F.array_sort(F.collect_list(F.struct(numeric_id(F.col("id")).alias("n"), F.col("id"))))
     return spread.groupBy(F.col("cluster").alias("cluster_id"), "segment").agg(
         F.transform(ordered, lambda m: m["id"]).alias("member_ids")
     )
-
-
-__all__ = [
-    "Centres",
-    "assignments",
-    "cluster_summary",
-    "elbow_k",
-    "fit_kmeans",
-    "group_means",
-    "inertia_by_k",
-    "inertia_for_grid",
-    "lloyd",
-    "member_segments",
-    "own_centre_distance",
-    "top_members",
-    "vector_mean",
-]

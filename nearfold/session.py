@@ -47,8 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is ever overwritten there."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared folder, in one subfolder per application.
+
+    Nothing is ever overwritten there; the subfolder can go once its application has ended.
+    """
+    run = f"nearfold-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_dir(spark), run, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
