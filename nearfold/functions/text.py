@@ -19,10 +19,10 @@ NOT_AFTER_WORD = rf"(?![{WORD}])"
 REWRITE_RULES = (
     ("register", rf"%[{WORD}.]+", "[REG]"),
     ("address", r"0x[0-9A-Fa-f]+", "[ADDR]"),
-    ("number", rf"{NOT_BEFORE_WORD}\p{{Nd}}+{NOT_AFTER_WORD}", "[NUM]"),
+    ("number", rf"{NOT_BEFORE_WORD}\p{{Nd}}++{NOT_AFTER_WORD}", "[NUM]"),
     ("type", rf"{NOT_BEFORE_WORD}(?:i8|i16|i32|i64|float|double){NOT_AFTER_WORD}", "[TYPE]"),
     ("global", rf"@[{WORD}.]+", "[GLOB]"),
-    ("label", rf"[{WORD}][{WORD}.]*:", "[LBL]:"),
+    ("label", rf"(?<![{WORD}.])(\.*+)[{WORD}][{WORD}.]*+:", "$1[LBL]:"),
     ("metadata", r"!\p{Nd}+", "[MD]"),
     ("string", r'c"[^\n]*?"', "[STR]"),
 )
@@ -37,6 +37,9 @@ CONTROL = r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]"
 def normalize_text(c: Column, metadata_first: bool = False) -> Column:
     """Apply the rewrite rules in order.
 
+    Runs are matched from their start and never given back, so that very long
+    words without spaces cost no more than their length.
+
     The default order turns ``!12`` into ``![NUM]`` because numbers are rewritten
     before metadata; ``metadata_first`` moves the metadata rule to the front.
     """

@@ -36,6 +36,7 @@ def one(spark, value, expr, kind="string"):
         ('@.str.1 = c"hi 7\\00"', "[GLOB][NUM] = [STR]"),
         ("!12abc", "[MD]abc"),
         ("é12 ²3 a_4", "é12 ²3 a_4"),
+        ("..a.b: c.:d:: .: x1:2", "..[LBL]: [LBL]:[LBL]:: .: [LBL]:[NUM]"),
         ('c"a\nb" c"x"', 'c"a\nb" [STR]'),
     ],
 )
