@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from nearfold.functions.commands import log_total, pass_names, token_passes
 from nearfold.operators import sequences as sq
-from nearfold.session import scratch_path
+from nearfold.session import scratch_path, staged
 from nearfold.sources.readers import read_commands, read_sequences
 from nearfold.sources.writers import write_csv
 
@@ -22,9 +22,10 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     There are only seven line numbers, so no group grows with the table.
     """
     names = F.array(*[F.lit(p) for p in PASSES])
-    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
-        F.array_sort(F.collect_set("l_linenumber")).alias("steps"), F.max("l_quantity").alias("most")
+    masks = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
+        F.bit_or(F.expr("shiftleft(1, l_linenumber)")).alias("mask"), F.max("l_quantity").alias("most")
     )
+    steps = masks.withColumn("steps", F.expr("filter(sequence(1, 7), i -> getbit(mask, i) = 1)"))
     passes = F.array_join(F.transform("steps", lambda i: F.concat(F.lit("-"), F.element_at(names, i))), " ")
     short = F.concat(F.lit("opt "), passes, F.lit(" input.bc -o output.bc"))
     long = F.concat(F.lit("/usr/bin/opt-10  "), passes, F.lit(" x/input.bc -o 'out file.bc'"))
@@ -156,7 +157,7 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return lists.join(closest, "cluster").select("cluster", "files", "closest_name")
 
-    return listed("customer").unionByName(listed("day"))
+    return staged(listed("customer").unionByName(listed("day")), "membership")
 
 
 LOOKUP_SQL = f""", named AS (
@@ -185,8 +186,8 @@ FROM lookup k LEFT JOIN cmd i ON i.name = k.name LEFT JOIN cmd t ON t.name = k.c
 )
 def compare_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = name_pairs(spark, sf_dir)
-    lookup = sq.cluster_lookup(membership(spark, sf_dir), ["cluster"], ",", pairs, "Source_")
-    known = sq.named_commands(commands(spark, sf_dir), ["flag"], pairs, MARKER, "Source_")
+    lookup = staged(sq.cluster_lookup(membership(spark, sf_dir), ["cluster"], ",", pairs, "Source_"), "lookup")
+    known = staged(sq.named_commands(commands(spark, sf_dir), ["flag"], pairs, MARKER, "Source_"), "commands")
     files = sq.mapped_names(
         table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name")), "name", pairs
     )
@@ -218,11 +219,12 @@ SELECT CAST(l_orderkey AS VARCHAR) AS code_id, passes FROM (
 )
 def sequence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass lists keyed by code id, from the stored text of every order."""
-    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.struct("l_returnflag", "l_linenumber"))).alias("steps")
-    )
+    flag = F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (flag * 8 + F.col("l_linenumber")).alias("bit"))
+    masks = lines.groupBy("l_orderkey").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"))
+    steps = masks.withColumn("steps", F.expr("filter(sequence(1, 23), i -> getbit(mask, i) = 1)"))
     names = F.array(*[F.lit(p) for p in PASSES])
-    text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, s["l_linenumber"]))), "\n")
+    text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, (s % 8).cast("int")))), "\n")
     stored = steps.select(
         F.concat(F.lit("sequence/"), F.col("l_orderkey").cast("string"), F.lit("_seq.txt")).alias("path"), text.alias("text")
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -140,14 +141,22 @@ def _features(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _best_fit(features: DataFrame, k: int, n_init: int, seed: int, max_iter: int) -> tuple[float, list[list[float]]]:
-    """Lowest inertia and its centres over ``n_init`` seeds; only k centres reach the driver."""
-    best = None
-    for run in range(n_init):
-        model = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(features)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = (float(model.summary.trainingCost), [c.tolist() for c in model.clusterCenters()])
-    return best
+#: Fits submitted to the cluster at a time; small ones would leave it idle.
+PARALLEL_FITS = 4
+
+
+def _fit_all(
+    features: DataFrame, jobs: list[tuple[int, int]], max_iter: int
+) -> list[tuple[int, float, list[list[float]]]]:
+    """(k, inertia, centres) per (k, seed); only the k centres reach the driver."""
+
+    def fit(job: tuple[int, int]) -> tuple[int, float, list[list[float]]]:
+        k, seed = job
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(features)
+        return k, float(model.summary.trainingCost), [c.tolist() for c in model.clusterCenters()]
+
+    with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(features.sparkSession)(fit), jobs, chunksize=1)
 
 
 def fit_kmeans(
@@ -164,7 +173,8 @@ def fit_kmeans(
         n = features.count()
         if not 1 <= k <= n:
             raise ValueError(f"k must lie between 1 and the number of rows ({n}), got {k}")
-        inertia, found = _best_fit(features, k, n_init, seed, max_iter)
+        fits = _fit_all(features, [(k, seed + run) for run in range(n_init)], max_iter)
+        _, inertia, found = min(fits, key=lambda f: f[1])
         schema = "cluster_id INT, embedding ARRAY<DOUBLE>"
         near = nearest_centres(features.select("id", "embedding"), spark.createDataFrame(list(enumerate(found)), schema))
         order = F.struct(numeric_id(F.col("id")).isNull(), numeric_id(F.col("id")), F.col("id"))
@@ -181,10 +191,13 @@ def inertia_for_grid(
     """(k, inertia) of a full fit per k: the elbow curve. The vectors are cached once for all k."""
     features = _features(vectors)
     try:
-        rows = [(int(k), _best_fit(features, int(k), n_init, seed, max_iter)[0]) for k in k_values]
+        fits = _fit_all(features, [(int(k), seed + run) for k in k_values for run in range(n_init)], max_iter)
     finally:
         features.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
+    best: dict[int, float] = {}
+    for k, inertia, _ in fits:
+        best[k] = min(inertia, best.get(k, inertia))
+    return vectors.sparkSession.createDataFrame(sorted(best.items()), "k INT, inertia DOUBLE")
 
 
 def top_members(assigned: DataFrame, n: int) -> DataFrame:

@@ -1,21 +1,35 @@
-"""Joins whose key may be very uneven on the large side."""
+"""Lookups by a key that may be very uneven on the large side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfold import session
+
 #: Parts a single key of the large side is split into.
 SALTS = 32
 
 
+def lookup_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join with a lookup of one row per key, safe when one key holds most of ``large``.
+
+    The lookup is written out and measured. A small one is broadcast, which
+    leaves the large side where it is; any other is joined with salted keys.
+    """
+    table = session.staged(lookup, "lookup")
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.count("*")).head()
+    if (size[0] or 0) + 64 * size[1] <= session.BROADCAST_BYTES:
+        return large.join(F.broadcast(table), key, "left")
+    return salted_left_join(large, table, key, spread_by)
+
+
 def salted_left_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
     """Left join on ``key`` that splits every key over ``salts`` partitions.
 
-    ``lookup`` holds one row per key and is repeated per salt; ``spread_by`` is
-    a column of ``large`` that varies within a key. Use it where one key may
-    hold a large share of all rows and the lookup may be too big to broadcast.
-    Lookup rows that no key asks for should be filtered out before.
+    ``lookup`` is repeated per salt; ``spread_by`` is a column of ``large`` that
+    varies within a key. Lookup rows that no key asks for should be filtered
+    out before.
     """
     salted = large.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.columns import after_marker, last_path_part, strip_name
 from nearfold.functions.commands import affix_passes
-from nearfold.operators.joins import salted_left_join
+from nearfold.operators.joins import lookup_join
 from nearfold.operators.quality import dedupe_last
 
 
@@ -51,12 +51,12 @@ def cluster_lookup(
 
 
 def _mapped_closest(members: DataFrame, name_map: DataFrame | None, prefix: str) -> DataFrame:
-    """Distinct nearest members are renamed, then looked up by the list rows, salted
-    because a large cluster has many rows with the same nearest member."""
+    """Distinct nearest members are renamed, then looked up by the list rows; a large
+    cluster has many rows with the same nearest member."""
     names = members.select(F.col("closest_name").alias("raw_name")).distinct()
     renamed = mapped_names(names.withColumn("closest_name", F.col("raw_name")), "closest_name", name_map, prefix)
     raw = members.withColumnRenamed("closest_name", "raw_name")
-    return salted_left_join(raw, renamed, "raw_name", "files").select(*members.columns)
+    return lookup_join(raw, renamed, "raw_name", "files").select(*members.columns)
 
 
 def _literal(separator: str) -> str:
@@ -66,8 +66,8 @@ def _literal(separator: str) -> str:
 def compare_sequences(files: DataFrame, lookup: DataFrame, commands: DataFrame) -> DataFrame:
     """Each file's own command beside the command of its cluster's nearest member.
 
-    File names are unique, but one cluster may hold most files, so the second
-    lookup is salted; it only repeats commands of nearest members.
+    File names are unique, but one cluster may hold most files; the second
+    lookup allows for that and only carries commands of nearest members.
     """
     own = commands.select("name", F.col("commandline").alias("individual_sequence"))
     wanted = lookup.select(F.col("closest_name").alias("name")).distinct()
@@ -75,7 +75,7 @@ def compare_sequences(files: DataFrame, lookup: DataFrame, commands: DataFrame)
         F.col("name").alias("closest_name"), F.col("commandline").alias("centroid_sequence")
     )
     joined = files.join(lookup, "name", "left").join(own, "name", "left")
-    return salted_left_join(joined, theirs, "closest_name", "name").select(
+    return lookup_join(joined, theirs, "closest_name", "name").select(
         "name", "cluster", "closest_name", "centroid_sequence", "individual_sequence"
     )
 

@@ -14,7 +14,7 @@ from nearfold.operators import clusters as cl
 from nearfold.operators import nearest as nn
 from nearfold.operators import pooling
 from nearfold.operators import tokens as tk
-from nearfold.operators.joins import salted_left_join
+from nearfold.operators.joins import lookup_join, salted_left_join
 from nearfold.operators.ranks import group_percentile
 from nearfold.operators.scaling import Scaler, fit_scaler
 from nearfold.operators.sequences import extract_sequences
@@ -301,11 +301,15 @@ def test_corpus_files(spark, tmp_path):
     assert not found["Source_1"]["has_source"]
 
 
-def test_salted_join_equals_join(spark):
+def test_salted_join_equals_join(spark, monkeypatch):
     large = spark.range(3000).select("id", F.when(F.col("id") < 2500, 0).when(F.col("id") < 2990, F.col("id") % 7).alias("key"))
     lookup = spark.createDataFrame([(0, "a"), (3, "b"), (9, "c")], "key long, v string")
     key = lambda df: sorted(map(str, df.select("id", "key", "v").collect()))
-    assert key(salted_left_join(large, lookup, "key", "id")) == key(large.join(lookup, "key", "left"))
+    want = key(large.join(lookup, "key", "left"))
+    assert key(salted_left_join(large, lookup, "key", "id")) == want
+    assert key(lookup_join(large, lookup, "key", "id")) == want
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
+    assert key(lookup_join(large, lookup, "key", "id")) == want
 
 
 def test_staged_tables_lie_in_the_shared_folder(spark):
