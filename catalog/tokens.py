@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import documents, query, table
+from catalog.registry import documents, query
 from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
 from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, vocabulary_table, word_frequency
 from nearfold.plans.embedding import embed_documents

@@ -12,7 +12,6 @@ from nearfold.functions.measures import (
     below,
     geomean_pct_from_counts,
     geomean_pct_from_pct,
-    geomean_ratio,
     raw_reduction_pct,
     reduction_pct,
 )
