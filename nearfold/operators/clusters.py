@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.columns import by_numeric_id, numeric_id
 from nearfold.functions.vectors import as_doubles, distance
-from nearfold.operators.nearest import _matrix, collect_centres, nearest_centres, squared_distances
+from nearfold.operators.nearest import _best, _matrix, collect_centres, nearest_centres, squared_distances
 from nearfold.operators.scaling import Scaler
 from nearfold.session import staged
 
@@ -54,28 +54,61 @@ def assignments(neighbours: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
+def _member_means(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None) -> DataFrame:
+    """(cluster_id, moved): mean of the vectors nearest to each centre.
+
+    With broadcast centres each batch sends one partial mean per cluster, so
+    neither vectors nor assignments leave the task.
+    """
+    known = collect_centres(centres, scaler)
+    if known is None:
+        near = nearest_centres(vectors, centres, 1, scaler, keep_vector=True)
+        label = F.get("neighbours", 0)["cluster_id"].alias("cluster_id")
+        return near.groupBy(label).agg(vector_mean(F.col("embedding")).alias("moved"))
+    shared = vectors.sparkSession.sparkContext.broadcast((known.ids, known.vectors, known.mean, known.deviation))
+
+    def run(batches):
+        ids, rows, mean, deviation = shared.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _matrix(batch.column(0), rows.shape[1])
+            label = _best(x if mean is None else (x - mean) / deviation, rows, 1)[0][:, 0]
+            order = np.argsort(label, kind="stable")
+            found, start, n = np.unique(label[order], return_index=True, return_counts=True)
+            means = np.add.reduceat(x[order], start, axis=0) / n[:, None]
+            bounds = np.arange(0, means.size + 1, means.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[found].astype(np.int32)),
+                    pa.array(n.astype(np.int64)),
+                    pa.ListArray.from_arrays(bounds, pa.array(means.ravel())),
+                ],
+                names=["cluster_id", "n", "part"],
+            )
+
+    parts = vectors.select("embedding").mapInArrow(run, "cluster_id INT, n BIGINT, part ARRAY<DOUBLE>")
+    return parts.groupBy("cluster_id").agg(vector_mean(F.col("part"), F.col("n")).alias("moved"))
+
+
 def lloyd(vectors: DataFrame, start: DataFrame, iterations: int, scaler: Scaler | None = None) -> DataFrame:
     """Centres after a fixed number of assign-and-average rounds from ``start``.
 
-    A centre that loses all its members stays where it was. Each round's centres
-    are written to the shared folder, so lineage does not grow with the rounds.
+    A centre that loses all its members stays where it was. Distances are taken
+    in scaled space, while means, which scaling commutes with, are kept as they
+    come and scaled at the end. Each round's centres are written to the shared
+    folder, so lineage does not grow with the rounds.
     """
-    if scaler is not None:
-        vectors = vectors.withColumn("embedding", scaler.apply(F.col("embedding")))
-        start = start.withColumn("embedding", scaler.apply(F.col("embedding")))
     centres = start.select("cluster_id", as_doubles(F.col("embedding")).alias("embedding"))
     for _ in range(iterations):
-        near = nearest_centres(vectors, centres, 1, keep_vector=True)
-        moved = near.groupBy(F.get("neighbours", 0)["cluster_id"].alias("cluster_id")).agg(
-            vector_mean(F.col("embedding")).alias("moved")
-        )
+        moved = _member_means(vectors, centres, scaler)
         centres = staged(
             centres.join(moved, "cluster_id", "left").select(
                 "cluster_id", F.coalesce("moved", "embedding").alias("embedding")
             ),
             "centres",
         )
-    return centres
+    return centres if scaler is None else centres.withColumn("embedding", scaler.apply(F.col("embedding")))
 
 
 def inertia_by_k(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None = None) -> DataFrame:

@@ -95,6 +95,17 @@ def test_lloyd_cost_never_rises(spark):
     assert costs == sorted(costs, reverse=True) and costs[-1] < costs[0]
 
 
+def test_lloyd_in_the_grid(spark, monkeypatch):
+    v = vectors(spark, POINTS)
+    start = vectors(spark, np.vstack([POINTS[:5], np.full((1, 5), 1e3)]), "cluster_id")
+    scaler = fit_scaler(v)
+    key = lambda df: {r["cluster_id"]: np.round(r["embedding"], 9).tolist() for r in df.collect()}
+    plain = key(cl.lloyd(v, start, 2, scaler))
+    assert plain[5] == [round((1e3 - m) / d, 9) for m, d in zip(scaler.mean, scaler.deviation)]
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+    assert key(cl.lloyd(v, start, 2, scaler)) == plain
+
+
 def test_cluster_job(spark):
     done = cluster_vectors(vectors(spark, POINTS), k_values=(2, 4, 6, 1000), n_init=1)
     assert done.k in (2, 4, 6)
