@@ -36,7 +36,7 @@ FROM near n JOIN top_codes c ON n.cluster_id = c.cluster_id
 LEFT JOIN measurements m ON m.id = n.id AND m.code_id = c.code_id WHERE n.rk BETWEEN 2 AND 5""",
 )
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     scored = ev.candidate_scores(ev.fallback_candidates(s.neighbours, s.top_codes), s.measurements)
     return _rounded(scored, "compile_ms")
 
@@ -46,25 +46,25 @@ BASE_COLUMNS = "id, cluster, best_code_id, oz_count, base_count, reduction_pct,
 
 @query("zero_shot_base", base_sql("rep_codes") + f"\nSELECT {BASE_COLUMNS} FROM base")
 def zero_shot_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     return _rounded(_base(s, s.rep_codes).drop("neighbours"), "ratio", "compile_ms")
 
 
 @query("top5_base", base_sql("top_codes") + f"\nSELECT {BASE_COLUMNS} FROM base")
 def top5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     return _rounded(_base(s, s.top_codes).drop("neighbours"), "ratio", "compile_ms")
 
 
 @query("cluster_p10", base_sql("top_codes") + "\nSELECT cluster, round(delta_p10, 6) AS delta_p10 FROM thresholds")
 def cluster_p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     return _rounded(ev.cluster_thresholds(staged(_base(s, s.top_codes), "base")), "delta_p10")
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> tuple[Setting, DataFrame, DataFrame, DataFrame]:
     """Setting, codes, thresholds and the flagged base result of the zero-shot run."""
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     codes = s.rep_codes
     base = staged(_base(s, codes), "base")
     gates = staged(ev.cluster_thresholds(base), "thresholds")
@@ -128,7 +128,7 @@ FINAL_COLUMNS = """id, cluster, base_code_id, oz_count, base_count, reduction_pc
 
 
 def _final(spark: SparkSession, sf_dir: str, per_cluster: int) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     return evaluate(s.neighbours, s.clusters, s.measurements, s.baselines, per_cluster=per_cluster).final
 
 

@@ -7,6 +7,7 @@ here from a hash of (sample, sequence). The same rules are spelled in SQL below.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,19 +81,22 @@ class Setting:
     def top_codes(self) -> DataFrame:
         return cluster_codes(self.clusters, 5)
 
-    @property
+    @cached_property
     def measurements(self) -> DataFrame:
-        """Every sample with every sequence that any of its five clusters offers."""
+        """Every sample with every sequence that any of its five clusters offers, as a stored table."""
         offered = self.neighbours.select("id", F.explode("neighbours.cluster_id").alias("cluster_id"))
         pairs = offered.join(self.top_codes, "cluster_id").select("id", F.explode("codes").alias("code_id"))
-        return measured(pairs.distinct())
+        return staged(measured(pairs.distinct()), "measurements")
 
 
-def setting(spark: SparkSession, sf_dir: str) -> Setting:
+def setting(spark: SparkSession, sf_dir: str, store_neighbours: bool = False) -> Setting:
+    """``store_neighbours`` writes the nearest clusters out, for queries that use them repeatedly."""
     v = vectors(spark, sf_dir).select("id", "embedding")
     c = clusters(spark, sf_dir)
     scaler = fit_scaler(v)
     near = nearest_clusters(v, v, c, scaler=scaler)
+    if store_neighbours:
+        near = staged(near, "neighbours")
     return Setting(v, c, scaler, near, baselines(spark, sf_dir))
 
 

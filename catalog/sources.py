@@ -44,7 +44,7 @@ def load_top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     base_sql("rep_codes") + "\nSELECT cluster, round(delta_p10, 6) AS delta_p10 FROM thresholds",
 )
 def load_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = setting(spark, sf_dir)
+    s = setting(spark, sf_dir, store_neighbours=True)
     base = staged(ev.base_result(s.neighbours, s.rep_codes, s.measurements, s.baselines), "base")
     path = scratch_path(spark, "thresholds-csv")
     writers.write_csv(ev.cluster_thresholds(base), path)
