@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import sharding, topk
+from nearfold.llm import chat, quality, sharding, topk
 from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,32 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
+
+
+@query(
+    "op7_chat_formatting",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::BIGINT
+            AS formatted_chars
+    FROM turns GROUP BY conv_id
+    """,
+)
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_formatted(chat.format_conversations(rows))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])

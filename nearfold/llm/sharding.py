@@ -28,74 +28,79 @@ TOLERANCE = 0.0005
 #: Rows that are numbered together in one window.
 CELL_ROWS = 20_000
 
+#: Hashes lie in [0, 2 ** 62), so that their differences are longs too.
+_HASH_BITS = 62
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
+Key = tuple[int, int]
 
-def _at_least(probe: tuple[int, int]) -> Column:
-    """Is the row's key (h, id) at or above the probe?"""
-    h, i = probe
+
+def _at_least(key: Key) -> Column:
+    """Is the row's key (h, i) at or above this one?"""
+    h, i = key
     return (F.col("h") > h) | ((F.col("h") == h) & (F.col("i") >= i))
 
 
-def _cell(probes: list[tuple[int, int]]) -> Column:
-    """How many of the ascending probes are at or below the row's key, by bisection."""
-    if not probes:
-        return F.lit(0)
-    middle = len(probes) // 2
-    upper, lower = probes[middle + 1 :], probes[:middle]
-    return F.when(_at_least(probes[middle]), F.lit(middle + 1) + _cell(upper)).otherwise(_cell(lower))
+def _shard(splitters: list[Key]) -> Column:
+    return sum((_at_least(s).cast("int") for s in splitters), F.lit(0))
+
 
+def _cell(brackets: list[tuple[Key, Key]]) -> Column:
+    """Cut every bracket evenly, by hash, or by id where its rows share one hash; null outside."""
+    cell = F.lit(None).cast("long")
+    for n, (low, high) in enumerate(brackets):
+        if low[0] == high[0]:
+            step = (high[1] - low[1]) // (PROBES + 1) + 1
+            part = F.floor((F.col("i").cast("decimal(20,0)") - low[1]) / step)
+        else:
+            # Rows of the last hash that are below the border fall into the last part.
+            part = F.expr(f"(h - {low[0]}L) div {(high[0] - low[0]) // (PROBES + 1) + 1}L")
+        cell = F.when(_at_least(low) & ~_at_least(high), F.lit(n * 100) + part.cast("long")).otherwise(cell)
+    return cell
 
-def _between(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[int, int]]:
-    """Up to n keys strictly between two keys: by hash while the hashes differ, then by id."""
-    if high[0] - low[0] > 1:
-        step = (high[0] - low[0]) / (n + 1)
-        return sorted({(h, _LOW) for j in range(n) if low[0] < (h := low[0] + int(step * (j + 1))) < high[0]} or {(low[0] + 1, _LOW)})
-    if high[0] > low[0]:  # the hashes are neighbours: the rest of low's rows, then the border
-        return [*_between(low, (low[0], _HIGH), n), (high[0], _LOW)] if high[1] > _LOW else _between(low, (low[0], _HIGH), n)
-    return sorted({(low[0], i) for j in range(n) if low[1] < (i := low[1] + (high[1] - low[1]) * (j + 1) // (n + 1)) < high[1]})
 
+def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[Key]:
+    """Keys at which shards 1, 2, ... begin, for staged ``keys`` (h, i, size).
 
-def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """Keys at which shards 1, 2, ... begin, for staged ``keys`` (h, i, size)."""
+    A bracket (low, high, bytes below low) holds the splitter. Its ends are keys of rows. Each round lays probes into all open
+    brackets, counts the bytes between them, and keeps the part in which the ideal place lies. A
+    bracket is settled once a known border is within tolerance or only rows of one key are left.
+    """
     total = keys.agg(F.sum("size")).first()[0] or 0
     targets = [total * s // shards for s in range(1, shards)]
     slack = max(1, int(total / shards * tolerance))
-    # A bracket is (key, bytes below it): the splitter lies between the two.
-    low = [((_LOW, _LOW), 0)] * len(targets)
-    high = [((_HIGH, _HIGH), total)] * len(targets)
-    single = [False] * len(targets)  # only rows of one key are left between the two
-    nearest = lambda s: min((low[s], high[s]), key=lambda b: abs(b[1] - targets[s]))
-    while True:
-        open_ = [s for s in range(len(targets)) if not single[s] and abs(nearest(s)[1] - targets[s]) > slack]
-        probes = sorted({p for s in open_ for p in _between(low[s][0], high[s][0], PROBES)})
-        if not probes:
-            return [nearest(s)[0] for s in range(len(targets))]
+    end = ((1 << _HASH_BITS), _LOW)
+    bracket = {s: ((0, _LOW), end, 0, end) for s in range(len(targets))}  # and the first key that is surely above it
+    best: dict[int, tuple[int, Key]] = {}
+    open_ = set(bracket)
+    while open_:
+        cut = sorted({bracket[s][:2] for s in open_})
         key = F.struct("h", "i")
-        tally = keys.groupBy(_cell(probes).alias("cell")).agg(F.sum("size").alias("bytes"), F.min(key).alias("a"), F.max(key).alias("b"))
-        counted = {r["cell"]: (r["bytes"], tuple(r["a"]), tuple(r["b"])) for r in tally.collect()}
-        below, known = 0, []  # (key, bytes below it), from the probes and from the first row of every cell
-        for c in range(len(probes) + 1):
-            size, first, last = counted.get(c, (0, None, None))
-            if first is not None:
-                known.append((first, below, first == last))
-            below += size
-            if c < len(probes):
-                known.append((probes[c], below, False))
-        for s in open_:
-            for at, under, alone in known:
-                if low[s][0] <= at < high[s][0]:
-                    if under <= targets[s]:
-                        low[s], single[s] = (at, under), alone
-                    else:
-                        high[s] = (at, under)
-                        break
+        tally = keys.groupBy(_cell(cut).alias("cell")).agg(F.sum("size").alias("bytes"), F.min(key).alias("a"), F.max(key).alias("b"))
+        rows = sorted((r["cell"], r["bytes"], tuple(r["a"]), tuple(r["b"])) for r in tally.where("cell is not null").collect())
+        for s in list(open_):
+            low, high, under, above = bracket[s]
+            mine = [r for r in rows if r[0] // 100 == cut.index((low, high))]
+            if not mine:  # an empty table
+                best[s] = (0, end)
+                open_.discard(s)
+                continue
+            for n, (_, size, first, last) in enumerate(mine):
+                after = mine[n + 1][2] if n + 1 < len(mine) else above
+                best[s] = min(best.get(s, (total + 1, end)), (abs(under - targets[s]), first), (abs(under + size - targets[s]), after))
+                if under + size >= targets[s] or n + 1 == len(mine):
+                    bracket[s] = (first, (last[0], min(last[1], _HIGH - 1) + 1), under, after)
+                    if best[s][0] <= slack or first == last:
+                        open_.discard(s)
+                    break
+                under += size
+    return [best[s][1] for s in range(len(targets))]
 
 
 def key_columns(text_col: str = "text", id_col: str = "doc_id") -> dict[str, Column]:
     """The sort key (h, i) and the size of a row."""
     return {
-        "h": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        "h": F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 64 - _HASH_BITS),
         "i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)),
         "size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1,
     }
@@ -118,10 +123,10 @@ def shard_keyed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float
 
     def celled(df: DataFrame) -> DataFrame:
         sub = F.coalesce(F.floor((F.col("i").cast("double") - F.col("a")) / F.col("w")), F.lit(0)).cast("long")
-        place = F.shiftright(F.shiftrightunsigned("h", 1).bitwiseXOR(F.lit(1 << 62)), 63 - bits) if bits else F.lit(0).cast("long")
+        place = F.shiftright("h", _HASH_BITS - bits)
         # Within a stretch of hashes the rows below, of and above a hot hash are cells of their own.
         joined = df.join(hot, df["h"] == F.col("hot_h"), "left")
-        return joined.withColumns({"shard": _cell(splitters), "__p": place, "__h": F.when(F.col("hot_h").isNotNull(), F.col("h")), "__s": sub}).drop("hot_h", "a", "w")
+        return joined.withColumns({"shard": _shard(splitters), "__p": place, "__h": F.when(F.col("hot_h").isNotNull(), F.col("h")), "__s": sub}).drop("hot_h", "a", "w")
 
     cell = ["shard", "__p", "__h", "__s"]
     sized = celled(keys).groupBy(*cell).agg(F.count("*").alias("n"))
