@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import chat, quality, sharding, topk
+from nearfold.llm import chat, fm_index, quality, sharding, suffix_merge, topk
 from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeated_words(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.remove_repeated_bytes(_table(spark, sf_dir, "documents"), with_text=False)
