@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import chat, fm_index, quality, sharding, suffix_merge, topk
+from nearfold.llm import chat, fm_index, jaccard, quality, sharding, suffix_merge, topk
 from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_array_dedup")
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_merge.remove_repeated_bytes(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query(
+    "op9_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+        GROUP BY ALL
+    ), links AS MATERIALIZED (
+        SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * c >= 75 * (p.n + q.n - c)
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM words
+        UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    )
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+    FROM words d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
+)
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
