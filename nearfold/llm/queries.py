@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import chat, fm_index, jaccard, quality, sharding, suffix_merge, topk
+from nearfold.llm import chat, fm_index, jaccard, pii, quality, sharding, suffix_merge, topk
 from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
