@@ -15,7 +15,8 @@ Only DataFrame and SQL functions are used. Rows of a source are numbered in the
 id, in cells of about CELL_ROWS rows whose starts come from counts, so a large source is no single group.
 
 Edge cases: a null source is the source ''. A source without a weight, or with one that is not positive,
-gets one slot. Null ids and repeated rows are numbered like others. An empty table gives no rows.
+gets one slot. Null ids and repeated rows are numbered like others. An empty table gives no rows. Input
+columns with the names of added ones are replaced (``in_order`` keeps them).
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ CELL_ROWS = 20_000
 FEW_SOURCES = 10_000
 
 
+ADDED = ("block", "release", "deadline", "slot", "place", "in_mix")
+
+
 def shares(counts: DataFrame, weights: DataFrame | None, slots: int) -> DataFrame:
     """(src, n, a) with sum(a) = slots, for ``counts`` (src, n) and ``weights`` (src, weight)."""
     if weights is None:
@@ -78,7 +82,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "
     small = F.broadcast if sources <= FEW_SOURCES else (lambda df: df)
     quotas = shares(counts, weights, slots)
     # Cells: even stretches of the hash, as many as a source's rows need.
-    sized = small(quotas.select(F.col("src").alias("__src"), F.col("a").alias("__a"), "n", F.ceil(F.col("n") / CELL_ROWS).alias("__cells")))
+    sized = small(quotas.select(F.col("src").alias("__src"), F.col("a").alias("__a"), F.ceil(F.col("n") / CELL_ROWS).alias("__cells")))
     celled = rows.join(sized, "__src").withColumn("__cell", F.expr("(__h * __cells) div 1099511627776L"))
     by_source = Window.partitionBy("__src").orderBy("__cell")
     starts = celled.groupBy("__src", "__cell").agg(F.count("*").alias("__n")).select("__src", "__cell", (F.sum("__n").over(by_source) - F.col("__n")).alias("__start"))
@@ -87,24 +91,27 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "
     placed = numbered.withColumns({
         "block": F.expr(f"__i div {block_rows}"), "place": (F.col("__i") % block_rows).cast("int"),
     }).withColumns({"__j": F.expr("cast(block % __a AS int)"), "__p": F.expr(f"(block div __a) * {slots}L")})
-    plan = small(timetable(quotas, slots).select(F.col("src").alias("__src"), F.col("j").alias("__j"), "pos"))
+    plan = small(timetable(quotas, slots).select(F.col("src").alias("__src"), F.col("j").alias("__j"), F.col("pos").alias("__pos")))
     # The first slot that a source should fill and cannot: that of the block after its last.
     blocks = f"((n + {block_rows - 1}) div {block_rows})"
     ends = (
         quotas.select("src", F.expr(f"cast({blocks} % a AS int)").alias("j"), F.expr(f"({blocks} div a) * {slots}L").alias("p"))
         .join(timetable(quotas, slots), ["src", "j"]).agg(F.min(F.col("p") + F.col("pos")).alias("__end"))
     )
-    slot = F.col("__p") + F.col("pos")
+    slot = F.col("__p") + F.col("__pos")
     return (
         placed.join(plan, ["__src", "__j"]).join(F.broadcast(ends))
         .withColumns({
             "release": F.expr(f"__p + (__j * {slots}L) div __a"), "deadline": F.expr(f"__p + ((__j + 1) * {slots}L + __a - 1) div __a"),
             "slot": slot, "in_mix": slot < F.col("__end"),
         })
-        .select(*docs.columns, "block", "release", "deadline", "slot", "place", "in_mix")
+        .select(*(c for c in docs.columns if c not in ADDED), *ADDED)
     )
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, unchanged, in the order of the mixture: a partition holds a stretch of it."""
-    return mixed(docs, **options).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    own = docs.columns
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(own)), F.col(options.pop("source_col", "source")), F.col(options.pop("id_col", "doc_id")).alias("__id"))
+    ordered = mixed(renamed.withColumnRenamed(renamed.columns[-2], "__source"), source_col="__source", id_col="__id", **options)
+    return ordered.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(own)))

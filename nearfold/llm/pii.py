@@ -80,7 +80,7 @@ _LEFT = r"lower(regexp_extract(substring(text, greatest(s.start - 79, 1), least(
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` spans and ``others``: (start, end, token, left) of identifier-like tokens."""
+    """``docs`` with ``__base`` spans and ``__others``: (start, end, token, left) of identifier-like tokens."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     # One projection per step, so that no pattern runs twice over a text.
     df = df.withColumns({f"__{k}": _places(f"__{k}", PATTERNS[k], SIGNS.get(k)) for k in KINDS} | {"__other": _places("__other", CANDIDATE, None)})
@@ -92,15 +92,15 @@ def _scanned(docs: DataFrame) -> DataFrame:
     token = r"regexp_extract(s.value, r'\s(\S+)$', 1)"
     others = f"""transform(__other, s -> named_struct('start', s.end - length({token}), 'end', s.end, 'rank', {len(KINDS)},
         'kind', 'id', 'value', {token}, 'left', lower(regexp_extract(s.value, r'^(\\S+)', 1))))"""
-    df = df.withColumns({"base": F.expr(f"array_sort(concat({', '.join(spans)}))"), "others": F.expr(others)})
-    df = df.withColumn("others", F.expr("filter(others, o -> NOT exists(base, b -> b.start < o.end AND o.start < b.end))"))
+    df = df.withColumns({"__base": F.expr(f"array_sort(concat({', '.join(spans)}))"), "__others": F.expr(others)})
+    df = df.withColumn("__others", F.expr("filter(__others, o -> NOT exists(__base, b -> b.start < o.end AND o.start < b.end))"))
     return df.drop(*(f"__{k}" for k in [*KINDS, "other"]))
 
 
 def score_patterns(seen: DataFrame, docs: DataFrame) -> DataFrame:
-    """(pattern, confidence) of the trusted patterns; ``seen`` has base and others of every row."""
-    seeds = seen.select(F.explode("base").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(1).alias("seed"))
-    tokens = seen.select(F.explode("others").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(0).alias("seed"))
+    """(pattern, confidence) of the trusted patterns; ``seen`` has __base and __others of every row."""
+    seeds = seen.select(F.explode("__base").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(1).alias("seed"))
+    tokens = seen.select(F.explode("__others").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(0).alias("seed"))
     edges = seeds.unionByName(tokens).where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
     edges = staged(edges.join(strong, "pattern"), "pii-edges")
@@ -121,20 +121,20 @@ def score_patterns(seen: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``base`` and ``spans``, arrays of (start, end, rank, kind, value, left).
+    """The columns ``keep`` with ``__base`` and ``__spans``, arrays of (start, end, rank, kind, value, left).
 
-    ``docs`` needs a column text; ``spans`` holds the base spans and those that patterns add.
+    ``docs`` needs a column text; ``__spans`` holds the base spans and those that patterns add.
     """
-    seen = staged(_scanned(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, "base", "others").withColumn("__row", F.monotonically_increasing_id()), "pii-seen")
+    seen = staged(_scanned(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, "__base", "__others").withColumn("__row", F.monotonically_increasing_id()), "pii-seen")
     trusted = score_patterns(seen, docs)
     more = (
-        seen.where(F.size("others") > 0).select("__row", F.explode("others").alias("o"))
+        seen.where(F.size("__others") > 0).select("__row", F.explode("__others").alias("o"))
         .join(trusted.select(F.col("pattern")), F.col("o.left") == F.col("pattern"), "left_semi")
-        .groupBy("__row").agg(F.collect_list("o").alias("more"))
+        .groupBy("__row").agg(F.collect_list("o").alias("__more"))
     )
     joined = seen.join(more, "__row", "left")
-    every = F.expr(f"array_sort(concat(base, coalesce(more, cast(array() AS array<{_SPAN}>))))")
-    return joined.select(*keep, "base", every.alias("spans"))
+    every = F.expr(f"array_sort(concat(__base, coalesce(__more, cast(array() AS array<{_SPAN}>))))")
+    return joined.select(*keep, "__base", every.alias("__spans"))
 
 
 def written(spans: str) -> Column:
@@ -145,8 +145,8 @@ def written(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans per document of (doc_id, text)."""
     found = find_spans(docs, ["doc_id"])
-    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    counts = [F.expr(f"cast(size(filter(__base, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("__base"), 256).alias("base_sha256"), written("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -157,12 +157,12 @@ def redact(docs: DataFrame) -> DataFrame:
     own = docs.columns
     found = find_spans(docs, own)
     pieces = F.expr(
-        """aggregate(spans, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+        """aggregate(__spans, named_struct('at', 0, 'out', cast(array() AS array<string>)),
         (acc, s) -> IF(s.start < acc.at, named_struct('at', greatest(acc.at, s.end), 'out', acc.out),
             named_struct('at', s.end, 'out', array_append(acc.out, concat(substring(text, acc.at + 1, s.start - acc.at), '<', upper(s.kind), '>')))),
         acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1, 2147483647)))"""
     )
-    masked = found.withColumn("text", F.when(F.size("spans") > 0, pieces).otherwise(F.col("text")))
+    masked = found.withColumn("text", F.when(F.size("__spans") > 0, pieces).otherwise(F.col("text")))
     if "n_chars" in own:
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*own)

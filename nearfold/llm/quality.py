@@ -125,12 +125,15 @@ def measure(texts: Texts, languages: list[str | None], bands: dict[str, Band], m
     }
 
 
-def judge(docs: DataFrame, keep: list[str], bands: dict[str, Band] | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` of every document, then its measures; ``docs`` has text and lang."""
+def judge(docs: DataFrame, keep: list[str], bands: dict[str, Band] | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of every document, then its measures; ``docs`` has text and lang.
+
+    ``prefix`` keeps the measures' names apart from those of ``keep``.
+    """
     bands = bands or BANDS
     columns = [*dict.fromkeys([*keep, "text", "lang"])]
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), MEASURES])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(prefix + m.strip() for m in MEASURES.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(folder, vocabulary)
@@ -138,7 +141,7 @@ def judge(docs: DataFrame, keep: list[str], bands: dict[str, Band] | None = None
             at = {name: i for i, name in enumerate(batch.schema.names)}
             found = measure(Texts(batch.column(at["text"])), batch.column(at["lang"]).to_pylist(), bands, model)
             kept = [batch.column(at[c]) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v) for v in found.values())], [*keep, *found])
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v) for v in found.values())], [*keep, *(prefix + name for name in found)])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -146,4 +149,7 @@ def judge(docs: DataFrame, keep: list[str], bands: dict[str, Band] | None = None
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     own = docs.columns
-    return judge(docs, own, **options).where("kept").select(*own)
+    prefix = "measure_"
+    while any(c.startswith(prefix) for c in own):
+        prefix += "_"
+    return judge(docs, own, prefix=prefix, **options).where(f"{prefix}kept").select(*own)

@@ -11,7 +11,8 @@ one row alone is larger than that. A group of equal texts is split only where a
 
 Edge cases: a null text counts 1 byte (like an empty one) and has the checksum of no bytes; a null id
 sorts before all ids. Repeated rows are rows like others; equal keys are split by their order in the
-cell. Fewer rows than shards leave shards empty; an empty table gives no rows.
+cell. Fewer rows than shards leave shards empty; an empty table gives no rows. Input columns named size,
+shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ Key = tuple[int, int]
 def _at_least(key: Key) -> Column:
     """Is the row's key (h, i) at or above this one?"""
     h, i = key
-    return (F.col("h") > h) | ((F.col("h") == h) & (F.col("i") >= i))
+    return (F.col("__h") > h) | ((F.col("__h") == h) & (F.col("__i") >= i))
 
 
 def _shard(splitters: list[Key]) -> Column:
@@ -51,16 +52,16 @@ def _cell(brackets: list[tuple[Key, Key]]) -> Column:
     for n, (low, high) in enumerate(brackets):
         if low[0] == high[0]:
             step = (high[1] - low[1]) // (PROBES + 1) + 1
-            part = F.floor((F.col("i").cast("decimal(20,0)") - low[1]) / step)
+            part = F.floor((F.col("__i").cast("decimal(20,0)") - low[1]) / step)
         else:
             # Rows of the last hash that are below the border fall into the last part.
-            part = F.expr(f"(h - {low[0]}L) div {(high[0] - low[0]) // (PROBES + 1) + 1}L")
+            part = F.expr(f"(__h - {low[0]}L) div {(high[0] - low[0]) // (PROBES + 1) + 1}L")
         cell = F.when(_at_least(low) & ~_at_least(high), F.lit(n * 100) + part.cast("long")).otherwise(cell)
     return cell
 
 
 def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[Key]:
-    """Keys at which shards 1, 2, ... begin, for staged ``keys`` (h, i, size).
+    """Keys at which shards 1, 2, ... begin, for staged ``keys`` (__h, __i, size).
 
     A bracket (low, high, bytes below low) holds the splitter. Its ends are keys of rows. Each round lays probes into all open
     brackets, counts the bytes between them, and keeps the part in which the ideal place lies. A
@@ -75,7 +76,7 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -
     open_ = set(bracket)
     while open_:
         cut = sorted({bracket[s][:2] for s in open_})
-        key = F.struct("h", "i")
+        key = F.struct("__h", "__i")
         tally = keys.groupBy(_cell(cut).alias("cell")).agg(F.sum("size").alias("bytes"), F.min(key).alias("a"), F.max(key).alias("b"))
         rows = sorted((r["cell"], r["bytes"], tuple(r["a"]), tuple(r["b"])) for r in tally.where("cell is not null").collect())
         for s in list(open_):
@@ -98,16 +99,16 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -
 
 
 def key_columns(text_col: str = "text", id_col: str = "doc_id") -> dict[str, Column]:
-    """The sort key (h, i) and the size of a row."""
+    """The sort key (__h, __i) and the size of a row."""
     return {
-        "h": F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 64 - _HASH_BITS),
-        "i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)),
+        "__h": F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 64 - _HASH_BITS),
+        "__i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)),
         "size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1,
     }
 
 
 def shard_keyed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """``rows`` (h, i, size and any columns) with ``shard`` and ``slot``; ``keys`` is their staged key table.
+    """``rows`` (__h, __i, size and any columns) with ``shard`` and ``slot``; ``keys`` is their staged key table.
 
     A cell is a stretch of the order inside one shard, of about CELL_ROWS rows; a text with more copies
     than that is cut further by id. Rows are exchanged by cell, numbered in it and shifted by the rows
@@ -117,28 +118,28 @@ def shard_keyed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float
     total = keys.count()
     bits = min(40, max(0, (total // CELL_ROWS).bit_length()))
     hot = (
-        keys.groupBy("h").agg(F.count("*").alias("n"), F.min("i").alias("a"), F.max("i").alias("b")).where(F.col("n") > CELL_ROWS)
-        .select(F.col("h").alias("hot_h"), "a", ((F.col("b").cast("double") - F.col("a") + 1) / F.ceil(F.col("n") / CELL_ROWS)).alias("w"))
+        keys.groupBy("__h").agg(F.count("*").alias("n"), F.min("__i").alias("__a"), F.max("__i").alias("__b")).where(F.col("n") > CELL_ROWS)
+        .select(F.col("__h").alias("__hot"), "__a", ((F.col("__b").cast("double") - F.col("__a") + 1) / F.ceil(F.col("n") / CELL_ROWS)).alias("__w"))
     )
 
     def celled(df: DataFrame) -> DataFrame:
-        sub = F.coalesce(F.floor((F.col("i").cast("double") - F.col("a")) / F.col("w")), F.lit(0)).cast("long")
-        place = F.shiftright("h", _HASH_BITS - bits)
+        sub = F.coalesce(F.floor((F.col("__i").cast("double") - F.col("__a")) / F.col("__w")), F.lit(0)).cast("long")
+        place = F.shiftright("__h", _HASH_BITS - bits)
         # Within a stretch of hashes the rows below, of and above a hot hash are cells of their own.
-        joined = df.join(hot, df["h"] == F.col("hot_h"), "left")
-        return joined.withColumns({"shard": _shard(splitters), "__p": place, "__h": F.when(F.col("hot_h").isNotNull(), F.col("h")), "__s": sub}).drop("hot_h", "a", "w")
+        joined = df.join(hot, df["__h"] == F.col("__hot"), "left")
+        return joined.withColumns({"shard": _shard(splitters), "__p": place, "__t": F.when(F.col("__hot").isNotNull(), F.col("__h")), "__s": sub}).drop("__hot", "__a", "__w")
 
-    cell = ["shard", "__p", "__h", "__s"]
+    cell = ["shard", "__p", "__t", "__s"]
     sized = celled(keys).groupBy(*cell).agg(F.count("*").alias("n"))
-    by_shard = Window.partitionBy("shard").orderBy("__p", F.col("__h").asc_nulls_first(), "__s")
+    by_shard = Window.partitionBy("shard").orderBy("__p", F.col("__t").asc_nulls_first(), "__s")
     starts = sized.withColumn("__start", F.sum("n").over(by_shard) - F.col("n")).drop("n")
-    in_cell = Window.partitionBy(*cell).orderBy("h", "i")
-    numbered = celled(rows).withColumn("__n", F.row_number().over(in_cell)).alias("r")
+    in_cell = Window.partitionBy(*cell).orderBy("__h", "__i")
+    numbered = celled(rows).withColumn("__n", F.row_number().over(in_cell))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cell]
     return (
-        numbered.join(starts.alias("s"), on)
-        .select("r.*", (F.col("s.__start") + F.col("r.__n") - 1).alias("slot"))
-        .drop("__p", "__h", "__s", "__n")
+        numbered.alias("r").join(starts.alias("s"), on)
+        .select(*(F.col(f"r.`{c}`") for c in numbered.columns if c != "slot"), (F.col("s.__start") + F.col("r.__n") - 1).alias("slot"))
+        .drop("__p", "__t", "__s", "__n")
     )
 
 
@@ -146,4 +147,4 @@ def shard_by_bytes(rows: DataFrame, shards: int, text_col: str = "text", id_col:
     """The rows, all columns, with ``size``, ``shard`` (from 0) and ``slot`` (gapless in its shard)."""
     key = key_columns(text_col, id_col)
     keys = staged(rows.select(*(c.alias(n) for n, c in key.items())), "shard-keys")
-    return shard_keyed(rows.withColumns(key), keys, shards, tolerance).drop("h", "i")
+    return shard_keyed(rows.withColumns(key), keys, shards, tolerance).drop("__h", "__i")
