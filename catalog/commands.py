@@ -17,16 +17,17 @@ MARKER = "benchmark://"
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One command per order and return flag, one pass per line number; some are empty.
+    """One command per order and return flag, one pass per line of it, repeats included; some are empty.
 
-    There are only seven line numbers, so no group grows with the table.
+    An order's lines do not grow with the table.
     """
     names = F.array(*[F.lit(p) for p in PASSES])
-    masks = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
-        F.bit_or(F.expr("shiftleft(1, l_linenumber)")).alias("mask"), F.max("l_quantity").alias("most")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
+        F.array_sort(F.collect_list(line)).alias("steps"), F.max("l_quantity").alias("most")
     )
-    steps = masks.withColumn("steps", F.expr("filter(sequence(1, 7), i -> getbit(mask, i) = 1)"))
-    passes = F.array_join(F.transform("steps", lambda i: F.concat(F.lit("-"), F.element_at(names, i))), " ")
+    named = F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, s["l_linenumber"].cast("int"))))
+    passes = F.array_join(named, " ")
     short = F.concat(F.lit("opt "), passes, F.lit(" input.bc -o output.bc"))
     long = F.concat(F.lit("/usr/bin/opt-10  "), passes, F.lit(" x/input.bc -o 'out file.bc'"))
     line = F.when(F.col("most") < 5, "").when(F.col("l_returnflag") == "N", long).otherwise(short)
@@ -39,8 +40,8 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMMANDS_SQL = f"""WITH steps AS (
   SELECT l_orderkey, l_returnflag AS flag, max(l_quantity) AS most,
-    string_agg('-' || {list(PASSES)!r}[l_linenumber], ' ' ORDER BY l_linenumber) AS passes
-  FROM (SELECT l_orderkey, l_returnflag, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)
+    string_agg('-' || {list(PASSES)!r}[l_linenumber], ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS passes
+  FROM lineitem
   GROUP BY l_orderkey, l_returnflag
 ), commands AS (
   SELECT 'benchmark://set-v1/Source_' || l_orderkey || '.bc' AS benchmark, flag, l_orderkey, passes,
@@ -93,7 +94,7 @@ def pass_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "resolve_actions",
     COMMANDS_SQL + f""", used AS (
-  SELECT DISTINCT l.l_orderkey, l.l_returnflag AS flag, l.l_linenumber AS i FROM lineitem l
+  SELECT l.l_orderkey, l.l_returnflag AS flag, l.l_linenumber AS i FROM lineitem l
   JOIN steps s ON s.l_orderkey = l.l_orderkey AND s.flag = l.l_returnflag AND s.most >= 5
 )
 SELECT c.benchmark || '#' || c.flag AS id,
@@ -219,12 +220,10 @@ SELECT CAST(l_orderkey AS VARCHAR) AS code_id, passes FROM (
 )
 def sequence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass lists keyed by code id, from the stored text of every order."""
-    flag = F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (flag * 8 + F.col("l_linenumber")).alias("bit"))
-    masks = lines.groupBy("l_orderkey").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"))
-    steps = masks.withColumn("steps", F.expr("filter(sequence(1, 23), i -> getbit(mask, i) = 1)"))
+    line = F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("steps"))
     names = F.array(*[F.lit(p) for p in PASSES])
-    text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, (s % 8).cast("int")))), "\n")
+    text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("-"), F.element_at(names, s["l_linenumber"].cast("int")))), "\n")
     stored = steps.select(
         F.concat(F.lit("sequence/"), F.col("l_orderkey").cast("string"), F.lit("_seq.txt")).alias("path"), text.alias("text")
     )

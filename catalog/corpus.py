@@ -143,7 +143,7 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line per line number and flags, so that no program grows with the table."""
+    """One line of text per line of an order; an order's lines do not grow with the table."""
     part = F.col("l_partkey").cast("string")
     number = F.col("l_linenumber").cast("string")
     line = (
@@ -153,8 +153,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linestatus") == "F", F.concat(F.lit("  ; ret "), part))
         .otherwise(F.concat(F.lit("}\n  %z = mul i32 1, 2\ndefine i32 @f"), part, F.lit("() {\nret:   ; preds = %0\n\t!dbg")))
     )
-    kinds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    lines = kinds.agg(F.min("l_partkey").alias("l_partkey")).select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.struct(F.col("l_linenumber").alias("n"), line.alias("line")).alias("l")
     )
     body = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("ls"))
@@ -172,7 +171,7 @@ PROGRAMS_SQL = rf"""WITH items AS (
     WHEN l_linestatus = 'F' THEN '  ; ret ' || l_partkey
     ELSE '}}' || chr(10) || '  %z = mul i32 1, 2' || chr(10) || 'define i32 @f' || l_partkey || '() {{' || chr(10)
          || 'ret:   ; preds = %0' || chr(10) || chr(9) || '!dbg' END AS line
-  FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)
+  FROM lineitem
 ), programs AS (
   SELECT l_orderkey AS doc_id, 'declare void @g()' || chr(10) || '  %z = sub i32 1, 2' || chr(10) || 'define i32 @main(i32 %a) {{' || chr(10)
     || 'entry:' || chr(10) || string_agg(line, chr(10) ORDER BY n, line) || chr(10) || '  fneg float %x' || chr(10)

@@ -9,7 +9,7 @@ from catalog.inputs import SETTING_SQL, clusters, label_membership, setting, vec
 from catalog.registry import query, table
 from nearfold.operators import clusters as cl
 from nearfold.operators import retrieval as rt
-from nearfold.operators.nearest import all_distances, collect_centres, nearest_centres
+from nearfold.operators.nearest import all_distances, nearest_centres
 from nearfold.operators.scaling import fit_scaler
 from nearfold.plans.clustering import cluster_vectors
 from nearfold.session import staged
@@ -62,10 +62,8 @@ def missing_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = setting(spark, sf_dir)
-    reps = collect_centres(rt.representative_vectors(s.clusters, s.vectors), s.scaler)
-    if reps is None:
-        raise ValueError("every distance is only listed for a broadcastable set of clusters; use nearest_cluster")
-    return all_distances(s.vectors, reps).withColumn("distance", F.round("distance", 6))
+    reps = rt.representative_vectors(s.clusters, s.vectors)
+    return all_distances(s.vectors, reps, scaler=s.scaler).withColumn("distance", F.round("distance", 6))
 
 
 @query(

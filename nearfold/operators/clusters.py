@@ -13,10 +13,21 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfold.functions.columns import by_numeric_id, numeric_id
 from nearfold.functions.vectors import as_doubles, distance
-from nearfold.operators.nearest import _best, _matrix, collect_centres, nearest_centres, squared_distances
+from nearfold.operators.nearest import (
+    BLOCKS_PER_STAGE,
+    _matrix,
+    _merged,
+    all_but_last,
+    centre_blocks,
+    nearest_centres,
+    so_far,
+    squared_distances,
+    tiles,
+)
 from nearfold.operators.scaling import Scaler
 from nearfold.session import staged
 
@@ -57,37 +68,34 @@ def assignments(neighbours: DataFrame, id_col: str = "id") -> DataFrame:
 def _member_means(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None) -> DataFrame:
     """(cluster_id, moved): mean of the vectors nearest to each centre.
 
-    With broadcast centres each batch sends one partial mean per cluster, so
-    neither vectors nor assignments leave the task.
+    Each batch sends one partial mean per cluster, so neither vectors nor
+    assignments leave the task.
     """
-    known = collect_centres(centres, scaler)
-    if known is None:
-        near = nearest_centres(vectors, centres, 1, scaler, keep_vector=True)
-        label = F.get("neighbours", 0)["cluster_id"].alias("cluster_id")
-        return near.groupBy(label).agg(vector_mean(F.col("embedding")).alias("moved"))
-    shared = vectors.sparkSession.sparkContext.broadcast((known.ids, known.vectors, known.mean, known.deviation))
+    rows, last = all_but_last(vectors.select("embedding"), centres, 1, scaler, "embedding")
+    shared = vectors.sparkSession.sparkContext.broadcast((last.ids, last.vectors, last.mean, last.deviation))
 
     def run(batches):
-        ids, rows, mean, deviation = shared.value
+        ids, block, mean, deviation = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column(0), rows.shape[1])
-            label = _best(x if mean is None else (x - mean) / deviation, rows, 1)[0][:, 0]
+            x = _matrix(batch.column(batch.schema.get_field_index("embedding")), block.shape[1])
+            scaled = x if mean is None else (x - mean) / deviation
+            label = _merged(so_far(batch), scaled, ids, block, 1)[0][:, 0]
             order = np.argsort(label, kind="stable")
             found, start, n = np.unique(label[order], return_index=True, return_counts=True)
             means = np.add.reduceat(x[order], start, axis=0) / n[:, None]
             bounds = np.arange(0, means.size + 1, means.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[found].astype(np.int32)),
+                    pa.array(found.astype(np.int32)),
                     pa.array(n.astype(np.int64)),
                     pa.ListArray.from_arrays(bounds, pa.array(means.ravel())),
                 ],
                 names=["cluster_id", "n", "part"],
             )
 
-    parts = vectors.select("embedding").mapInArrow(run, "cluster_id INT, n BIGINT, part ARRAY<DOUBLE>")
+    parts = rows.mapInArrow(run, "cluster_id INT, n BIGINT, part ARRAY<DOUBLE>")
     return parts.groupBy("cluster_id").agg(vector_mean(F.col("part"), F.col("n")).alias("moved"))
 
 
@@ -114,27 +122,43 @@ def lloyd(vectors: DataFrame, start: DataFrame, iterations: int, scaler: Scaler
 def inertia_by_k(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None = None) -> DataFrame:
     """(k, inertia) when the first k centres by cluster_id are used.
 
-    One pass: each batch keeps a running minimum over the centres and sends
-    one partial sum per k.
+    Block by block of the centres: each row carries its smallest squared distance so
+    far, and each batch sends one partial sum per k.
     """
-    known = collect_centres(centres, scaler)
-    if known is None:
-        raise ValueError("an inertia curve needs centres that fit a broadcast")
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (known.vectors, known.mean, known.deviation)
-    )
-
-    def run(batches):
-        rows, mean, deviation = shared.value
-        for batch in batches:
-            x = _matrix(batch.column(0), rows.shape[1])
+    rows, offset, curve = vectors.select("embedding"), 0, None
+    for number, block in enumerate(centre_blocks(centres, scaler)):
+        shared = vectors.sparkSession.sparkContext.broadcast((block.vectors, block.mean, block.deviation))
+
+        def running(batch, shared=shared):
+            """Per tile of rows: the running minimum over the block's centres."""
+            block_rows, mean, deviation = shared.value
+            x = _matrix(batch.column(0), block_rows.shape[1])
             x = x if mean is None else (x - mean) / deviation
-            best = np.minimum.accumulate(squared_distances(x, rows), axis=1).sum(axis=0)
-            ks = np.arange(1, len(best) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(best)], names=["k", "part"])
-
-    parts = vectors.select("embedding").mapInArrow(run, "k INT, part DOUBLE")
-    return parts.groupBy("k").agg(F.sum("part").alias("inertia"))
+            for tile in tiles(len(x), len(block_rows)):
+                squared = squared_distances(x[tile], block_rows)
+                if batch.num_columns > 1:
+                    squared[:, 0] = np.minimum(squared[:, 0], batch.column(1).to_numpy()[tile])
+                yield np.minimum.accumulate(squared, axis=1)
+
+        def sums(batches, running=running, offset=offset):
+            for batch in batches:
+                for least in running(batch):
+                    ks = np.arange(1, least.shape[1] + 1, dtype=np.int32) + offset
+                    yield pa.RecordBatch.from_arrays([pa.array(ks.astype(np.int32)), pa.array(least.sum(axis=0))], names=["k", "part"])
+
+        def carried(batches, running=running):
+            for batch in batches:
+                least = [m[:, -1] for m in running(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(least or [np.zeros(0)]))], names=["embedding", "least"])
+
+        part = rows.mapInArrow(sums, "k INT, part DOUBLE").groupBy("k").agg(F.sum("part").alias("inertia"))
+        curve = part if curve is None else curve.unionByName(part)
+        offset += len(block.ids)
+        schema = T.StructType([vectors.schema["embedding"], T.StructField("least", T.DoubleType())])
+        rows = rows.mapInArrow(carried, schema)
+        if number % BLOCKS_PER_STAGE == BLOCKS_PER_STAGE - 1:
+            rows = staged(rows, "least-so-far")
+    return curve
 
 
 def elbow_k(curve: DataFrame) -> DataFrame:

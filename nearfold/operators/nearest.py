@@ -1,25 +1,24 @@
 """Distances from many vectors to a set of centres.
 
-The centres are the small side. While they fit ``BROADCAST_BYTES`` they travel
-as one broadcast matrix and every sample is handled where it lies, without a
-shuffle. Beyond that both sides are cut into blocks, the blocks meet in a grid,
-and only the k best per sample and block are merged. Neither way ever builds
-the full samples-by-centres matrix.
+The centres are cut into blocks of a fixed size, in ascending order of their ids. Each block is
+broadcast and meets every sample where it lies: a narrow step merges the block's k nearest into the
+sample's best so far. One block is the ordinary case, many are a longer chain of the same steps;
+nothing is grouped or joined, so ids may be missing or repeated. Rows are worked on in tiles, so no
+array in a task exceeds a fixed size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.operators.scaling import Scaler
-from nearfold import session
+from nearfold.session import staged
 
 NEIGHBOURS = T.ArrayType(
     T.StructType(
@@ -31,8 +30,11 @@ NEIGHBOURS = T.ArrayType(
     )
 )
 
-#: Samples per grid slice when the centres do not fit a broadcast.
-SLICE_ROWS = 200_000
+#: Bytes of centre vectors in a block, and of the largest array a task builds over rows and centres.
+BLOCK_BYTES = 32 * 1024 * 1024
+TILE_BYTES = 32 * 1024 * 1024
+#: Blocks after which the best so far is written to the shared folder.
+BLOCKS_PER_STAGE = 8
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -54,36 +56,47 @@ def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def tiles(rows: int, centres: int) -> Iterator[slice]:
+    """Stretches of rows whose matrix against the centres stays within TILE_BYTES."""
+    step = max(1, TILE_BYTES // (8 * max(centres, 1)))
+    for begin in range(0, rows, step):
+        yield slice(begin, min(begin + step, rows))
+
+
 def _best(x: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and distances of the k nearest centres, ties to the lower index.
 
-    With many centres a matrix product first rules out all that cannot be among
-    the k nearest, using a bound on its rounding error; the rest are measured
-    exactly.
+    A matrix product rules out all that cannot be among the k nearest, using a
+    bound on its rounding error; only the rest are measured exactly and ordered.
     """
-    k = min(k, centres.shape[0])
-    if centres.shape[0] <= 64:
-        squared = squared_distances(x, centres)
-        order = np.argsort(squared, axis=1, kind="stable")[:, :k]
-        return order, np.sqrt(np.take_along_axis(squared, order, axis=1))
-    xx = np.einsum("ij,ij->i", x, x)[:, None]
+    n, k = x.shape[0], min(k, centres.shape[0])
+    index, squared = np.empty((n, k), dtype=np.int64), np.empty((n, k))
     cc = np.einsum("ij,ij->i", centres, centres)[None, :]
-    rough = xx + cc - 2.0 * (x @ centres.T)
-    slack = 8.0 * np.finfo(np.float64).eps * (x.shape[1] + 4) * (xx + cc.max())
-    cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 2.0 * slack
-    rows, cols = np.nonzero(rough <= cut)
-    diff = x[rows] - centres[cols]
-    exact = np.full(rough.shape, np.inf)
-    exact[rows, cols] = np.einsum("ij,ij->i", diff, diff)
-    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    return order, np.sqrt(np.take_along_axis(exact, order, axis=1))
-
-
-def _neighbour_array(ids: np.ndarray, order: np.ndarray, dist: np.ndarray) -> pa.Array:
-    n, k = order.shape
+    for tile in tiles(n, centres.shape[0]):
+        part = x[tile]
+        xx = np.einsum("ij,ij->i", part, part)[:, None]
+        rough = xx + cc - 2.0 * (part @ centres.T)
+        slack = 8.0 * np.finfo(np.float64).eps * (x.shape[1] + 4) * (xx + cc.max())
+        cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 2.0 * slack
+        rows, cols = np.nonzero(rough <= cut)
+        exact = np.empty(len(rows))
+        step = max(1, TILE_BYTES // (8 * x.shape[1]))
+        for begin in range(0, len(rows), step):
+            few = slice(begin, begin + step)
+            diff = part[rows[few]] - centres[cols[few]]
+            exact[few] = np.einsum("ij,ij->i", diff, diff)
+        order = np.lexsort((cols, exact, rows))
+        first = np.searchsorted(rows, np.arange(len(part)))
+        chosen = order[first[:, None] + np.arange(k)]
+        index[tile], squared[tile] = cols[chosen], exact[chosen]
+    return index, np.sqrt(squared)
+
+
+def _neighbour_array(ids: np.ndarray, dist: np.ndarray) -> pa.Array:
+    n, k = ids.shape
     rank = np.tile(np.arange(1, k + 1, dtype=np.int32), n)
     entry = pa.StructArray.from_arrays(
-        [pa.array(rank), pa.array(ids[order].ravel().astype(np.int32)), pa.array(dist.ravel())],
+        [pa.array(rank), pa.array(ids.ravel().astype(np.int32)), pa.array(dist.ravel())],
         fields=[
             pa.field("rank", pa.int32()),
             pa.field("cluster_id", pa.int32()),
@@ -93,8 +106,21 @@ def _neighbour_array(ids: np.ndarray, order: np.ndarray, dist: np.ndarray) -> pa
     return pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), entry)
 
 
+def _merged(so_far: pa.Array | None, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest among a block and the best of the blocks before it."""
+    order, dist = _best(x, vectors, k)
+    near = ids[order]
+    if so_far is not None:
+        known = so_far.flatten()
+        near = np.hstack((known.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(x), -1), near))
+        dist = np.hstack((known.field("distance").to_numpy(zero_copy_only=False).reshape(len(x), -1), dist))
+        chosen = np.lexsort((near, dist), axis=1)[:, :k]
+        near, dist = np.take_along_axis(near, chosen, axis=1), np.take_along_axis(dist, chosen, axis=1)
+    return near, dist
+
+
 class Centres:
-    """Centres known to fit a broadcast: ids ascending, vectors already scaled."""
+    """A block of centres: ids ascending, vectors already scaled."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, scaler: Scaler | None):
         order = np.argsort(ids, kind="stable")
@@ -103,14 +129,17 @@ class Centres:
         self.deviation = np.asarray(scaler.deviation) if scaler else None
 
 
-def collect_centres(
-    centres: DataFrame, scaler: Scaler | None = None, id_col: str = "cluster_id", vector_col: str = "embedding"
-) -> Centres | None:
-    """Bring centres to the driver, or None when they are too large for a broadcast.
+def centre_blocks(
+    centres: DataFrame | Centres, scaler: Scaler | None = None, id_col: str = "cluster_id", vector_col: str = "embedding"
+) -> Iterator[Centres]:
+    """The centres block by block, in ascending order of ids; the driver holds one block at a time.
 
-    A row limit bounds what is fetched, so one job both checks and collects.
+    A row limit bounds what is fetched, so for a single block one job both checks and collects.
     """
-    rows = centres.select(F.col(id_col).cast("int"), F.col(vector_col).cast("array<double>"))
+    if isinstance(centres, Centres):
+        yield centres
+        return
+    rows = centres.select(F.col(id_col).cast("int").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     if scaler is not None:
         dim = scaler.dim
     else:
@@ -118,38 +147,50 @@ def collect_centres(
         if first is None:
             raise ValueError("no centres to measure against")
         dim = len(first[1])
-    most = session.BROADCAST_BYTES // (8 * dim)
+    most = max(1, BLOCK_BYTES // (8 * dim))
     found = rows.limit(most + 1).toArrow()
-    if found.num_rows > most:
-        return None
     if found.num_rows == 0:
         raise ValueError("no centres to measure against")
-    vectors = _matrix(found.column(1), dim)
-    if scaler is not None:
-        vectors = (vectors - np.asarray(scaler.mean)) / np.asarray(scaler.deviation)
-    return Centres(found.column(0).to_numpy(), vectors, scaler)
+    if found.num_rows <= most:
+        parts = [found]
+    else:
+        rows = staged(rows, "centres")
+        n = -(-rows.count() // most)
+        # Borders of about equal shares; a block that still comes out larger is only a larger broadcast.
+        borders = sorted({int(b) for b in rows.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)})
+        low = [None, *borders]
+        high = [*borders, None]
+        kept = [
+            (F.lit(True) if a is None else F.col("id") >= a) & (F.lit(True) if b is None else F.col("id") < b)
+            for a, b in zip(low, high, strict=True)
+        ]
+        parts = (rows.filter(k).toArrow() for k in kept)
+    for part in parts:
+        if part.num_rows:
+            vectors = _matrix(part.column(1), dim)
+            if scaler is not None:
+                vectors = (vectors - np.asarray(scaler.mean)) / np.asarray(scaler.deviation)
+            yield Centres(part.column(0).to_numpy(), vectors, scaler)
+
+
+#: Works on one Arrow batch: (scaled vectors, centre ids, centres, the batch) to added columns.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], list[tuple[str, pa.Array]]]
 
 
 def map_vectors(
-    samples: DataFrame,
-    centres: Centres,
-    kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[str, pa.Array]]],
-    added: list[T.StructField],
-    vector_col: str = "embedding",
-    keep_vector: bool = False,
+    samples: DataFrame, centres: Centres, kernel: Kernel, added: list[T.StructField], vector_col: str = "embedding", kept: list[str] | None = None
 ) -> DataFrame:
-    """Run ``kernel`` over Arrow batches of samples against broadcast centres.
+    """Run ``kernel`` over Arrow batches of samples against a broadcast block.
 
-    Every column other than the vector is passed through, so this is a narrow
-    step that also works on a streaming table.
+    The columns ``kept`` are passed through, so this is a narrow step that also works on a
+    streaming table.
     """
-    kept = [f for f in samples.schema.fields if keep_vector or f.name != vector_col]
-    schema = T.StructType(kept + added)
+    names = [c for c in samples.columns if kept is None or c in kept]
+    schema = T.StructType([samples.schema[c] for c in names] + added)
     # Plain arrays, because broadcast values are read back before any package code is.
     shared = samples.sparkSession.sparkContext.broadcast(
         (centres.ids, centres.vectors, centres.mean, centres.deviation)
     )
-    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, mean, deviation = shared.value
@@ -157,7 +198,7 @@ def map_vectors(
             if batch.num_rows == 0:
                 continue
             x = _matrix(batch.column(batch.schema.get_field_index(vector_col)), vectors.shape[1])
-            extra = kernel(x if mean is None else (x - mean) / deviation, ids, vectors)
+            extra = kernel(x if mean is None else (x - mean) / deviation, ids, vectors, batch)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(
                 arrays + [a for _, a in extra], names=names + [n for n, _ in extra]
@@ -166,6 +207,31 @@ def map_vectors(
     return samples.mapInArrow(run, schema)
 
 
+SO_FAR = "__neighbours"
+
+
+def all_but_last(samples: DataFrame, centres: DataFrame | Centres, k: int, scaler: Scaler | None, vector_col: str) -> tuple[DataFrame, Centres]:
+    """Samples with the k nearest of every block but the last (a column SO_FAR if there are any), and the last block."""
+
+    def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
+        return [(SO_FAR, _neighbour_array(*_merged(so_far(batch), x, ids, vectors, k)))]
+
+    last = None
+    own = samples.columns
+    for number, block in enumerate(centre_blocks(centres, scaler)):
+        if last is not None:
+            samples = map_vectors(samples, last, kernel, [T.StructField(SO_FAR, NEIGHBOURS)], vector_col, own)
+            if number % BLOCKS_PER_STAGE == 0:
+                samples = staged(samples, "neighbours-so-far")
+        last = block
+    return samples, last
+
+
+def so_far(batch: pa.RecordBatch) -> pa.Array | None:
+    at = batch.schema.get_field_index(SO_FAR)
+    return None if at < 0 else batch.column(at)
+
+
 def nearest_centres(
     samples: DataFrame,
     centres: DataFrame | Centres,
@@ -176,96 +242,38 @@ def nearest_centres(
     keep_vector: bool = False,
 ) -> DataFrame:
     """Add ``neighbours``: the k nearest centres by (distance, cluster_id)."""
-    if isinstance(centres, DataFrame):
-        known = collect_centres(centres, scaler)
-        if known is None:
-            return _nearest_in_grid(samples, centres, k, scaler, id_col, vector_col, keep_vector)
-        centres = known
+    own = [c for c in samples.columns if keep_vector or c != vector_col]
+    samples, last = all_but_last(samples, centres, k, scaler, vector_col)
 
-    def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> list[tuple[str, pa.Array]]:
-        order, dist = _best(x, vectors, k)
-        return [("neighbours", _neighbour_array(ids, order, dist))]
+    def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
+        return [("neighbours", _neighbour_array(*_merged(so_far(batch), x, ids, vectors, k)))]
 
-    added = [T.StructField("neighbours", NEIGHBOURS)]
-    return map_vectors(samples, centres, kernel, added, vector_col, keep_vector)
+    return map_vectors(samples, last, kernel, [T.StructField("neighbours", NEIGHBOURS)], vector_col, own)
 
 
 def all_distances(
-    samples: DataFrame, centres: Centres, id_col: str = "id", vector_col: str = "embedding"
+    samples: DataFrame, centres: DataFrame | Centres, id_col: str = "id", vector_col: str = "embedding", scaler: Scaler | None = None
 ) -> DataFrame:
-    """Long form (id, cluster_id, distance) against every broadcast centre."""
-    every = nearest_centres(samples.select(id_col, vector_col), centres, len(centres.ids), None, id_col, vector_col)
-    return every.select(id_col, F.explode("neighbours").alias("n")).select(id_col, "n.cluster_id", "n.distance")
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _nearest_in_grid(
-    samples: DataFrame,
-    centres: DataFrame,
-    k: int,
-    scaler: Scaler | None,
-    id_col: str,
-    vector_col: str,
-    keep_vector: bool,
-) -> DataFrame:
-    """Exact k nearest when the centres are too large to broadcast.
-
-    Centres fall into blocks and samples into slices; each (slice, block) pair
-    is one bounded group. Only k entries per sample and block are shuffled on.
-    """
-    dim = centres.agg(F.max(F.size(vector_col))).head()[0]
-    n_centres, n_samples = centres.count(), samples.count()
-    blocks = max(1, math.ceil(n_centres * dim * 8 / session.BROADCAST_BYTES))
-    slices = max(1, math.ceil(n_samples / SLICE_ROWS))
-    grid_centres = centres.select(
-        F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).alias("block"),
-        F.explode(_numbers(slices)).alias("slice"),
-        F.col("cluster_id").cast("int"),
-        F.col(vector_col).cast("array<double>").alias(vector_col),
-    )
-    grid_samples = samples.select(
-        F.explode(_numbers(blocks)).alias("block"),
-        F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("slice"),
-        F.col(id_col),
-        F.col(vector_col).cast("array<double>").alias(vector_col),
-    )
-
-    mean = np.asarray(scaler.mean) if scaler else np.zeros(dim)
-    deviation = np.asarray(scaler.deviation) if scaler else np.ones(dim)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            nothing = pa.array([], arrow_type)
-            return pa.table({id_col: left.column(id_col).slice(0, 0), "neighbours": nothing})
-        ids = right.column("cluster_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        centre_rows = (_matrix(right.column(vector_col), dim)[order] - mean) / deviation
-        x = (_matrix(left.column(vector_col), dim) - mean) / deviation
-        best, dist = _best(x, centre_rows, k)
-        return pa.table({id_col: left.column(id_col), "neighbours": _neighbour_array(ids[order], best, dist)})
-
-    arrow_type = pa.list_(
-        pa.struct([("rank", pa.int32()), ("cluster_id", pa.int32()), ("distance", pa.float64())])
-    )
-    schema = T.StructType([samples.schema[id_col], T.StructField("neighbours", NEIGHBOURS)])
-    partial = (
-        grid_samples.groupBy("slice", "block")
-        .cogroup(grid_centres.groupBy("slice", "block"))
-        .applyInArrow(meet, schema)
-    )
-    entry = F.transform("neighbours", lambda n: F.struct(n["distance"].alias("distance"), n["cluster_id"].alias("cluster_id")))
-    merged = partial.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("found"))
-    ranked = F.transform(
-        F.slice("found", 1, k),
-        lambda n, i: F.struct(
-            (i + 1).cast("int").alias("rank"), n["cluster_id"].alias("cluster_id"), n["distance"].alias("distance")
-        ),
-    )
-    best = merged.select(id_col, ranked.alias("neighbours"))
-    others = [c for c in samples.columns if c != id_col and (keep_vector or c != vector_col)]
-    if not others:
-        return best
-    return samples.select(id_col, *others).join(best, id_col)
+    """Long form (id, cluster_id, distance) against every centre, block by block and tile by tile."""
+    narrow = samples.select(id_col, vector_col)
+    schema = T.StructType([narrow.schema[id_col], T.StructField("cluster_id", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    found = None
+    for block in centre_blocks(centres, scaler):
+        shared = samples.sparkSession.sparkContext.broadcast((block.ids, block.vectors, block.mean, block.deviation))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors, mean, deviation = shared.value
+            for batch in batches:
+                x = _matrix(batch.column(1), vectors.shape[1])
+                x = x if mean is None else (x - mean) / deviation
+                for tile in tiles(len(x), len(ids)):
+                    dist = np.sqrt(squared_distances(x[tile], vectors))
+                    who = pa.array(np.repeat(np.arange(tile.start, tile.stop), len(ids)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(who), pa.array(np.tile(ids.astype(np.int32), dist.shape[0])), pa.array(dist.ravel())],
+                        names=schema.names,
+                    )
+
+        part = narrow.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    return found

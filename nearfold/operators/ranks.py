@@ -7,58 +7,37 @@ from pyspark.sql import functions as F
 
 from nearfold.session import staged
 
-#: Rank error of the bracketing sketch is at most one in this many rows.
-SKETCH_ACCURACY = 10_000
-
-#: Groups up to this size are ordered whole; the bracket pays off beyond it.
-ORDERED_ROWS = 100_000
-
-
 def group_percentile(df: DataFrame, group: str, value: str, q: float, name: str) -> DataFrame:
     """Linear-interpolated ``q`` quantile of ``value`` per group, exactly.
 
-    A sketch with a known rank error gives each group a narrow bracket around
-    the wanted ranks. Rows below the bracket are only counted, equal values in
-    it are tallied before the shuffle, and only the tally of the bracket, well
-    under a thousandth of a group, is put in order. A group with a third of all
-    rows, or one far outlier, is therefore no burden.
+    Equal values of a group are tallied before the shuffle. The tally is range-partitioned by
+    (group, value), so a large group spans many partitions; sums per group and partition tell
+    which of them hold the two wanted ranks, and only these are put in order.
     """
     v = F.col(value).cast("double")
-    known = df.select(F.col(group), v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    # Four times the sketch's error: for a large group that also covers the
-    # difference between its rank convention and the interpolated one.
-    margin = 4.0 / SKETCH_ACCURACY
-    large = F.count("*") > ORDERED_ROWS
-    low, high = F.min("v"), F.max("v")
-    if q > margin:
-        low = F.when(large, F.percentile_approx("v", q - margin, SKETCH_ACCURACY)).otherwise(low)
-    if q < 1 - margin:
-        high = F.when(large, F.percentile_approx("v", q + margin, SKETCH_ACCURACY)).otherwise(high)
-    # Written out, so that its true size lets it be broadcast: the rows are then
-    # tallied where they lie and never shuffled by a possibly very uneven group.
-    bracket = staged(
-        known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total")), "brackets"
-    )
-    # NULL stands for "somewhere below the bracket" and sorts first.
-    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
-    tally = (
-        known.join(bracket, group)
-        .filter(F.col("v") <= F.col("high"))
-        .groupBy(group, "total", inside.alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
-    target = (F.col("total") - 1) * F.lit(float(q))
-    before = Window.partitionBy(group).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tally.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    known = df.select(F.col(group).alias("g"), v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    tally = known.groupBy("g", "v").agg(F.count("*").alias("n"))
+    # Written out, because the partition numbers must not change between the two uses.
+    ranged = staged(tally.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    in_group = Window.partitionBy("g")
+    before = in_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    target = (F.sum("n").over(in_group) - 1) * F.lit(float(q))
+    placed = sums.select("g", "part", "n", target.alias("target"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    wanted = placed.filter(
+        (F.col("base") <= F.ceil("target")) & (F.floor("target") < F.col("base") + F.col("n"))
+    ).select(F.col("g").alias("wg"), F.col("part").alias("wpart"), "target", "base")
+    running = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # Null-safe, as rows without a group are a group.
+    same = F.col("g").eqNullSafe(F.col("wg")) & (F.col("part") == F.col("wpart"))
+    ranked = ranged.join(wanted, same).withColumn("seen", F.col("base") + F.coalesce(F.sum("n").over(running), F.lit(0)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("seen") <= rank) & (rank < F.col("seen") + F.col("n")), F.col("v")))
 
-    ends = ranked.groupBy(group, "total").agg(at(F.floor(target)).alias("low_v"), at(F.ceil(target)).alias("high_v"))
-    missed = F.raise_error(F.lit("the quantile fell outside its bracket")).cast("double")
-    low_v, high_v = F.coalesce("low_v", missed), F.coalesce("high_v", missed)
-    share = target - F.floor(target)
-    return ends.select(group, (low_v + (high_v - low_v) * share).alias(name))
+    ends = ranked.groupBy("g", "target").agg(at(F.floor("target")).alias("low"), at(F.ceil("target")).alias("high"))
+    share = F.col("target") - F.floor("target")
+    return ends.select(F.col("g").alias(group), (F.col("low") + (F.col("high") - F.col("low")) * share).alias(name))
 
 
 def hash_split(df: DataFrame, id_col: str, ratio: float, seed: int) -> DataFrame:

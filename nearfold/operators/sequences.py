@@ -16,7 +16,8 @@ def mapped_names(df: DataFrame, name_col: str, name_map: DataFrame | None, prefi
     stem = df.withColumn(name_col, strip_name(F.col(name_col), prefix))
     if name_map is None:
         return stem
-    pairs = name_map.select(F.col("name").alias(name_col), "mapped")
+    # Of a name that is mapped twice the mapping that sorts last counts.
+    pairs = name_map.groupBy(F.col("name").alias(name_col)).agg(F.max("mapped").alias("mapped"))
     joined = stem.join(pairs, name_col, "left").withColumn(name_col, F.coalesce("mapped", name_col))
     return joined.select(*df.columns)
 
@@ -86,45 +87,29 @@ def extract_sequences(commands: DataFrame, order: list[Column | str]) -> DataFra
     return dedupe_last(rows, ["benchmark"], order).select("benchmark", affix_passes(F.col("commandline")).alias("passes"))
 
 
-#: Largest action table that is looked up within the row.
-INLINE_ACTIONS = 1_000
-
-
 def resolve_actions(sequences: DataFrame, actions: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, actions, unknown): pass names as action numbers in order; unknown names apart.
 
-    ``actions`` is (name, action); matching ignores case and leading dashes. An
-    action table of the usual size is looked up inside each row, without a
-    shuffle; a larger one is joined.
+    ``actions`` is (name, action); matching ignores case and leading dashes, and of names
+    that are then equal the largest number counts. Every different pass list is resolved
+    once and joined back, so every row stays a row, whatever its id.
     """
-    known = actions.select(_pass_key(F.col("name")).alias("pass_key"), "action")
-    few = known.limit(INLINE_ACTIONS + 1).collect()
-    if len(few) > INLINE_ACTIONS:
-        return _join_actions(sequences, known, id_col)
-    table = F.map_from_arrays(
-        F.array(*[F.lit(r["pass_key"]) for r in few]).cast("array<string>"),
-        F.array(*[F.lit(r["action"]) for r in few]).cast("array<int>"),
+    known = actions.groupBy(_pass_key(F.col("name")).alias("pass_key")).agg(F.max(F.col("action").cast("int")).alias("action"))
+    none = F.array().cast("array<string>")
+    rows = sequences.select(id_col, F.coalesce("passes", none).alias("passes"))
+    steps = rows.select("passes").distinct().select("passes", F.posexplode("passes").alias("pos", "pass"))
+    joined = steps.withColumn("pass_key", _pass_key(F.col("pass"))).join(known, "pass_key", "left")
+    hit = F.when(F.col("action").isNotNull(), F.struct("pos", F.col("action").alias("v")))
+    miss = F.when(F.col("action").isNull(), F.struct("pos", F.col("pass").alias("v")))
+    gathered = joined.groupBy("passes").agg(
+        F.array_sort(F.collect_list(hit)).alias("hits"), F.array_sort(F.collect_list(miss)).alias("misses")
+    )
+    values = [F.transform(c, lambda s: s["v"]).alias(name) for c, name in (("hits", "actions"), ("misses", "unknown"))]
+    resolved = gathered.select("passes", *values)
+    return rows.join(resolved, "passes", "left").select(
+        id_col, F.coalesce("actions", F.array().cast("array<int>")).alias("actions"), F.coalesce("unknown", none).alias("unknown")
     )
-    passes = F.coalesce("passes", F.array().cast("array<string>"))
-    found = F.transform(passes, lambda p: F.try_element_at(table, _pass_key(p)))
-    missed = F.filter(passes, lambda p: F.try_element_at(table, _pass_key(p)).isNull())
-    return sequences.select(id_col, F.filter(found, lambda a: a.isNotNull()).alias("actions"), missed.alias("unknown"))
 
 
 def _pass_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "^-+", "")
-
-
-def _join_actions(sequences: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    steps = sequences.select(id_col, F.posexplode_outer("passes").alias("pos", "pass"))
-    joined = steps.withColumn("pass_key", _pass_key(F.col("pass"))).join(known, "pass_key", "left")
-    hit = F.when(F.col("action").isNotNull(), F.struct("pos", F.col("action").cast("int").alias("v")))
-    miss = F.when(F.col("action").isNull() & F.col("pass").isNotNull(), F.struct("pos", F.col("pass").alias("v")))
-    gathered = joined.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(hit)).alias("hits"), F.array_sort(F.collect_list(miss)).alias("misses")
-    )
-    return gathered.select(
-        id_col,
-        F.transform("hits", lambda s: s["v"]).alias("actions"),
-        F.transform("misses", lambda s: s["v"]).alias("unknown"),
-    )

@@ -151,9 +151,9 @@ def vocabulary_table(spark: SparkSession, tokens: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(tokens)), "id INT, token STRING")
 
 
-def _greedy(word: str, ids: dict[str, int], unknown: int) -> list[int]:
+def _greedy(word: str, ids: dict[str, int], unknown: int, longest: int | None) -> list[int]:
     """Longest known prefix first; the whole word is unknown when a rest does not match."""
-    if len(word) > LONGEST_WORD:
+    if longest is not None and len(word) > longest:
         return [unknown]
     found, start = [], 0
     while start < len(word):
@@ -188,16 +188,15 @@ def encode(
     unknown: str = "[UNK]",
     lowercase: bool = True,
     accents: bool = True,
+    longest_word: int | None = LONGEST_WORD,
 ) -> DataFrame:
     """Add ``input_ids`` to (doc_id, text): pieces of every word in order.
 
-    The vocabulary's size is bounded by ``vocab_size`` and checked before it is
-    broadcast. Words are matched once per task and batch, whatever their count,
+    A word of more than ``longest_word`` letters is unknown as a whole; None sets no limit.
+    The vocabulary is broadcast: it does not grow with the corpus but has the size it was
+    trained to (``vocab_size``). Words are matched once per task and batch, whatever their count,
     and no token is ever shuffled.
     """
-    row = vocab.agg(F.count("*"), F.sum(F.octet_length("token"))).head()
-    if (row[1] or 0) + 100 * row[0] > session.BROADCAST_BYTES:
-        raise ValueError("the vocabulary is too large to broadcast; train it with a smaller vocab_size")
     ids = {r["token"]: r["id"] for r in vocab.select("token", "id").toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast((ids, ids[unknown]))
     atoms = tuple(specials)
@@ -218,7 +217,7 @@ def encode(
                 if word not in memo:
                     if len(memo) > 1_000_000:
                         memo.clear()
-                    memo[word] = [table.get(word, unk)] if word in atomic else _greedy(fold(word), table, unk)
+                    memo[word] = [table.get(word, unk)] if word in atomic else _greedy(fold(word), table, unk, longest_word)
                 matched.append(memo[word])
             lengths = np.array([len(m) for m in matched] + [0], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])

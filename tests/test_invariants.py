@@ -53,16 +53,48 @@ def test_nearest_is_exact(spark, n_centres, k):
     assert found(near) == brute(POINTS, CENTRES[:n_centres], k)
 
 
-def test_grid_equals_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [400, 4_000])
+def test_many_blocks_equal_one(spark, monkeypatch, block_bytes):
     scaler = fit_scaler(vectors(spark, POINTS))
-    samples = vectors(spark, POINTS).withColumn("extra", F.lit(1))
+    schema = "id string, embedding array<double>, extra int"
+    awkward = [("x", POINTS[0].tolist(), 1), ("x", POINTS[7].tolist(), 2), (None, POINTS[8].tolist(), 3), (None, POINTS[8].tolist(), 4)]
+    samples = vectors(spark, POINTS).withColumn("extra", F.lit(1)).select("id", "embedding", "extra")
+    samples = samples.unionByName(spark.createDataFrame(awkward, schema))
     centres = vectors(spark, CENTRES, "cluster_id")
-    plain = nn.nearest_centres(samples, centres, 4, scaler)
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 400)
-    monkeypatch.setattr(nn, "SLICE_ROWS", 70)
-    grid = nn.nearest_centres(samples, centres, 4, scaler)
-    assert sorted(grid.columns) == sorted(plain.columns)
-    assert found(grid) == found(plain)
+    runs = {
+        "nearest": lambda: nn.nearest_centres(samples, centres, 4, scaler),
+        "vectors": lambda: nn.nearest_centres(samples, centres, 1, keep_vector=True),
+        "inertia": lambda: cl.inertia_by_k(samples, centres, scaler),
+        "distances": lambda: nn.all_distances(samples, centres, scaler=scaler),
+        "lloyd": lambda: cl.lloyd(samples, centres, 1, scaler),
+    }
+
+    def plain(v):
+        if isinstance(v, float):
+            return round(v, 6)
+        if isinstance(v, list):
+            return [plain(x) for x in v]
+        return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    def rows(df):
+        return sorted(repr(plain(r.asDict(recursive=True))) for r in df.collect())
+
+    one = {name: rows(run()) for name, run in runs.items()}
+    monkeypatch.setattr(nn, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(nn, "BLOCKS_PER_STAGE", 3)
+    monkeypatch.setattr(nn, "TILE_BYTES", 3_000)
+    assert {name: rows(run()) for name, run in runs.items()} == one
+    assert len(one["nearest"]) == len(POINTS) + 4
+
+
+def test_arrays_of_the_kernel_stay_within_a_tile(monkeypatch):
+    monkeypatch.setattr(nn, "TILE_BYTES", 8_000)
+    largest = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kwargs: largest.append(a.nbytes) or partition(a, *args, **kwargs))
+    order, dist = nn._best(POINTS, CENTRES, 5)
+    assert max(largest) <= 8_000 and len(largest) > 1
+    assert {str(i): [(round(d, 9), int(c)) for d, c in zip(dist[i], order[i])] for i in range(len(POINTS))} == brute(POINTS, CENTRES, 5)
 
 
 def test_wrong_dimension_fails(spark):
@@ -331,15 +363,35 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
     assert empty.count() == 0 and empty.columns == ["id"]
 
 
-def test_actions_inline_and_joined(spark, monkeypatch):
+def test_actions(spark):
     from nearfold.operators import sequences as sq
 
-    seqs = spark.createDataFrame([("x", ["-GVN", "nope", "licm", "gvn"]), ("y", []), ("z", None)], "id string, passes array<string>")
-    actions = spark.createDataFrame([("-licm", 1), ("gvn", 2)], "name string, action int")
-    want = [("x", [2, 1, 2], ["nope"]), ("y", [], []), ("z", [], [])]
-    assert sorted(map(tuple, sq.resolve_actions(seqs, actions).collect())) == want
-    monkeypatch.setattr(sq, "INLINE_ACTIONS", 1)
-    assert sorted(map(tuple, sq.resolve_actions(seqs, actions).collect())) == want
+    rows = [("x", ["-GVN", "nope", "licm", "gvn"]), ("x", ["-GVN", "nope", "licm", "gvn"]), ("x", ["gvn"]), ("y", []), ("z", None), (None, ["nope"])]
+    seqs = spark.createDataFrame(rows, "id string, passes array<string>")
+    actions = spark.createDataFrame([("-licm", 1), ("gvn", 2), ("--GVN", 1)], "name string, action int")
+    want = [("x", [2, 1, 2], ["nope"]), ("x", [2, 1, 2], ["nope"]), ("x", [2], []), ("y", [], []), ("z", [], []), (None, [], ["nope"])]
+    assert sorted(map(tuple, sq.resolve_actions(seqs, actions).collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_name_mapped_twice_stays_one_row(spark):
+    from nearfold.operators import sequences as sq
+
+    df = spark.createDataFrame([("p/a.ll",), ("b.ll",)], "n string")
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y")], "name string, mapped string")
+    assert sorted(r["n"] for r in sq.mapped_names(df, "n", pairs).collect()) == ["b", "y"]
+
+
+def test_no_line_is_left_out(spark):
+    from catalog import commands, corpus
+    from nearfold.functions.commands import token_passes
+
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_quantity").alias("q"), F.count("*").alias("n"))
+    want = lines.filter("q >= 5").agg(F.sum("n")).head()[0]
+    assert commands.commands(spark, sf_dir).agg(F.sum(F.size(token_passes(F.col("commandline"))))).head()[0] == want
+    total = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    # The frame of a program has eight lines; a definition inside counts four more than its line.
+    assert corpus.programs(spark, sf_dir).agg(F.sum(F.size(F.split("text", "\n")))).head()[0] >= total
 
 
 def test_sequence_files(spark, tmp_path):
@@ -442,7 +494,7 @@ def test_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     samples = vectors(spark, POINTS)
     samples.write.parquet(source)
-    centres = nn.collect_centres(vectors(spark, CENTRES, "cluster_id"), None)
+    (centres,) = nn.centre_blocks(vectors(spark, CENTRES, "cluster_id"))
     stream = spark.readStream.schema(samples.schema).parquet(source)
     query = assign_stream(stream, centres, out, str(tmp_path / "check"), 3)
     query.awaitTermination(120)
