@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from nearfold.functions.commands import log_total, pass_names, token_passes
 from nearfold.operators import sequences as sq
+from nearfold.operators.evaluation import metric_summary
 from nearfold.session import scratch_path, staged
 from nearfold.sources.readers import read_commands, read_sequences
 from nearfold.sources.writers import write_csv
@@ -177,22 +178,54 @@ def cluster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.cluster_lookup(membership(spark, sf_dir), ["cluster"], ",", name_pairs(spark, sf_dir), "Source_")
 
 
-@query(
-    "compare_sequences",
-    COMMANDS_SQL + LOOKUP_SQL + """, cmd AS (
+COMPARE_SQL = COMMANDS_SQL + LOOKUP_SQL + """, cmd AS (
   SELECT n.name, l.commandline FROM latest l JOIN named n ON n.o_orderkey = l.l_orderkey
-)
-SELECT k.name, k.cluster, k.closest_name, t.commandline AS centroid_sequence, i.commandline AS individual_sequence
-FROM lookup k LEFT JOIN cmd i ON i.name = k.name LEFT JOIN cmd t ON t.name = k.closest_name""",
-)
-def compare_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+), compared AS (
+  SELECT k.name, k.cluster, k.closest_name, t.commandline AS centroid_sequence, i.commandline AS individual_sequence,
+    CASE WHEN o.o_custkey % 7 > 0 THEN o.o_custkey END AS current_count,
+    CASE WHEN o.o_orderkey % 5 > 0 THEN o.o_orderkey % 5 * 100 END AS optimized_count,
+    CASE WHEN length(t.commandline) % 4 > 0 THEN length(t.commandline) + length(k.name) END AS centroid_count,
+    CASE WHEN length(i.commandline) % 4 > 0 THEN length(i.commandline) + length(k.name) END AS individual_count
+  FROM lookup k JOIN named n ON n.name = k.name JOIN orders o ON o.o_orderkey = n.o_orderkey
+  LEFT JOIN cmd i ON i.name = k.name LEFT JOIN cmd t ON t.name = k.closest_name
+)"""
+
+
+def compared_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts come as tables: those of a file as it is, and those of a file under a sequence."""
     pairs = name_pairs(spark, sf_dir)
     lookup = staged(sq.cluster_lookup(membership(spark, sf_dir), ["cluster"], ",", pairs, "Source_"), "lookup")
     known = staged(sq.named_commands(commands(spark, sf_dir), ["flag"], pairs, MARKER, "Source_"), "commands")
-    files = sq.mapped_names(
-        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name")), "name", pairs
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("name"),
+        (F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).otherwise(0)).alias("current_count"),
+        (F.col("o_orderkey") % 5 * 100).alias("optimized_count"),
+    )
+    totals = sq.mapped_names(orders, "name", pairs)
+    compared = staged(sq.compare_sequences(totals.select("name"), lookup, known), "compared")
+    asked = compared.select("name", F.explode(F.array("centroid_sequence", "individual_sequence")).alias("commandline"))
+    size = F.length("commandline")
+    measured = asked.filter("commandline IS NOT NULL").distinct().withColumn(
+        "count", F.when(size % 4 > 0, size + F.length("name")).otherwise(-1).cast("bigint")
     )
-    return sq.compare_sequences(files, lookup, known)
+    return sq.comparison_counts(compared, totals, measured)
+
+
+@query("compare_sequences", COMPARE_SQL + "\nSELECT * FROM compared")
+def compare_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_sequences(spark, sf_dir)
+
+
+@query(
+    "compare_summary",
+    COMPARE_SQL + "".join(
+        f"{' UNION ALL' if i else ''}\nSELECT '{c}' AS metric, count({c}) AS n_values, round(avg({c}), 6) AS mean_value FROM compared"
+        for i, c in enumerate(sq.COUNTS)
+    ),
+)
+def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files have each count, and its mean."""
+    return metric_summary(compared_sequences(spark, sf_dir), list(sq.COUNTS)).withColumn("mean_value", F.round("mean_value", 6))
 
 
 @query(

@@ -38,7 +38,9 @@ def candidate_scores(candidates: DataFrame, measurements: DataFrame | Scorer) ->
     if callable(measurements):
         scored = measurements(candidates)
     else:
-        table = measurements.select("id", "code_id", "count", "compile_ms")
+        # A measurement that says it is not valid is as good as none.
+        usable = measurements.filter(F.coalesce("valid", F.lit(True))) if "valid" in measurements.columns else measurements
+        table = usable.select("id", "code_id", "count", "compile_ms")
         scored = candidates.join(table, ["id", "code_id"], "left")
     return scored.withColumn("count", positive(F.col("count")))
 
@@ -50,10 +52,11 @@ def winner(count: Column, *rest: Column) -> Column:
 
 
 def best_of_k(scored: DataFrame, keys: list[str], *carried: str) -> DataFrame:
-    """Best candidate and total cost per key in one map-side combinable aggregate."""
+    """Best candidate, total cost and number tried per key in one map-side combinable aggregate."""
     agg = scored.groupBy(*keys).agg(
         winner(F.col("count"), F.col("cluster_rank"), F.col("seq_rank"), F.col("cluster"), F.col("code_id")).alias("w"),
         F.sum(F.coalesce("compile_ms", F.lit(0.0))).alias("compile_ms"),
+        F.count("*").alias("n_tried"),
         *[F.first(c).alias(c) for c in carried],
     )
     return agg.select(
@@ -62,6 +65,7 @@ def best_of_k(scored: DataFrame, keys: list[str], *carried: str) -> DataFrame:
         F.col("w.cluster").alias("best_cluster"),
         F.col("w.code_id").alias("best_code_id"),
         "compile_ms",
+        "n_tried",
         *carried,
     )
 

@@ -23,7 +23,8 @@ def mix_layers(hidden: DataFrame, strategy: str = "last", n: int = 4) -> DataFra
     first = max(last + 1 - depth, 0)
     kept = hidden.filter(F.col("layer") >= first)
     weight = F.col("layer") - F.lit(first - 1) if strategy == "last_n_weighted" else None
-    return kept.groupBy("doc_id", "chunk_no", "pos").agg(
+    # Dealt by chunk once; pooling a chunk's tokens then needs no further exchange.
+    return kept.repartition("doc_id", "chunk_no").groupBy("doc_id", "chunk_no", "pos").agg(
         vector_mean(F.col("vec"), weight).alias("vec"), F.max("mask").alias("mask")
     )
 

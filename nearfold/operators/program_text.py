@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: what counts as an instruction line --------------------------
 OPCODES = (
-    "add fadd sub fsub mul fmul udiv sdiv fdiv urem srem frem "
-    "shl lshr ashr and or xor freeze "
-    "alloca load store fence cmpxchg atomicrmw getelementptr "
-    "trunc zext sext fptrunc fpext uitofp sitofp fptoui fptosi "
-    "inttoptr ptrtoint bitcast addrspacecast "
-    "icmp fcmp phi select "
-    "call callbr invoke va_arg "
-    "extractelement insertelement shufflevector extractvalue insertvalue "
-    "landingpad catchpad cleanuppad catchswitch catchret cleanupret resume "
-    "br switch indirectbr ret unreachable"
-).split()
+    "add", "fadd", "sub", "fsub", "mul", "fmul", "udiv", "sdiv", "fdiv", "urem", "srem", "frem", "shl",
+    "lshr", "ashr", "and", "or", "xor", "freeze", "alloca", "load", "store", "fence", "cmpxchg", "atomicrmw",
+    "getelementptr", "trunc", "zext", "sext", "fptrunc", "fpext", "uitofp", "sitofp", "fptoui", "fptosi",
+    "inttoptr", "ptrtoint", "bitcast", "addrspacecast", "icmp", "fcmp", "phi", "select", "call", "callbr",
+    "invoke", "va_arg", "extractelement", "insertelement", "shufflevector", "extractvalue", "insertvalue",
+    "landingpad", "catchpad", "cleanuppad", "catchswitch", "catchret", "cleanupret", "resume", "br",
+    "switch", "indirectbr", "ret", "unreachable",
+)
 RESULT_PREFIX = r"(%[-0-9A-Za-z_.$]+\s*=\s*)?"
 CALL_PREFIX = r"((tail|musttail|notail)\s+)?"
 # -------------------------------------------------------------------------------
@@ -58,12 +55,20 @@ def instruction_count(text: Column) -> Column:
 def function_body_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, line_no, line, is_instruction) for the lines inside function bodies.
 
-    The running state is a window over one document's lines.
+    The state is folded within the row and only lines inside bodies are exploded: no shuffle.
     """
-    lines = docs.select(id_col, F.posexplode(_trimmed_lines(F.col("text"))).alias("line_no", "line"))
-    line = F.col("line")
-    so_far = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.when(_opens(line), 1).when(_closes(line), 0)
-    state = lines.withColumn("mark", mark).withColumn("inside", F.last("mark", ignorenulls=True).over(so_far))
-    body = state.filter((F.col("inside") == 1) & F.col("mark").isNull())
-    return body.select(id_col, "line_no", "line", _is_instruction(line).alias("is_instruction"))
+    kind = "array<struct<line_no:int,line:string>>"
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("line_no"), F.array().cast(kind).alias("lines"))
+
+    def step(state: Column, line: Column) -> Column:
+        opens, closes = _opens(line), _closes(line)
+        here = F.struct(state["line_no"].alias("line_no"), line.alias("line"))
+        return F.struct(
+            F.when(opens, True).when(closes, False).otherwise(state["inside"]).alias("inside"),
+            (state["line_no"] + 1).alias("line_no"),
+            F.when(state["inside"] & ~opens & ~closes, F.array_append(state["lines"], here)).otherwise(state["lines"]).alias("lines"),
+        )
+
+    inside = F.aggregate(_trimmed_lines(F.col("text")), start, step, lambda state: state["lines"])
+    body = docs.select(id_col, F.explode(inside).alias("l")).select(id_col, "l.line_no", "l.line")
+    return body.withColumn("is_instruction", _is_instruction(F.col("line")))

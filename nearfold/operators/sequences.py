@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.functions.columns import after_marker, last_path_part, strip_name
+from nearfold.functions.columns import after_marker, last_path_part, positive, strip_name
 from nearfold.functions.commands import affix_passes
 from nearfold.operators.joins import lookup_join
 from nearfold.operators.quality import dedupe_last
@@ -81,6 +81,25 @@ def compare_sequences(files: DataFrame, lookup: DataFrame, commands: DataFrame)
     )
 
 
+COUNTS = ("current_count", "optimized_count", "centroid_count", "individual_count")
+
+
+def comparison_counts(compared: DataFrame, totals: DataFrame, measured: DataFrame) -> DataFrame:
+    """The comparison with four instruction counts per file; an absent or non-positive one is NULL.
+
+    ``totals`` is (name, current_count, optimized_count), ``measured`` (name, commandline, count) has the
+    count of a file under a sequence.
+    """
+    known = totals.select("name", *[positive(F.col(c)).alias(c) for c in COUNTS[:2]])
+    under = measured.select("name", "commandline", positive(F.col("count")).alias("count"))
+    result = compared.join(known, "name", "left")
+    for which in ("centroid", "individual"):
+        result = result.join(
+            under.withColumnsRenamed({"commandline": f"{which}_sequence", "count": f"{which}_count"}), ["name", f"{which}_sequence"], "left"
+        )
+    return result.select(*compared.columns, *COUNTS)
+
+
 def extract_sequences(commands: DataFrame, order: list[Column | str]) -> DataFrame:
     """(benchmark, passes): the pass list per benchmark, last path part as its name."""
     rows = commands.filter("commandline <> ''").withColumn("benchmark", last_path_part(F.col("benchmark")))

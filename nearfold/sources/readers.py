@@ -41,16 +41,25 @@ def read_corpus(
     from file metadata only, before any text is read. No match is an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    files = whole_files(spark, paths, file_glob)
-    if files.isEmpty():
-        raise ValueError(f"no files matched {paths}" + (f" with {file_glob}" if file_glob else ""))
+    listed = file_paths(spark, paths, file_glob)
     if max_files is not None:
-        kept = limit_corpus(files.select("path"), max_files)
-        files = files.join(kept, "path", "left_semi")
+        listed = limit_corpus(listed, max_files)
+    some = [r["path"] for r in (listed if max_files is not None else listed.limit(1)).collect()]
+    if not some:
+        raise ValueError(f"no files matched {paths}" + (f" with {file_glob}" if file_glob else ""))
+    files = whole_files(spark, paths, file_glob) if max_files is None else whole_files(spark, some)
     text = normalize_text(F.col("text")) if preprocess else F.col("text")
     return files.select(id_from_path(F.col("path"), id_pattern).alias("doc_id"), "path", text.alias("text"))
 
 
+def file_paths(spark: SparkSession, paths: str | list[str], file_glob: str | None = None) -> DataFrame:
+    """(path) of every file at any depth below ``paths``; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    return reader.load(paths).select("path")
+
+
 def whole_files(spark: SparkSession, paths: str | list[str], file_glob: str | None = None) -> DataFrame:
     """(path, text): one row per file at any depth below ``paths``."""
     reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
@@ -66,8 +75,9 @@ def limit_corpus(files: DataFrame, n: int, path: str = "path") -> DataFrame:
     return files.orderBy(*natural_order(path)).limit(n)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, escape='"', quote='"', multiLine=True)
+def _csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """``multi_line`` allows line feeds inside quotes, but makes each file one task."""
+    return spark.read.csv(path, header=True, escape='"', quote='"', multiLine=multi_line)
 
 
 def read_vectors(
@@ -123,9 +133,11 @@ def read_top_clusters(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(raw, wanted, path).select(*wanted)
 
 
-def read_commands(spark: SparkSession, path: str, benchmark: str = "benchmark", command: str = "commandline") -> DataFrame:
+def read_commands(
+    spark: SparkSession, path: str, benchmark: str = "benchmark", command: str = "commandline", multi_line: bool = False
+) -> DataFrame:
     """(benchmark, commandline) rows; those without a command are skipped."""
-    raw = require_columns(_csv(spark, path), [benchmark, command], path)
+    raw = require_columns(_csv(spark, path, multi_line), [benchmark, command], path)
     return raw.select(F.col(benchmark).alias("benchmark"), F.col(command).alias("commandline")).filter("commandline <> ''")
 
 
