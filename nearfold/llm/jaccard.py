@@ -5,12 +5,14 @@ global order. Candidates must do so under every one of ORDERS orders: in each, t
 have come last and the rest follow a hash of their own. The filters are intersected before sets are
 compared.
 
-Documents with equal sets are one from the start. A token that lies in few prefixes gives all its pairs;
+Documents with equal sets are one from the start. A set that has enough tokens of its own to fill a prefix
+has no partner, as partners differ in fewer; counting these tokens over all documents, among a share of
+all tokens that a hash selects, leaves a few suspects, and only their texts go further. A token that lies in few prefixes gives all its pairs;
 one that lies in many (a class of near copies, in the end) gives its members' pairs with one pivot, in
 linear number. Verified links join classes; then only pairs whose ends are still in different classes are
 looked at. Thus no link between different classes is lost, and copies are never expanded into all pairs.
 
-Frequent tokens are counted over all documents. The set that is sent to the executors has at most
+Frequent tokens are counted over all suspects. The set that is sent to the executors has at most
 MOST_FREQUENT tokens by construction: the count from which a token is frequent is at least the number of
 counted tokens divided by it.
 
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.blocks import Texts, cut, lowered, mixed, span_hashes
+from nearfold.llm.blocks import BATCH_BYTES, Texts, cut, lowered, mixed, span_hashes
 from nearfold.llm.repeats import pack, rows_of, unpack, unpack_all
 from nearfold.session import staged
 
@@ -38,13 +40,21 @@ ORDERS = (0x51AFD7ED558CCD00, 0x0E9FE1A85EC53B00)
 FEW = 24
 #: A token in so many documents or more is frequent; at most so many tokens are.
 FREQUENT, MOST_FREQUENT = 24, 1_000_000
+#: Pivots of a token in more sets; rounds in which each set meets its likeliest partner.
+PIVOTS, ROUNDS = 3, 3
 #: Tokens of a bucket; sets that meet one pivot in a task.
-BUCKET_TOKENS, SALT = 3_000_000, 200
+BUCKET_TOKENS, SALT = 1_500_000, 200
 _SHORT = np.uint64((1 << 48) - 1)
 
 _PACKED = "dealt int, kind int, units long, payload binary"
 
 
+def _by_owner(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by (owner, leading bits of value), ties as they stand."""
+    bits = int(owner.max(initial=0)).bit_length()
+    return np.argsort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits)) if bits else value, kind="stable")
+
+
 class Sets:
     """Distinct shingle hashes of a batch of texts; text i has tokens at[i]:at[i + 1], ascending."""
 
@@ -56,8 +66,11 @@ class Sets:
         owner = np.repeat(np.arange(n), grams)
         start = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams) + words.at[:-1][owner]
         tokens = span_hashes(values, start, np.minimum(start + size, words.at[1:][owner]))
-        order = np.lexsort((tokens, owner))
+        order = _by_owner(owner, tokens)
         tokens, owner = tokens[order], owner[order]
+        if ((tokens[1:] < tokens[:-1]) & (owner[1:] == owner[:-1])).any():  # equal in the leading bits only
+            order = np.lexsort((tokens, owner))
+            tokens, owner = tokens[order], owner[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
         self.tokens, self.owner = tokens[new], owner[new]
@@ -72,207 +85,250 @@ class Sets:
         _, first = np.unique(self.ids, return_index=True)
         return first[self.n[first] > 0]
 
-    def prefixes(self, seed: int, of: np.ndarray, frequent: np.ndarray | None, stretch: float = 1.0) -> np.ndarray:
+    def prefixes(self, seed: int, of: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """Places of the tokens in the prefixes of the texts ``of``, under one order."""
         chosen = np.zeros(len(self.n), dtype=bool)
         chosen[of] = True
         places = np.flatnonzero(chosen[self.owner])
         tokens, owner = self.tokens[places], self.owner[places]
         rank = mixed(tokens ^ np.uint64(seed)) >> np.uint64(1)
-        if frequent is not None and len(frequent):
+        if len(frequent):
             short = tokens & _SHORT
             at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
             rank |= (frequent[at] == short).astype(np.uint64) << np.uint64(63)
-        by = np.lexsort((rank, owner))
-        n = self.n[owner[by]]
-        begin = np.searchsorted(owner[by], owner[by])
+        by = _by_owner(owner, rank)  # ties go by token, as texts list theirs in ascending order
+        n = self.n[owner]  # the order leaves owners where they are
+        begin = (np.cumsum(chosen * self.n) - chosen * self.n)[owner]
         most = n - (PERCENT * n + 99) // 100 + 1
-        return places[by[np.arange(len(by)) - begin < np.minimum(n, np.ceil(most * stretch))]]
+        return places[by[np.arange(len(by)) - begin < most]]
 
 
 def _describe(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches):
             sets = Sets(Texts(batch.column(1)), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.n, pa.int64()), pa.array(sets.ids)], ["doc_id", "n_shingles", "sid"])
+            low = np.bincount(sets.owner[_low(sets.tokens)], minlength=len(sets.n))
+            columns = [batch.column(0), pa.array(sets.n, pa.int64()), pa.array(sets.ids), pa.array(low, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sid", "low"])
 
     return run
 
 
-def _by_bucket(bucket: np.ndarray, columns: tuple[np.ndarray, ...]) -> list[tuple[int, int, int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(bucket.max() + 2)) if len(bucket) else np.zeros(1, int)
-    return [(b, 0, 0, pack(*(c[order[lo:hi]] for c in columns))) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+#: Share of all tokens among which a set's own ones are counted, by a hash of the token.
+LOW = 0.4
 
 
-def _bucket(tokens: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    return (((tokens >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) * len(ORDERS) + order).astype(np.int32)
+def _low(tokens: np.ndarray) -> np.ndarray:
+    return mixed(tokens ^ np.uint64(ORDERS[0])) < np.uint64(int(LOW * 2**64))
 
 
-def _count_tokens(size: int, buckets: int):
-    """Prefix tokens of each task's texts, ascending, with the number of different sets that have them."""
+def _low_tokens(size: int, buckets: int):
+    """(token, set) of the low tokens of every set, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[list[np.ndarray]] = [[] for _ in ORDERS]
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for o in range(len(ORDERS)):
-                tokens, times = np.unique(np.concatenate(gathered[o]), return_counts=True)
-                bucket = _bucket(tokens, o, buckets)
-                for b in np.unique(bucket):
-                    mine = np.sort(tokens[bucket == b] & _SHORT)
-                    of = times[bucket == b][np.argsort(tokens[bucket == b] & _SHORT)]
-                    rows.append((int(b), 0, 0, pack(np.diff(mine, prepend=np.uint64(0)), of.astype(np.uint32))))
-                gathered[o].clear()
-            return pa.RecordBatch.from_pydict(rows_of(rows))
-
-        held = 0
         for batch in cut(batches):
             sets = Sets(Texts(batch.column(1)), size)
-            once = sets.once()
-            if not len(once):
-                continue
-            for o, seed in enumerate(ORDERS):
-                gathered[o].append(sets.tokens[sets.prefixes(seed, once, None, 1.5)])
-                held += len(gathered[o][-1])
-            if held >= 3_000_000:
-                yield flush()
-                held = 0
-        if held:
-            yield flush()
+            chosen = np.zeros(len(sets.n), dtype=bool)
+            chosen[sets.once()] = True
+            at = np.flatnonzero(chosen[sets.owner] & _low(sets.tokens))
+            if len(at):
+                tokens = sets.tokens[at]
+                yield pa.RecordBatch.from_pydict(rows_of(_by_bucket(_bucket(tokens, 0, buckets), (tokens & _SHORT, sets.ids[sets.owner[at]]))))
 
     return run
 
 
-def _frequent(least: int):
+def _several(token: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, sets, starts of the tokens' groups, sets per group) of distinct pairs, by token."""
+    by = np.lexsort((sid, token))
+    token, sid = token[by], sid[by]
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+    token, sid = token[new], sid[new]
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    return token, sid, starts, np.diff(np.append(starts, len(token)))
+
+
+def _by_set(sid: np.ndarray, groups: int) -> list[tuple[int, int, int, bytes]]:
+    """How often each set occurs in ``sid``, packed by groups of sets."""
+    found, times = np.unique(sid, return_counts=True)
+    to = (mixed(found.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    return [(b, 1, 0, payload) for b, _, _, payload in _by_bucket(to, (found, times.astype(np.uint32)))] if len(found) else []
+
+
+def _own_tokens(groups: int):
+    """Per bucket: the sets' tokens that no other set has, counted."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, sid, starts, size = _several(*unpack_all(table["payload"].to_pylist(), ("<u8", "<i8")))
+        return pa.table(rows_of(_by_set(sid[starts[size == 1]], groups)))
+
+    return run
+
+
+def _tally(groups: int, least: int):
+    """Per bucket: tokens of so many sets or more (kind 0), and own tokens counted (kind 1)."""
+
     def run(table: pa.Table) -> pa.Table:
-        found = [unpack(p) for p in table["payload"].to_pylist()]
-        tokens = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found])
-        times = np.concatenate([f[1] for f in found]).astype(np.int64)
-        order = np.argsort(tokens, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(tokens[order]) != 0)))
-        total = np.add.reduceat(times[order], starts)
-        return pa.table({"token": pa.array(tokens[order][starts][total >= least].astype(np.int64))})
+        token, sid, starts, size = _several(*unpack_all(table["payload"].to_pylist(), ("<u8", "<i8")))
+        rows = _by_set(sid[starts[size == 1]], groups)
+        frequent = token[starts[size >= least]]
+        return pa.table(rows_of(rows + ([(0, 0, len(frequent), pack(frequent))] if len(frequent) else [])))
+
+    return run
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    sid, times = unpack_all(table["payload"].to_pylist(), ("<i8", "<u4"))
+    found, at = np.unique(sid, return_inverse=True)
+    return pa.table({"sid": found, "own": np.bincount(at, weights=times).astype(np.int64)})
+
+
+def _all_tokens(size: int, buckets: int):
+    """(token, set) of every suspect, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(_opened(batches)):
+            sets = Sets(Texts(batch.column(1)), size)
+            if len(sets.tokens):
+                yield pa.RecordBatch.from_pydict(rows_of(_by_bucket(_bucket(sets.tokens, 0, buckets), (sets.tokens & _SHORT, sets.ids[sets.owner]))))
 
     return run
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, text, ...) from (sid, packed, ...)."""
+    grow = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 256):
+            batch = whole.slice(begin, 256)
+            text = pa.array([grow.decompress(p.as_py()) for p in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *batch.columns[2:]], ["sid", "text", *batch.schema.names[2:]])
+
+
+def _by_bucket(bucket: np.ndarray, columns: tuple[np.ndarray, ...]) -> list[tuple[int, int, int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(bucket.max() + 2)) if len(bucket) else np.zeros(1, int)
+    return [(b, 0, 0, pack(*(c[order[lo:hi]] for c in columns))) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+
+
+def _bucket(tokens: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    return (((tokens >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) * len(ORDERS) + order).astype(np.int32)
+
+
 def _index(size: int, buckets: int, frequent):
-    """(token, set, size) of all prefixes, packed by bucket."""
+    """(token, set, size, own tokens) of all prefixes, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
-        for batch in cut(batches):
+        for batch in cut(_opened(batches)):
             sets = Sets(Texts(batch.column(1)), size)
             once = sets.once()
             if not len(once):
                 continue
+            own = batch.column(2).to_numpy().astype(np.int32)
             rows = []
             for o, seed in enumerate(ORDERS):
                 at = sets.prefixes(seed, once, known)
                 owner = sets.owner[at]
-                rows += _by_bucket(_bucket(sets.tokens[at], o, buckets), (sets.tokens[at] & _SHORT, sets.ids[owner], sets.n[owner].astype(np.int32)))
+                rows += _by_bucket(_bucket(sets.tokens[at], o, buckets), (sets.tokens[at] & _SHORT, sets.ids[owner], sets.n[owner].astype(np.int32), own[owner]))
             yield pa.RecordBatch.from_pydict(rows_of(rows))
 
     return run
 
 
-#: kind 0: a pair of sets; 1: a pair with the pivot of a full token; 2: a member of a full token.
-_FOUND = "kind int, orders int, token long, a long, b long"
+#: kind 0: a pair of sets; 1: a pair with a pivot of a full token; 2: a member of a full token (set, size, own).
+_FOUND = "kind int, orders int, token long, a long, b long, c long"
 
 
-def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Can sets of these sizes be similar enough?"""
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+def _close(n: np.ndarray, own_n: np.ndarray, m: np.ndarray, own_m: np.ndarray) -> np.ndarray:
+    """Can sets of these sizes, so many tokens of which no other set has, be similar enough?"""
+    most = np.minimum(n - own_n, m - own_m)
+    return 100 * most >= PERCENT * (n + m - most)
 
 
 def _pair_up(table: pa.Table) -> pa.Table:
     order = int(table["dealt"][0].as_py()) % len(ORDERS)
-    token, sid, n = unpack_all(table["payload"].to_pylist(), ("<u8", "<i8", "<i4"))
-    by = np.lexsort((sid, token))
-    token, sid, n = token[by], sid[by], n[by]
+    token, sid, n, own = unpack_all(table["payload"].to_pylist(), ("<u8", "<i8", "<i4", "<i4"))
+    n, own = n.astype(np.int64), own.astype(np.int64)
+    by = np.lexsort((sid, own, token))  # within a token those with the fewest tokens of their own first
+    token, sid, n, own = token[by], sid[by], n[by], own[by]
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
-    token, sid, n = token[new], sid[new], n[new]
+    token, sid, n, own = token[new], sid[new], n[new], own[new]
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     size = np.diff(np.append(starts, len(token)))
-    a, b = [], []
-    few = starts[(size > 1) & (size <= FEW)], size[(size > 1) & (size <= FEW)]
-    for step in range(1, FEW):
-        begin, count = few[0][few[1] > step], few[1][few[1] > step] - step
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-        at = at[_close(n[at], n[at + step])]
-        a.append(sid[at])
-        b.append(sid[at + step])
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+
+    def paired(begin: np.ndarray, count: np.ndarray, steps: int, step_from_start: bool) -> np.ndarray:
+        """Pairs of places up to ``steps`` apart, or of every place with the first ``steps`` ones."""
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for step in range(1, steps + 1):
+            some = count > step
+            left = count[some] - step
+            offset = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left)
+            first = np.repeat(begin[some], left)
+            x = first + (step - 1 if step_from_start else offset)
+            y = first + offset + step
+            good = _close(n[x], own[x], n[y], own[y])
+            a.append(np.minimum(sid[x], sid[y])[good])
+            b.append(np.maximum(sid[x], sid[y])[good])
+        return np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+
+    few = (size > 1) & (size <= FEW)
+    pairs = paired(starts[few], size[few], FEW, False)
     many = size > FEW
+    # In a class of near copies the members nearest to the original come first; they are the pivots.
+    stars = paired(starts[many], size[many], PIVOTS, True)
     member = np.repeat(many, size)
-    pivot = np.repeat(starts, size)[member]
-    own = np.flatnonzero(member)
-    good = (pivot != own) & _close(n[pivot], n[own])
-    stars = np.unique(np.stack((sid[pivot[good]], sid[own[good]])), axis=1)
-    m = order * np.uint64(1 << 60) + token[member]
+    m = np.uint64(order << 60) + token[member]
     kinds = np.repeat(np.arange(3, dtype=np.int32), (pairs.shape[1], stars.shape[1], len(m)))
     none = np.zeros(pairs.shape[1] + stars.shape[1], dtype=np.int64)
     return pa.table({
         "kind": kinds, "orders": np.full(len(kinds), 1 << order, np.int32), "token": np.concatenate((none, m.astype(np.int64))),
-        "a": np.concatenate((pairs[0], stars[0], sid[member])), "b": np.concatenate((pairs[1], stars[1], n[member].astype(np.int64))),
+        "a": np.concatenate((pairs[0], stars[0], sid[member])), "b": np.concatenate((pairs[1], stars[1], n[member])), "c": np.concatenate((none, own[member])),
     })
 
 
-def _give_sets(size: int):
-    """For every role of a document (a pivot's task it goes to): its set, six bytes a token."""
+def _verify(size: int) -> Callable[[pa.Table], pa.Table]:
+    """Which texts of a group are similar enough to its pivot?"""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         grow = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                sets = Sets(Texts(pa.array([grow.decompress(p) for p in batch.column(0).to_pylist()], pa.binary())), size)
-                rows = []
-                for i, (sid, roles) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    if sets.ids[i] == sid:  # rows that share the id may have another text
-                        packed = sets.tokens[sets.at[i] : sets.at[i + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        rows += [(r["a"], r["salt"], sid, packed) for r in roles]
-                a, salt, own, packed = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(own, pa.int64()), pa.array(packed, pa.binary())], ["a", "salt", "sid", "tokens"])
+        pivot = table["a"][0].as_py()
+        sids = table["sid"].to_numpy()
+        # The pivot first; a row that shares another's id may have another text, its set tells.
+        order = np.concatenate((np.flatnonzero(sids == pivot), np.flatnonzero(sids != pivot)))
+        mine, linked, begin = None, [], 0
+        while begin < len(order):
+            end, held, raw = begin, 0, []
+            while end < len(order) and (held < BATCH_BYTES or end == begin):
+                raw.append(grow.decompress(table["packed"][int(order[end])].as_py()))
+                held += len(raw[-1])
+                end += 1
+            sets, asked = Sets(Texts(pa.array(raw, pa.binary())), size), sids[order[begin:end]]
+            begin = end
+            if mine is None:
+                own = np.flatnonzero((sets.ids == pivot) & (asked == pivot))
+                if not len(own):
+                    break
+                mine = sets.tokens[sets.at[own[0]] : sets.at[own[0] + 1]]
+            at = np.minimum(np.searchsorted(mine, sets.tokens), len(mine) - 1)
+            both = np.bincount(sets.owner[mine[at] == sets.tokens], minlength=len(asked))
+            good = (100 * both >= PERCENT * (len(mine) + sets.n - both)) & (sets.ids == asked) & (asked != pivot)
+            linked.append(np.unique(asked[good]))
+        found = np.concatenate(linked) if linked else np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.full(len(found), pivot, dtype=np.int64), "b": found})
 
     return run
 
 
-def _tokens(packed: bytes) -> np.ndarray:
-    room = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    room[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return room.view(np.uint64).ravel()
-
-
-def _verify(table: pa.Table) -> pa.Table:
-    pivot = table["a"][0].as_py()
-    sids, packed = table["sid"].to_pylist(), table["tokens"]
-    mine = np.sort(_tokens(packed[sids.index(pivot)].as_py()))
-    linked = []
-    for i, sid in enumerate(sids):
-        if sid != pivot:
-            other = _tokens(packed[i].as_py())
-            at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-            both = int((mine[at] == other).sum())
-            if 100 * both >= PERCENT * (len(mine) + len(other) - both):
-                linked.append(sid)
-    linked = sorted(set(linked))
-    return pa.table({"a": pa.array([pivot] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-
-
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough; every set travels once per pivot it meets."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough; a text travels, compressed, once per pivot it meets."""
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     met = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
     asked = pairs.join(met, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     hosts = met.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    roles = asked.unionByName(hosts).groupBy("sid").agg(F.collect_list(F.struct("a", "salt")).alias("roles"))
-    called = reps.join(roles, "sid").select("rep", "sid", "roles")
-    given = texts.join(called, texts["doc_id"] == called["rep"]).select("packed", "sid", "roles")
-    sets = given.mapInArrow(_give_sets(size), "a long, salt int, sid long, tokens binary")
-    return staged(sets.groupBy("a", "salt").applyInArrow(_verify, "a long, b long"), "links")
+    given = texts.join(asked.unionByName(hosts), "sid").select("a", "salt", "sid", "packed")
+    return staged(given.groupBy("a", "salt").applyInArrow(_verify(size), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,52 +355,85 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = staged(docs.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, sid long"), "sets")
-    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    prefix = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - PERCENT) / 100
-    buckets = max(1, round(prefix / BUCKET_TOKENS))
+    sets = staged(docs.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, sid long, low long"), "sets")
+    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("low").alias("low"))
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
 
-    counted = docs.mapInArrow(_count_tokens(shingle, buckets), _PACKED)
-    least = max(FREQUENT, int(prefix * 1.5 * len(ORDERS) / MOST_FREQUENT) + 1)
-    frequent = counted.groupBy("dealt").applyInArrow(_frequent(least), "token long").distinct().toArrow()["token"].to_numpy()
-    known = spark.sparkContext.broadcast(np.sort(frequent.astype(np.uint64)))
-    indexed = docs.mapInArrow(_index(shingle, buckets, known), _PACKED)
+    def bucket_count(tokens: int | None) -> int:
+        return max(1, round((tokens or 0) * (100 - PERCENT) / 100 / BUCKET_TOKENS))
+
+    # Of a partner's tokens fewer than a prefix are not shared, so a set with that many of its own has none.
+    prefix = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    count = sets.agg(F.count("*")).first()[0]
+    groups = max(1, -(-count // BUCKET_TOKENS))
+    buckets = bucket_count(sets.agg(F.sum("low")).first()[0])
+    own = docs.mapInArrow(_low_tokens(shingle, buckets), _PACKED).groupBy("dealt").applyInArrow(_own_tokens(groups), _PACKED)
+    own = own.groupBy("dealt").applyInArrow(_sum_up, "sid long, own long")
+    suspects = reps.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("sid", "rep", "n")
+    packed = docs.mapInArrow(_compress, "doc_id long, packed binary")
+    suspects = staged(suspects, "suspects")
+    texts = staged(packed.join(suspects, packed["doc_id"] == suspects["rep"]).select("sid", "packed", "n"), "suspect-texts")
+
+    tokens = suspects.agg(F.sum("n")).first()[0] or 0
+    buckets = bucket_count(tokens)
+    least = max(FREQUENT, tokens // MOST_FREQUENT + 1)
+    tally = staged(texts.select("sid", "packed").mapInArrow(_all_tokens(shingle, buckets), _PACKED).groupBy("dealt").applyInArrow(_tally(groups, least), _PACKED), "tally")
+    frequent = [unpack(r["payload"])[0] for r in tally.where("kind = 0").toLocalIterator()]
+    known = spark.sparkContext.broadcast(np.sort(np.concatenate([*frequent, np.zeros(0, dtype=np.uint64)])))
+    own = tally.where("kind = 1").groupBy("dealt").applyInArrow(_sum_up, "sid long, own long")
+    texts = texts.join(own, "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    texts = staged(texts.where(F.col("own") < prefix).select("sid", "packed", "own"), "texts")
+    indexed = texts.mapInArrow(_index(shingle, buckets, known), _PACKED)
     found = staged(indexed.groupBy("dealt").applyInArrow(_pair_up, _FOUND), "candidates")
 
     everywhere = (1 << len(ORDERS)) - 1
     full = found.where("kind = 2").groupBy("a").agg(F.bit_or("orders").alias("full")).withColumnRenamed("a", "sid")
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.bit_or("orders").alias("orders"))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.bit_or("orders").alias("orders"), F.count("*").alias("weight"))
     # An order in which both ends have a token too full for pairs does not rule the pair out.
     ends = pairs.join(full.select(F.col("sid").alias("a"), F.col("full").alias("fa")), "a", "left").join(full.select(F.col("sid").alias("b"), F.col("full").alias("fb")), "b", "left")
     through = F.col("orders").bitwiseOR(F.coalesce(F.col("fa"), F.lit(0)).bitwiseAND(F.coalesce(F.col("fb"), F.lit(0))))
-    passing = staged(ends.where(through == everywhere).select("a", "b"), "passing")
-    stars = found.where("kind = 1").select("a", "b")
-
-    texts = docs.mapInArrow(_compress, "doc_id long, packed binary")
-    nearest = passing.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(nearest.unionByName(stars), reps, texts, shingle)
-    label = components(links)
+    passing = staged(ends.where(through == everywhere).select("a", "b", "weight"), "passing")
+    stars = found.where("kind = 1").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         other = label.select(F.col("sid").alias(column), F.col("label").alias(name))
         return df.join(other, column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = labelled(labelled(passing, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+    def apart(df: DataFrame) -> DataFrame:
+        return labelled(labelled(df, "a", "la"), "b", "lb").where("la <> lb").drop("la", "lb")
+
+    # First each set with the partner that most of its tokens name, a few times; that settles nearly all classes.
+    open_ = staged(passing.unionByName(stars).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "open")
+    links = label = None
+    for _ in range(ROUNDS):
+        likely = open_.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
+        likely = staged(likely, "likely")
+        new = verified(likely, texts, shingle)
+        links = new if links is None else links.unionByName(new)
+        label = staged(components(links), "labels")
+        open_ = staged(apart(open_.join(likely, ["a", "b"], "left_anti")), "open")
+        if open_.isEmpty():
+            break
+    tried = open_.join(passing, ["a", "b"], "left_semi").select("a", "b")
     # Full tokens of one order are enough: whoever is similar shares one, or a pair above.
-    members = labelled(found.where("kind = 2 and orders = 1").select("token", F.col("a").alias("sid"), F.col("b").alias("n")), "sid", "label")
+    members = labelled(found.where("kind = 2 and orders = 1").select("token", F.col("a").alias("sid"), F.col("b").alias("n"), F.col("c").alias("own")), "sid", "label")
     several = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     members = staged(members.join(several, "token"), "members")
     size_of = members.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = size_of.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "label"))).where("r = 1")
     outside = members.join(main.select("token", F.col("label").alias("main")), "token").where("label <> main")
-    left, right = outside.select("token", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")), members.select("token", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    fits = (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    across = left.join(right, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(apart.unionByName(across).distinct(), "rest")
+    left = outside.select("token", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("own").alias("oa"))
+    right = members.select("token", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    # A set with so many tokens of its own that it has no partner at all is left out before the join.
+    able = lambda n, own: 100 * (F.col(n) - F.col(own)) >= PERCENT * F.col(n)
+    fits = (F.col("la") != F.col("lb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
+    across = left.where(able("na", "oa")).join(right.where(able("nb", "ob")), "token").where(fits)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staged(tried.unionByName(across).distinct(), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, reps, texts, shingle))
+        links = links.unionByName(verified(rest, texts, shingle))
         label = components(links)
 
     classed = reps.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -92,7 +92,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-@query("op1_substring_dedup")
+@query(
+    "op1_substring_dedup",
+    r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+    ), first AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+        FROM windows JOIN first USING (s) WHERE d < doc_id
+    ), each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM words)
+    SELECT d.doc_id, count(e.p) AS n_words, count(g.p) AS n_removed,
+        sha256(coalesce(string_agg(e.x, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
+    FROM documents d LEFT JOIN each e USING (doc_id) LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p
+    GROUP BY d.doc_id
+    """,
+)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.remove_repeated_words(_table(spark, sf_dir, "documents"), with_text=False)
 
