@@ -193,7 +193,7 @@ def elbow_k(curve: DataFrame) -> DataFrame:
 
 
 def _features(vectors: DataFrame) -> DataFrame:
-    return vectors.select("id", "embedding", array_to_vector(as_doubles(F.col("embedding"))).alias("features")).persist(
+    return vectors.select(array_to_vector(as_doubles(F.col("embedding"))).alias("features")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
 
@@ -224,37 +224,37 @@ def fit_kmeans(
     Clusters are numbered by their smallest member id, because the numbers a
     fit hands out depend on its seed.
     """
+    n = vectors.count()
+    if not 1 <= k <= n:
+        raise ValueError(f"k must lie between 1 and the number of rows ({n}), got {k}")
+    return numbered_centres(vectors, *fit_grid(vectors, [k], n_init, seed, max_iter)[k])
+
+
+def numbered_centres(vectors: DataFrame, inertia: float, found: list[list[float]]) -> tuple[DataFrame, float]:
+    """(centre table, inertia) of a fit, clusters numbered by their smallest member id."""
     spark = vectors.sparkSession
-    features = _features(vectors)
-    try:
-        n = features.count()
-        if not 1 <= k <= n:
-            raise ValueError(f"k must lie between 1 and the number of rows ({n}), got {k}")
-        fits = _fit_all(features, [(k, seed + run) for run in range(n_init)], max_iter)
-        _, inertia, found = min(fits, key=lambda f: f[1])
-        schema = "cluster_id INT, embedding ARRAY<DOUBLE>"
-        near = nearest_centres(features.select("id", "embedding"), spark.createDataFrame(list(enumerate(found)), schema))
-        order = F.struct(numeric_id(F.col("id")).isNull(), numeric_id(F.col("id")), F.col("id"))
-        firsts = near.groupBy(F.get("neighbours", 0)["cluster_id"].alias("c")).agg(F.min(order).alias("o"))
-        numbered = [(new, found[row["c"]]) for new, row in enumerate(firsts.orderBy("o").collect())]
-        return spark.createDataFrame(numbered, schema), inertia
-    finally:
-        features.unpersist()
+    schema = "cluster_id INT, embedding ARRAY<DOUBLE>"
+    near = nearest_centres(vectors.select("id", "embedding"), spark.createDataFrame(list(enumerate(found)), schema))
+    order = F.struct(numeric_id(F.col("id")).isNull(), numeric_id(F.col("id")), F.col("id"))
+    firsts = near.groupBy(F.get("neighbours", 0)["cluster_id"].alias("c")).agg(F.min(order).alias("o"))
+    numbered = [(new, found[row["c"]]) for new, row in enumerate(firsts.orderBy("o").collect())]
+    return spark.createDataFrame(numbered, schema), inertia
 
 
-def inertia_for_grid(
+def fit_grid(
     vectors: DataFrame, k_values: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300
-) -> DataFrame:
-    """(k, inertia) of a full fit per k: the elbow curve. The vectors are cached once for all k."""
+) -> dict[int, tuple[float, list[list[float]]]]:
+    """(inertia, centres) of the best full fit per k. The vectors are cached once for all k."""
     features = _features(vectors)
     try:
         fits = _fit_all(features, [(int(k), seed + run) for k in k_values for run in range(n_init)], max_iter)
     finally:
         features.unpersist()
-    best: dict[int, float] = {}
-    for k, inertia, _ in fits:
-        best[k] = min(inertia, best.get(k, inertia))
-    return vectors.sparkSession.createDataFrame(sorted(best.items()), "k INT, inertia DOUBLE")
+    best: dict[int, tuple[float, list[list[float]]]] = {}
+    for k, inertia, centres in fits:
+        if k not in best or inertia < best[k][0]:
+            best[k] = (inertia, centres)
+    return best
 
 
 def top_members(assigned: DataFrame, n: int) -> DataFrame:

@@ -57,8 +57,12 @@ def cluster_vectors(
         usable = sorted({int(v) for v in k_values if 1 <= v <= n})
         if len(usable) < 3:
             raise ValueError("choosing k needs at least three values no larger than the number of rows")
-        curve = cl.inertia_for_grid(scaled, usable, n_init, seed, max_iter)
+        fits = cl.fit_grid(scaled, usable, n_init, seed, max_iter)
+        points = sorted((tried, fit[0]) for tried, fit in fits.items())
+        curve = vectors.sparkSession.createDataFrame(points, "k INT, inertia DOUBLE")
         k = cl.elbow_k(curve).head()[0]
-    centres, inertia = cl.fit_kmeans(scaled, k, n_init, seed, max_iter)
+        centres, inertia = cl.numbered_centres(scaled, *fits[k])
+    else:
+        centres, inertia = cl.fit_kmeans(scaled, k, n_init, seed, max_iter)
     assigned = staged(cl.assignments(nearest_centres(scaled, centres, 1)), "assignments")
     return Clustering(k, centres, inertia, assigned, cl.cluster_summary(assigned, top_n), scaler, curve)
