@@ -15,8 +15,6 @@ id. Fewer than k candidates give fewer rows; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
