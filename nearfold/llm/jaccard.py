@@ -41,7 +41,7 @@ FEW = 24
 #: A token in so many documents or more is frequent; at most so many tokens are.
 FREQUENT, MOST_FREQUENT = 24, 1_000_000
 #: Pivots of a token in more sets; rounds in which each set meets its likeliest partner.
-PIVOTS, ROUNDS = 3, 3
+PIVOTS, ROUNDS = 3, 2
 #: Tokens of a bucket; sets that meet one pivot in a task.
 BUCKET_TOKENS, SALT = 1_500_000, 200
 _SHORT = np.uint64((1 << 48) - 1)
@@ -337,19 +337,22 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn; each is one grouping, written to the shared folder.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    # A step that changes nothing leaves number and sum of hashes of the edges as they were.
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    before = mark(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "large-star")
+        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = staged(small.distinct(), "small-star")
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
-            return edges.select(F.col("u").alias("sid"), F.col("v").alias("label"))
+        edges = staged(small.distinct(), "small-star")
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("u").alias("sid"), F.col("v").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -373,7 +376,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     suspects = reps.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("sid", "rep", "n")
     packed = docs.mapInArrow(_compress, "doc_id long, packed binary")
     suspects = staged(suspects, "suspects")
-    texts = staged(packed.join(suspects, packed["doc_id"] == suspects["rep"]).select("sid", "packed", "n"), "suspect-texts")
+    texts = staged(packed.join(suspects.hint("merge"), packed["doc_id"] == suspects["rep"]).select("sid", "packed", "n"), "suspect-texts")
 
     tokens = suspects.agg(F.sum("n")).first()[0] or 0
     buckets = bucket_count(tokens)
@@ -403,23 +406,32 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def apart(df: DataFrame) -> DataFrame:
         return labelled(labelled(df, "a", "la"), "b", "lb").where("la <> lb").drop("la", "lb")
 
-    # First each set with the partner that most of its tokens name, a few times; that settles nearly all classes.
-    open_ = staged(passing.unionByName(stars).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "open")
     links = label = None
-    for _ in range(ROUNDS):
-        likely = open_.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
-        likely = staged(likely, "likely")
-        new = verified(likely, texts, shingle)
-        links = new if links is None else links.unionByName(new)
-        label = staged(components(links), "labels")
-        open_ = staged(apart(open_.join(likely, ["a", "b"], "left_anti")), "open")
-        if open_.isEmpty():
-            break
-    tried = open_.join(passing, ["a", "b"], "left_semi").select("a", "b")
+
+    def settle(open_: DataFrame) -> DataFrame:
+        """Compare each set with the partner that most of its tokens name, a few times; returns the pairs
+        that are then untried and still in different classes."""
+        nonlocal links, label
+        for _ in range(ROUNDS):
+            likely = open_.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
+            likely = staged(likely, "likely")
+            new = verified(likely, texts, shingle)
+            links = new if links is None else links.unionByName(new)
+            label = staged(components(links), "labels")
+            open_ = staged(apart(open_.join(likely, ["a", "b"], "left_anti")), "open")
+            if open_.isEmpty():
+                break
+        return open_
+
+    open_ = settle(staged(passing.unionByName(stars).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "open"))
+    left_over = open_.join(passing, ["a", "b"], "left_semi").select("a", "b", "weight")
     # Full tokens of one order are enough: whoever is similar shares one, or a pair above.
     members = labelled(found.where("kind = 2 and orders = 1").select("token", F.col("a").alias("sid"), F.col("b").alias("n"), F.col("c").alias("own")), "sid", "label")
     several = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     members = staged(members.join(several, "token"), "members")
+    # Of tokens with the same members one is enough.
+    alike = members.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("h"))
+    members = staged(members.join(alike.groupBy("c", "h").agg(F.min("token").alias("token")).select("token"), "token"), "members")
     size_of = members.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = size_of.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "label"))).where("r = 1")
     outside = members.join(main.select("token", F.col("label").alias("main")), "token").where("label <> main")
@@ -431,8 +443,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     fits = (F.col("la") != F.col("lb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
     across = left.where(able("na", "oa")).join(right.where(able("nb", "ob")), "token").where(fits)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(tried.unionByName(across).distinct(), "rest")
+    across = across.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    rest = staged(left_over.unionByName(across).groupBy("a", "b").agg(F.max("weight").alias("weight")), "rest")
     if not rest.isEmpty():
+        rest = settle(rest)
         links = links.unionByName(verified(rest, texts, shingle))
         label = components(links)
 
