@@ -4,8 +4,8 @@ A window is ``window`` consecutive units (words or bytes) of one text. Comparing
 the text dozens of times over, so windows are first grouped into segments: neighbouring windows that
 share the smallest hash of their runs of ``gram`` units. That hash depends on the window alone, hence
 equal windows have equal keys wherever they stand, and only windows under a key that several documents
-have can repeat. Equal segments are settled as wholes (all but the first document's copies go), in
-every task before the exchange and after it. What is left, different segments under one key, is cut out
+have can repeat. Equal segments (same key, 64-bit hash of the content, and length) are settled as wholes
+(all but the first document's copies go), in every task before the exchange and after it. What is left, different segments under one key, is cut out
 of the texts and sent by key to shards, where a solver compares window by window.
 
 Nothing is cut short. Segments travel as packed arrays, by key; marks and texts meet by a hash of the
@@ -131,15 +131,26 @@ def segments(values: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray
     return owner[first], first, count, keys[first]
 
 
-def _first_copies(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, starts of its groups in that order, and the smallest document of each group."""
+def _first_copies(key: np.ndarray, doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, starts of its groups in that order, and the smallest document of each group.
+
+    Neighbours in that order that differ in one of ``same`` are in different groups.
+    """
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
+    starts = np.flatnonzero(_changes(*(a[order] for a in (key, *same))))
     return order, starts, np.minimum.reduceat(doc[order], starts)
 
 
-_SEGMENT = ("<u8", "<u4", "<i8", "<u4", "<i4", "<i4")
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in some column."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for a in columns:
+        new[1:] |= a[1:] != a[:-1]
+    return new
+
+
+_SEGMENT = ("<u8", "<u8", "<i8", "<u4", "<i4", "<i4")
 SPAN = ("<i8", "<u4", "<i4", "<i4")
 _OPEN = ("<u8", *SPAN)
 
@@ -159,8 +170,8 @@ def windows_of(begin: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndar
 def _emit(unit: Unit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(gathered: list[tuple[np.ndarray, ...]], turn: int) -> pa.RecordBatch:
         key, content, doc, tag, start, n = (np.concatenate(c) for c in zip(*gathered, strict=True))
-        both = key ^ (content.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order, starts, least = _first_copies(both, doc)
+        both = key ^ (content * np.uint64(0x9E3779B97F4A7C15))
+        order, starts, least = _first_copies(both, doc, key, content, n)
         later = np.zeros(len(key), dtype=bool)
         later[order] = doc[order] > np.repeat(least, np.diff(np.append(starts, len(key))))
         rows = dealt(np.full(int(later.sum()), turn % buckets, np.int32), REMOVED, None, doc[later], tag[later], start[later], (start + n + unit.window - 1)[later])
@@ -181,7 +192,7 @@ def _emit(unit: Unit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             text, first, count, key = segments(values, at, unit)
             if not len(first):
                 continue
-            content = (span_hashes(values, first, first + count + unit.window - 1) >> np.uint64(32)).astype(np.uint32)
+            content = span_hashes(values, first, first + count + unit.window - 1)
             doc = batch.column(0).to_numpy()[text]
             gathered.append((key, content, doc, tags(texts)[text], (first - at[text]).astype(np.int32), count.astype(np.int32)))
             waiting += len(first)
@@ -207,10 +218,10 @@ def _settle(unit: Unit, groups: int) -> Callable[[pa.Table], pa.Table]:
             shared = order[np.repeat(least < most, size)]
             key, content, doc, tag, start, n = (a[shared] for a in (key, content, doc, tag, start, n))
         if len(key):
-            by = np.lexsort((content, key))
+            by = np.lexsort((n, content, key))
             key, content, doc, tag, start, n = (a[by] for a in (key, content, doc, tag, start, n))
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new = new_key | np.concatenate(([True], content[1:] != content[:-1]))
+            new_key = _changes(key)
+            new = _changes(key, content, n)
             starts = np.flatnonzero(new)
             first = np.minimum.reduceat(doc, starts)
             later = doc > np.repeat(first, np.diff(np.append(starts, len(key))))

@@ -73,6 +73,39 @@ def test_dedup_with_repeated_and_null_ids(spark):
     assert got(suffix_merge.remove_repeated_bytes(df, with_text=False)) == brute.byte_dedup(rows)
 
 
+def contexts_that_share_32_bits(unit: repeats.Unit, spelled: np.ndarray, joint: str) -> list[str]:
+    """Two different texts of one window with the same key, whose hashes have equal upper halves."""
+    rng = np.random.default_rng(11)
+    texts = repeats.Texts(pa.array(spelled.tolist()))
+    value = unit.values(texts)[0]
+    # A gram with a very small hash is the key of every window around it.
+    grams = rng.integers(0, len(value), (200_000, unit.gram))
+    gram = grams[repeats.span_hashes(value[grams].ravel(), *(np.arange(len(grams)) * unit.gram + k for k in (0, unit.gram))).argmin()]
+    some = rng.integers(0, len(value), (300_000, unit.window))
+    at = (unit.window - unit.gram) // 2
+    some[:, at : at + unit.gram] = gram
+    begin = np.arange(len(some)) * unit.window
+    half = repeats.span_hashes(value[some].ravel(), begin, begin + unit.window) >> np.uint64(32)
+    order = half.argsort(kind="stable")
+    for i in np.flatnonzero(half[order][1:] == half[order][:-1]):
+        pair = [joint.join(spelled[some[order[k]]]) for k in (i, i + 1)]
+        keys = [repeats.segments(*unit.values(repeats.Texts(pa.array([t]))), unit)[3].tolist() for t in pair]
+        if keys[0] == keys[1] and len(keys[0]) == 1:
+            return pair
+    raise AssertionError("no pair")
+
+
+def test_segments_that_agree_in_half_their_hash_stay(spark):
+    words = contexts_that_share_32_bits(fm_index.WORDS, np.array([f"w{i}" for i in range(4000)]), " ")
+    letters = contexts_that_share_32_bits(suffix_merge.BYTES, np.array(list("abcdefghijklmnopqrstuvwxyz")), "")
+    for pair, run, plain in ((words, fm_index.remove_repeated_words, brute.word_dedup), (letters, suffix_merge.remove_repeated_bytes, brute.byte_dedup)):
+        rows = list(enumerate(pair))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for parts in (1, 2):
+            found = run(df.repartition(parts, "doc_id"), with_text=False)
+            assert got(found) == plain(rows) and {r.n_removed for r in found.collect()} == {0}
+
+
 def test_matching_statistics_against_search():
     rng = np.random.default_rng(3)
     texts = [rng.integers(1, 5, n) for n in (30, 1, 17, 60)]
