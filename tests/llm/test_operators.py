@@ -208,6 +208,22 @@ def test_bands_reject_noise(spark):
     assert kept == {3} or kept == {2, 3}
 
 
+def test_bands_follow_the_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id"]).where("not base_failed").join(labels, "doc_id")
+    kept = {r.quality: (r.kept, r.n) for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept[0][1] > 20 and kept[0][0] < 0.1
+    assert kept[1][1] > 300 and kept[1][0] > 0.95
+
+
+def test_bands_reject_keyboard_noise(spark):
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(rng.randrange(3, 11))) for _ in range(300))
+    rows = [(i, noise, lang) for i, lang in enumerate(("en", "fr", "de", "es"))]
+    assert quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 0
+
+
 def test_shards(spark, rows):
     many = rows + [(1000 + i, "the same text") for i in range(500)] + [(1000, "the same text"), (None, "x")]
     df = spark.createDataFrame([(d, t, "own") for d, t in many], "doc_id long, text string, h string")
