@@ -299,6 +299,25 @@ def test_mixing(spark):
         assert all(abs(done[s] - a * (slot + 1) / 40) < 1 for s, a in quotas.items())
 
 
+def test_mixing_keeps_to_the_weights_themselves(monkeypatch, spark):
+    monkeypatch.setattr(mixing, "EPOCH", 1000)
+    wanted = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.03, "e": 0.02}
+    counts = {s: int(4000 * w) + 10 * i for i, (s, w) in enumerate(wanted.items())}
+    df = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)] + [(i, None) for i in range(9)], "doc_id long, source string")
+    weights = spark.createDataFrame(list(wanted.items()), "src string, weight double")
+    rows = mixing.mixed(df, weights, block_rows=1).collect()
+    assert sorted((r.doc_id, r.source or "") for r in rows) == sorted((r.doc_id, r.source or "") for r in df.collect())
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    by_slot = {r.slot: r for r in rows}
+    assert len(by_slot) == len(rows)
+    end = max(r.slot for r in rows if r.in_mix) + 1
+    assert end > 3900
+    done = Counter()
+    for slot in range(end):
+        done[by_slot[slot].source or ""] += 1
+        assert all(abs(done[s] - w * (slot + 1)) < 1.001 for s, w in wanted.items())
+
+
 def test_mixing_order_keeps_rows(spark):
     df = spark.createDataFrame([(i % 50, f"s{i % 3}", i) for i in range(200)], "doc_id long, source string, slot long")
     assert got(mixing.in_order(df)) == got(df)
