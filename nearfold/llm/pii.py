@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and contextual extraction that they bootstrap.
 
-The base patterns (email, ip, card, phone) give seed entities. The word before a seed is a lexical pattern;
-the same words before other identifier-like tokens (five digits or more) link patterns and instances in a
-graph. Spark scores it in rounds: a pattern's confidence is the summed score of what follows it over all
-occurrences of the word in the corpus, an instance's score is that some pattern is right (noisy or), seeds
-being certain. Words such as ``phone:`` become confident, common words do not. Tokens behind confident
-patterns that no base pattern covers are reported as kind ``id``.
+The base patterns (email, ip, card, phone) give seed entities. The contexts of a seed are lexical patterns: the
+word before it, the two words before it, and the word after it. The same contexts of other identifier-like
+tokens (five digits or more) link patterns and instances in a graph. Spark scores it in rounds. A pattern is
+scored when MIN_SEEDS different instances that are seeds or were discovered support it: its confidence is the
+summed score of the instances in it over all occurrences of the context in the corpus. It is admitted when that
+reaches CONFIDENCE. An instance's score is that some scored pattern is right (noisy or), seeds being certain.
+Instances in an admitted pattern are discovered and support others in the next round; what is admitted stays, and rounds go on
+until none is added and confidences have settled. Contexts such as ``phone:`` become confident, common words do not. Tokens in admitted
+patterns that no base pattern covers are reported as kind ``id``; other tokens are never instances.
 
 Everything is DataFrame and SQL functions. Spans are found with Java regular expressions whose possessive
 groups neither backtrack nor recurse, so long texts are safe; offsets come from the text between matches.
@@ -38,10 +41,12 @@ SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 #: A word, white space, and a token with five digits or more.
 CANDIDATE = r"(?<!\S)\S{1,64}\s{1,4}(?:[^\s0-9]*+[0-9]){5}\S*+"
 
-#: Different seeds that a pattern needs, confidence from which it is trusted, rounds of scoring.
-MIN_SEEDS, CONFIDENCE, ROUNDS = 5, 0.5, 3
+#: Different seeds or discovered instances that a pattern needs, confidence from which it is trusted.
+MIN_SEEDS, CONFIDENCE = 5, 0.5
+#: Growth of all confidences together below which rounds that admit no pattern end.
+SETTLED = 1e-3
 
-_SPAN = "struct<start:int,end:int,rank:int,kind:string,value:string,left:string>"
+_SPAN = "struct<start:int,end:int,rank:int,kind:string,value:string,contexts:array<string>>"
 
 
 def _literal(pattern: str) -> str:
@@ -75,62 +80,86 @@ _VALID = {
     "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND luhn_check({_DIGITS})",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
 }
-#: The word before a span.
-_LEFT = r"lower(regexp_extract(substring(text, greatest(s.start - 79, 1), least(s.start, 80)), r'(?:^|\s)(\S{1,64})\s{1,4}$', 1))"
+_BEFORE = r"regexp_extract(substring(text, greatest(s.start - 158, 1), least(s.start, 159)), r'(?:^|\s)(?:(\S{1,64})\s{1,4})?(\S{1,64})\s{1,4}$', %d)"
+_AFTER = r"regexp_extract(substring(text, s.end + 1, 70), r'^\s{1,4}(\S{1,64})(?:\s|$)', 1)"
+#: A context is its side (<, <<, >) and its words in lower case.
+_CONTEXTS = f"""transform(array(named_struct('near', lower({_BEFORE % 2}), 'far', lower({_BEFORE % 1}), 'after', lower({_AFTER}))), c ->
+    filter(array(IF(c.near <> '', concat('< ', c.near), NULL), IF(c.far <> '', concat('<< ', c.far, ' ', c.near), NULL),
+        IF(c.after <> '', concat('> ', c.after), NULL)), x -> x IS NOT NULL))[0]"""
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__base`` spans and ``__others``: (start, end, token, left) of identifier-like tokens."""
+    """``docs`` with ``__base`` spans and ``__others``: (start, end, token, contexts) of identifier-like tokens."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     # One projection per step, so that no pattern runs twice over a text.
     df = df.withColumns({f"__{k}": _places(f"__{k}", PATTERNS[k], SIGNS.get(k)) for k in KINDS} | {"__other": _places("__other", CANDIDATE, None)})
     df = df.withColumns({f"__{k}": F.expr(_with_offsets(f"__{k}", p)) for k, p in [*PATTERNS.items(), ("other", CANDIDATE)]})
     spans = [
-        f"transform(filter(__{k}, s -> {_VALID[k]}), s -> named_struct('start', s.start, 'end', s.end, 'rank', {rank}, 'kind', '{k}', 'value', s.value, 'left', {_LEFT}))"
+        f"transform(filter(__{k}, s -> {_VALID[k]}), s -> named_struct('start', s.start, 'end', s.end, 'rank', {rank}, 'kind', '{k}', 'value', s.value))"
         for rank, k in enumerate(KINDS)
     ]
     token = r"regexp_extract(s.value, r'\s(\S+)$', 1)"
-    others = f"""transform(__other, s -> named_struct('start', s.end - length({token}), 'end', s.end, 'rank', {len(KINDS)},
-        'kind', 'id', 'value', {token}, 'left', lower(regexp_extract(s.value, r'^(\\S+)', 1))))"""
+    others = f"""transform(__other, s -> named_struct('start', s.end - length({token}), 'end', s.end, 'rank', {len(KINDS)}, 'kind', 'id', 'value', {token}))"""
     df = df.withColumns({"__base": F.expr(f"array_sort(concat({', '.join(spans)}))"), "__others": F.expr(others)})
     df = df.withColumn("__others", F.expr("filter(__others, o -> NOT exists(__base, b -> b.start < o.end AND o.start < b.end))"))
+    with_contexts = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'rank', s.rank, 'kind', s.kind, 'value', s.value, 'contexts', {}))"
+    df = df.withColumns({c: F.expr(with_contexts.format(c, _CONTEXTS)) for c in ("__base", "__others")})
     return df.drop(*(f"__{k}" for k in [*KINDS, "other"]))
 
 
+def _occurring(docs: DataFrame) -> DataFrame:
+    """(words): every word and every pair of neighbouring words of the texts, as often as it occurs."""
+    w = "filter(split(lower(coalesce(text, '')), r'\\s+'), x -> x <> '')"
+    pairs = "transform(w, (x, i) -> IF(i > 0 AND length(x) <= 64 AND length(w[i - 1]) <= 64, concat(w[i - 1], ' ', x), NULL))"
+    each = docs.select(F.expr(w).alias("w")).select(F.explode(F.expr(f"concat(w, {pairs})")).alias("words"))
+    return each.where("words IS NOT NULL")
+
+
 def score_patterns(seen: DataFrame, docs: DataFrame) -> DataFrame:
     """(pattern, confidence) of the trusted patterns; ``seen`` has __base and __others of every row."""
-    seeds = seen.select(F.explode("__base").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(1).alias("seed"))
-    tokens = seen.select(F.explode("__others").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(0).alias("seed"))
-    edges = seeds.unionByName(tokens).where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    edges = staged(edges.join(strong, "pattern"), "pii-edges")
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("pattern")).where(F.length("pattern").between(1, 64))
-    often = staged(words.groupBy("pattern").agg(F.count("*").alias("often")).join(edges.select("pattern").distinct(), "pattern"), "pii-words")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        confidence = (
-            scored.groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("mass")).join(often, "pattern")
-            .select("pattern", F.least(F.col("mass") / F.col("often"), F.lit(0.999)).alias("confidence"))
+    spans = [seen.select(F.explode(c).alias("s")).select(F.explode("s.contexts").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(seed).alias("seed")) for c, seed in (("__base", 1), ("__others", 0))]
+    edges = spans[0].unionByName(spans[1]).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    # A pattern with fewer instances of any kind can never be admitted; discovery changes support, not instances.
+    able = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("uses")).where(F.col("instances") >= MIN_SEEDS)
+    able = staged(able.withColumn("words", F.regexp_replace("pattern", "^[<>]+ ", "")), "pii-able")
+    often = _occurring(docs).join(able.select("words").distinct(), "words").groupBy("words").agg(F.count("*").alias("often"))
+    often = staged(able.join(often, "words").select("pattern", "often"), "pii-words")
+    edges = staged(edges.join(often.select("pattern"), "pattern"), "pii-edges")
+    supported, before = None, (0, 0, 0.0)
+    while True:
+        scored = edges.withColumns({"score": F.col("seed").cast("double"), "known": F.col("seed") == 1})
+        if supported is not None:
+            of_instance = edges.join(supported, "pattern").groupBy("instance").agg(
+                (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"), F.max(F.col("confidence") >= CONFIDENCE).alias("found")
+            )
+            scored = edges.join(of_instance, "instance", "left").select(
+                "pattern", "n", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("score"),
+                ((F.col("seed") == 1) | F.coalesce("found", F.lit(False))).alias("known"),
+            )
+        passing = (
+            scored.groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.count(F.when(F.col("known"), 1)).alias("support")).join(often, "pattern")
+            .where(F.col("support") >= MIN_SEEDS).select("pattern", F.least(F.col("mass") / F.col("often"), F.lit(0.999)).alias("confidence"))
         )
-        belief = edges.join(confidence, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
-        scored = staged(
-            edges.join(belief, "instance", "left").withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("belief", F.lit(0.0)))).drop("belief"),
-            "pii-scores",
-        )
-    return staged(confidence.where(F.col("confidence") >= CONFIDENCE), "pii-patterns")
+        # Scores only grow, so a pattern that was supported or trusted is so again.
+        supported = staged(passing, "pii-patterns")
+        trusted = supported.where(F.col("confidence") >= CONFIDENCE)
+        now = supported.agg(F.count("*"), F.count(F.when(F.col("confidence") >= CONFIDENCE, 1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if now[:2] == before[:2] and now[2] - before[2] < SETTLED:
+            return trusted
+        before = tuple(now)
 
 
 def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``__base`` and ``__spans``, arrays of (start, end, rank, kind, value, left).
+    """The columns ``keep`` with ``__base`` and ``__spans``, arrays of (start, end, rank, kind, value, contexts).
 
     ``docs`` needs a column text; ``__spans`` holds the base spans and those that patterns add.
     """
     seen = staged(_scanned(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, "__base", "__others").withColumn("__row", F.monotonically_increasing_id()), "pii-seen")
     trusted = score_patterns(seen, docs)
     more = (
-        seen.where(F.size("__others") > 0).select("__row", F.explode("__others").alias("o"))
-        .join(trusted.select(F.col("pattern")), F.col("o.left") == F.col("pattern"), "left_semi")
-        .groupBy("__row").agg(F.collect_list("o").alias("__more"))
+        seen.where(F.size("__others") > 0).select("__row", F.explode("__others").alias("o")).select("__row", "o", F.explode("o.contexts").alias("pattern"))
+        .join(trusted.select("pattern"), "pattern", "left_semi")
+        .groupBy("__row").agg(F.collect_set("o").alias("__more"))
     )
     joined = seen.join(more, "__row", "left")
     every = F.expr(f"array_sort(concat(__base, coalesce(__more, cast(array() AS array<{_SPAN}>))))")

@@ -177,6 +177,25 @@ def test_personal_data(spark):
         assert added == (["id:17:27"] if texts[r.doc_id] == cue[20] else [])
 
 
+def added_ids(spark, texts: list[str]) -> dict[int, list[str]]:
+    found = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: ids for r in found if (ids := [texts[r.doc_id][slice(*map(int, s.split(":")[1:]))] for s in r.spans.split(",") if s.startswith("id:")])}
+
+
+def test_personal_data_over_two_hops(spark):
+    texts = [f"a{i} secretbox: p{i}@mail.org b{i}" for i in range(20)]
+    texts += [f"c{i} secretbox: AB-123456{i} d{i}" for i in range(6)] + [f"e{i} badge: AB-123456{i} f{i}" for i in range(6)]
+    texts += ["g badge: CD-7654321 h", "i other: CD-7654322 j"]
+    found = added_ids(spark, texts)
+    assert found == {20 + i: [f"AB-123456{i % 6}"] for i in range(12)} | {32: ["CD-7654321"]}
+
+
+def test_personal_data_by_two_words_and_from_the_right(spark):
+    texts = [f"a{i} badge no p{i}@mail.org b{i}" for i in range(8)] + ["and badge no AB-1234567 c"] + [f"there is no{i} no d{i}" for i in range(40)] + [f"say no e{i}" for i in range(40)]
+    texts += [f"f{i} q{i}@mail.org (member)" for i in range(8)] + ["g EF-1234567 (member)"]
+    assert added_ids(spark, texts) == {8: ["AB-1234567"], 97: ["EF-1234567"]}
+
+
 def test_redacted_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "mail a@b.c now", "x"), (2, None, "y"), (2, "nothing", None)], "doc_id long, text string, base string")
     assert got(pii.redact(df)) == sorted([(1, "mail <EMAIL> now", "x"), (2, "", "y"), (2, "nothing", None)], key=str)
