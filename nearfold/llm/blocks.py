@@ -6,6 +6,7 @@ bounded by it; batches are cut to a few megabytes of text, a longer text is a ba
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,11 +104,11 @@ class Texts:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch; text i has words at[i]:at[i + 1]."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch; text i has words at[i]:at[i + 1]. Other separators on demand."""
 
-    def __init__(self, texts: Texts) -> None:
+    def __init__(self, texts: Texts, separators: np.ndarray = _IS_SPACE) -> None:
         data = texts.data
-        space = _IS_SPACE[data]
+        space = separators[data]
         first = np.ones(len(data) + 1, dtype=bool)  # where a word may begin: after a space or at a text's start
         first[1:] = space
         first[texts.at[:-1]] = True
@@ -130,6 +131,31 @@ class Words:
         return span_hashes(_BYTE[self.data if data is None else data], self.starts, self.ends)
 
 
+#: Bytes of text whose words are hashed at once by ``word_hashes``.
+SLICE_BYTES = 1024 * 1024
+
+
+def word_hashes(words: Words, data: np.ndarray | None = None) -> np.ndarray:
+    """As ``Words.hashes``, slice by slice, so that a text of any length needs no more memory than a slice.
+
+    A word longer than a slice has a hash of its own making, which depends on its bytes alone too.
+    """
+    data = words.data if data is None else data
+    out = np.empty(len(words.starts), dtype=np.uint64)
+    begin = 0
+    while begin < len(out):
+        lo = int(words.starts[begin])
+        end = int(np.searchsorted(words.ends, lo + SLICE_BYTES, side="right"))
+        if end > begin:
+            hi = int(words.ends[end - 1])
+            out[begin:end] = span_hashes(_BYTE[data[lo:hi]], words.starts[begin:end] - lo, words.ends[begin:end] - lo)
+        else:
+            end = begin + 1
+            out[begin] = int.from_bytes(hashlib.blake2b(data[lo : words.ends[begin]].tobytes(), digest_size=8).digest(), "little")
+        begin = end
+    return out
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import chat, fm_index, jaccard, mixing, pii, quality, sampling, sharding, suffix_merge, topk
+from nearfold.llm import chat, collocations, fm_index, jaccard, mixing, packing, periods, pii, quality, sampling, sharding, suffix_merge, topk
 from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,66 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sampled(_table(spark, sf_dir, "documents"), k=2, with_ids=False)
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose checksum of doc_id ends in 0 repeat some of their words up to their end."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(checksum % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    split = docs.select("*", words.alias("planted_words"), F.floor(checksum / 10).alias("planted_g"))
+    g, n = F.col("planted_g"), F.size("planted_words").cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    numbered = split.withColumns({"planted_a": F.when(n > 0, a), "planted_p": F.when(n > 0, p)})
+    first = F.slice("planted_words", 1, F.col("planted_a").cast("int"))
+    cycle = F.slice("planted_words", F.col("planted_a").cast("int") + 1, F.col("planted_p").cast("int"))
+    times = F.ceil((n - F.col("planted_a")) / F.col("planted_p")).cast("int")
+    again = F.array_join(F.slice(F.concat(first, F.flatten(F.array_repeat(cycle, times))), 1, n.cast("int")), " ")
+    return numbered.withColumn("text", F.when(F.col("planted_p").isNotNull(), again).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    spans AS (
+        SELECT lang, w[i:i + k - 1] AS s
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS sizes(k))
+    ), f AS (SELECT lang, s, count(*) AS c FROM spans GROUP BY ALL),
+    totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(s) = 1 GROUP BY lang),
+    candidates AS MATERIALIZED (SELECT lang, s, c AS a FROM f WHERE len(s) > 1 AND c >= 10),
+    cuts AS (
+        SELECT lang, s, a, k, s[1:k] AS first, s[k + 1:] AS rest
+        FROM (SELECT lang, s, a, unnest(range(1, len(s))) AS k FROM candidates)
+    ), scored AS (
+        SELECT u.lang, u.s, u.a, u.k, x.c AS l, y.c AS r, ((1000000::HUGEINT * u.a * u.a) // (x.c::HUGEINT * y.c))::BIGINT AS score
+        FROM cuts u JOIN f x ON x.lang = u.lang AND x.s = u.first JOIN f y ON y.lang = u.lang AND y.s = u.rest
+    ), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+    gone AS (
+        SELECT DISTINCT p.lang, p.s FROM candidates p
+        JOIN (SELECT lang, a, unnest([s[1:2], s[2:3]]) AS s FROM candidates WHERE len(s) = 3) t ON t.lang = p.lang AND t.s = p.s
+        WHERE 100 * t.a >= 50 * p.a
+    ), kept AS (
+        SELECT *, array_to_string(s, ' ') AS phrase FROM weakest ANTI JOIN gone USING (lang, s)
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
