@@ -123,7 +123,8 @@ def best_below_p10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FINAL_COLUMNS = """id, cluster, base_code_id, oz_count, base_count, reduction_pct, below_p10, best_cluster, best_code_id, best_count,
-  round(best_reduction_pct, 6) AS best_reduction_pct, best_below_p10, round(extras_compile_ms, 6) AS extras_compile_ms, preset_count,
+  round(best_reduction_pct, 6) AS best_reduction_pct, best_below_p10, round(extras_compile_ms, 6) AS extras_compile_ms,
+  preset_o0_count, preset_clang_oz_count, preset_clang_oz_ms, preset_cgym_oz_count, preset_cgym_oz_ms, preset_best_oz_count,
   category, final_cluster, final_count, round(final_reduction_pct, 6) AS final_reduction_pct"""
 
 
@@ -172,7 +173,10 @@ def _gm(ratio: str) -> str:
     {_gm('base_count / CAST(oz_count AS DOUBLE)')} AS gm_base,
     {_gm('CASE WHEN below_p10 THEN base_count / CAST(oz_count AS DOUBLE) END')} AS gm_ncs,
     {_gm('CASE WHEN below_p10 THEN best_count / CAST(oz_count AS DOUBLE) END')} AS gm_ncs_best,
-    {_gm('(1 - final_reduction_pct / 100)')} AS gm_final
+    {_gm('(1 - final_reduction_pct / 100)')} AS gm_final,
+    coalesce(sum(extras_compile_ms), 0) AS extras_compile_ms,
+    coalesce(sum(preset_clang_oz_ms), 0) AS preset_clang_oz_ms,
+    coalesce(sum(preset_cgym_oz_ms), 0) AS preset_cgym_oz_ms
   FROM final)
 SELECT metric, round(value, 6) AS value FROM r UNPIVOT (value FOR metric IN (*))""",
 )

@@ -26,9 +26,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the vectors: what clusters and scaler are made of. The rest are unseen samples."""
+    return vectors(spark, sf_dir).filter(F.col("id").cast("bigint") % 5 != 0)
+
+
 def label_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each label with their distance to the label's mean."""
-    v = vectors(spark, sf_dir)
+    """Base vectors of each label with their distance to the label's mean."""
+    v = base_vectors(spark, sf_dir)
     return own_centre_distance(v, staged(group_means(v, "cluster"), "label-means"))
 
 
@@ -42,7 +47,7 @@ def hex_number(text: Column, start: int, digits: int) -> Column:
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three baseline counts per sample, each missing for about one in sixteen."""
+    """Four baseline counts per sample, each missing for about one in sixteen, and two build times."""
     ids = vectors(spark, sf_dir).select("id")
 
     def drawn(name: str, low: int) -> Column:
@@ -50,7 +55,11 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = (F.lit(low) + hex_number(seed, 1, 4) % 60).cast("bigint")
         return F.when(F.substring(F.md5(seed), 5, 1) != "f", value).alias(f"{name}_count")
 
-    return ids.select("id", drawn("oz", 90), drawn("clang_oz", 85), drawn("gym_oz", 88))
+    def took(name: str) -> Column:
+        return (hex_number(F.concat(F.lit(name + ":"), F.col("id")), 6, 2) / 10.0).alias(f"{name}_ms")
+
+    counts = (drawn("oz", 90), drawn("clang_oz", 85), drawn("gym_oz", 88), drawn("o0", 140))
+    return ids.select("id", *counts, took("clang_oz"), took("gym_oz"))
 
 
 def measured(pairs: DataFrame) -> DataFrame:
@@ -93,8 +102,9 @@ def setting(spark: SparkSession, sf_dir: str, store_neighbours: bool = False) ->
     """``store_neighbours`` writes the nearest clusters out, for queries that use them repeatedly."""
     v = vectors(spark, sf_dir).select("id", "embedding")
     c = clusters(spark, sf_dir)
-    scaler = fit_scaler(v)
-    near = nearest_clusters(v, v, c, scaler=scaler)
+    base = base_vectors(spark, sf_dir).select("id", "embedding")
+    scaler = fit_scaler(base)
+    near = nearest_clusters(base, v, c, scaler=scaler)
     if store_neighbours:
         near = staged(near, "neighbours")
     return Setting(v, c, scaler, near, baselines(spark, sf_dir))
@@ -105,10 +115,12 @@ WITH v AS (
   SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
 ), long AS (
   SELECT vec_id, label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v
+), base_long AS (
+  SELECT * FROM long WHERE vec_id % 5 <> 0
 ), label_means AS (
-  SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS m FROM long GROUP BY label, i) GROUP BY label
+  SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS m FROM base_long GROUP BY label, i) GROUP BY label
 ), membership AS (
-  SELECT v.vec_id, v.id, v.label, list_distance(v.e, m.mean) AS d FROM v JOIN label_means m ON v.label = m.label
+  SELECT v.vec_id, v.id, v.label, list_distance(v.e, m.mean) AS d FROM v JOIN label_means m ON v.label = m.label WHERE v.vec_id % 5 <> 0
 ), ranked_members AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rn FROM membership
 ), clusters AS (
@@ -119,7 +131,7 @@ WITH v AS (
 ), rep_codes AS (
   SELECT * FROM top_codes WHERE seq_rank = 0
 ), moments AS (
-  SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM long GROUP BY i
+  SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM base_long GROUP BY i
 ), scaled AS (
   SELECT l.vec_id, CAST(l.vec_id AS VARCHAR) AS id, list((l.x - o.m) / o.s ORDER BY l.i) AS z
   FROM long l JOIN moments o ON l.i = o.i GROUP BY l.vec_id
@@ -146,7 +158,11 @@ WITH v AS (
     CASE WHEN substr(md5('clang_oz:' || id), 5, 1) <> 'f'
          THEN 85 + CAST(('0x' || substr(md5('clang_oz:' || id), 1, 4)) AS INT) % 60 END AS clang_oz_count,
     CASE WHEN substr(md5('gym_oz:' || id), 5, 1) <> 'f'
-         THEN 88 + CAST(('0x' || substr(md5('gym_oz:' || id), 1, 4)) AS INT) % 60 END AS gym_oz_count
+         THEN 88 + CAST(('0x' || substr(md5('gym_oz:' || id), 1, 4)) AS INT) % 60 END AS gym_oz_count,
+    CASE WHEN substr(md5('o0:' || id), 5, 1) <> 'f'
+         THEN 140 + CAST(('0x' || substr(md5('o0:' || id), 1, 4)) AS INT) % 60 END AS o0_count,
+    CAST(('0x' || substr(md5('clang_oz:' || id), 6, 2)) AS INT) / 10.0::DOUBLE AS clang_oz_ms,
+    CAST(('0x' || substr(md5('gym_oz:' || id), 6, 2)) AS INT) / 10.0::DOUBLE AS gym_oz_ms
   FROM v
 )"""
 
@@ -202,7 +218,12 @@ def final_sql(codes: str) -> str:
   SELECT f.id, f.cluster, f.best_code_id AS base_code_id, f.oz_count, f.base_count, f.reduction_pct, f.below_p10,
     b.best_cluster, b.best_code_id, b.best_count, b.best_reduction_pct, coalesce(b.best_below_p10, false) AS best_below_p10,
     b.extras_compile_ms,
-    CASE WHEN f.below_p10 THEN least(o.clang_oz_count, o.gym_oz_count, o.oz_count) END AS preset_count,
+    CASE WHEN b.best_below_p10 THEN o.o0_count END AS preset_o0_count,
+    CASE WHEN b.best_below_p10 THEN o.clang_oz_count END AS preset_clang_oz_count,
+    CASE WHEN b.best_below_p10 THEN o.clang_oz_ms END AS preset_clang_oz_ms,
+    CASE WHEN b.best_below_p10 THEN o.gym_oz_count END AS preset_cgym_oz_count,
+    CASE WHEN b.best_below_p10 THEN o.gym_oz_ms END AS preset_cgym_oz_ms,
+    CASE WHEN b.best_below_p10 THEN least(o.clang_oz_count, o.gym_oz_count, o.oz_count) END AS preset_best_oz_count,
     CASE WHEN coalesce(b.best_below_p10, false) THEN 'preset_fallback' WHEN f.below_p10 THEN 'ncs_ok' ELSE 'centroid' END AS category,
     CASE WHEN f.below_p10 THEN b.best_cluster ELSE f.cluster END AS final_cluster,
     CASE WHEN coalesce(b.best_below_p10, false) THEN least(o.clang_oz_count, o.gym_oz_count, o.oz_count)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import SETTING_SQL, clusters, label_membership, setting, vectors
+from catalog.inputs import SETTING_SQL, base_vectors, clusters, label_membership, setting, vectors
 from catalog.registry import query, table
 from nearfold.operators import clusters as cl
 from nearfold.operators import retrieval as rt
@@ -27,7 +27,8 @@ FROM long l JOIN moments o ON l.i = o.i""",
 )
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _long(v.withColumn("embedding", fit_scaler(v).apply(F.col("embedding"))), "id")
+    scaler = fit_scaler(base_vectors(spark, sf_dir))
+    return _long(v.withColumn("embedding", scaler.apply(F.col("embedding"))), "id")
 
 
 @query(
@@ -114,7 +115,7 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SETTING_SQL + """
 SELECT label AS cluster_id, count(*) AS n_members, min(vec_id) AS first_id, max(vec_id) AS last_id,
        CAST(sum(vec_id) AS BIGINT) AS id_sum
-FROM v GROUP BY label""",
+FROM membership GROUP BY label""",
 )
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded member lists, read back and checked against the plain membership."""
@@ -168,10 +169,10 @@ SELECT cluster_id, CAST(generate_subscripts(z, 1) - 1 AS INT) AS pos, round(unne
 
 @query("lloyd_step", _lloyd_sql(3))
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds from the label means on scaled vectors."""
-    v = vectors(spark, sf_dir)
-    start = staged(cl.group_means(v, "cluster"), "label-means")
-    return _long(cl.lloyd(v.select("id", "embedding"), start, 3, fit_scaler(v)), "cluster_id")
+    """Three rounds over all vectors from the base's label means, scaled as the base."""
+    base = base_vectors(spark, sf_dir)
+    start = staged(cl.group_means(base, "cluster"), "label-means")
+    return _long(cl.lloyd(vectors(spark, sf_dir).select("id", "embedding"), start, 3, fit_scaler(base)), "cluster_id")
 
 
 INERTIA_SQL = SETTING_SQL + """, running AS (
@@ -206,18 +207,62 @@ def elbow_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.elbow_k(_curve(spark, sf_dir))
 
 
-@query("kmeans_fit")
+def _unsettled(scaled: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Rows nearer to the mean of another cluster than to that of their own."""
+    own = staged(scaled.join(assigned.select("id", F.col("cluster").alias("own")), "id"), "assigned-vectors")
+    means = staged(cl.group_means(own, "own"), "cluster-means")
+    first = F.get("neighbours", 0)["cluster_id"]
+    return nearest_centres(own, means, 1).filter(first != F.col("own"))
+
+
+@query(
+    "kmeans_fit",
+    """SELECT count(*) AS n_rows, least(count(DISTINCT label), count(*)) AS n_clusters, CAST(0 AS BIGINT) AS n_unsettled,
+  true AS no_worse_than_labels FROM embeddings""",
+)
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten clusters over the scaled vectors, best of three seeds."""
-    v = vectors(spark, sf_dir).select("id", "embedding")
-    z = v.withColumn("embedding", fit_scaler(v).apply(F.col("embedding")))
-    centres, _ = cl.fit_kmeans(z, 10, n_init=3)
-    return cl.assignments(nearest_centres(z, centres, 1))
+    """As many clusters as labels over the scaled vectors, best of three seeds, fitted until no centre moves.
+
+    Any such fit leaves no row nearer to another cluster's mean, and the best costs no more than one round of
+    averaging from the label means.
+    """
+    v = vectors(spark, sf_dir)
+    scaler = fit_scaler(v)
+    z = staged(v.select("id", scaler.apply(F.col("embedding")).alias("embedding"), "cluster"), "scaled-vectors")
+    start = staged(cl.group_means(z, "cluster"), "label-means")
+    k = start.count()
+    centres, cost = cl.fit_kmeans(z, k, n_init=3, tol=0.0)
+    assigned = staged(cl.assignments(nearest_centres(z.select("id", "embedding"), centres, 1)), "assignments")
+    plain = cl.inertia_by_k(z, cl.lloyd(z, start, 1)).filter(F.col("k") == k)
+    totals = assigned.agg(F.count("*").alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"))
+    return totals.crossJoin(_unsettled(z.select("id", "embedding"), assigned).agg(F.count("*").alias("n_unsettled"))).crossJoin(
+        plain.select((F.lit(cost) <= F.col("inertia") * (1 + 1e-9)).alias("no_worse_than_labels"))
+    )
 
 
-@query("cluster_corpus")
+@query(
+    "cluster_corpus",
+    """SELECT count(*) AS n_rows, true AS k_was_tried, true AS one_row_per_cluster, CAST(0 AS BIGINT) AS n_misplaced,
+  CAST(0 AS BIGINT) AS n_unlisted FROM embeddings""",
+)
 def cluster_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole clustering job with the number of clusters chosen by the elbow."""
+    """The whole clustering job with the number of clusters chosen by the elbow, checked against its own rows.
+
+    Misplaced are rows whose own centre is not the nearest; unlisted are clusters whose first listed member is
+    not their nearest one.
+    """
     v = vectors(spark, sf_dir).select("id", "embedding")
-    done = cluster_vectors(v, k_values=(2, 5, 8, 11), n_init=1)
-    return done.summary.withColumn("top_closest_ids", F.array_join("top_closest_ids", ", "))
+    tried = (2, 5, 8, 11)
+    done = cluster_vectors(v, k_values=tried, n_init=1)
+    sizes = done.summary.agg(
+        F.sum("cluster_size").alias("n_rows"), F.lit(done.k in tried).alias("k_was_tried"), (F.count("*") == done.k).alias("one_row_per_cluster")
+    )
+    scaled = v.withColumn("embedding", done.scaler.apply(F.col("embedding")))
+    own = cl.own_centre_distance(scaled.join(done.assignments.select("id", "cluster"), "id"), done.centres)
+    near = done.assignments.select("id", F.col("distance_to_centroid").alias("least"))
+    misplaced = own.join(near, "id").filter("abs(distance_to_centroid - least) > 1e-9 * (1 + least)").agg(F.count("*").alias("n_misplaced"))
+    firsts = done.assignments.groupBy("cluster").agg(F.min("distance_to_centroid").alias("least"))
+    listed = done.summary.select(F.col("cluster_id").alias("cluster"), F.col("closest_code_id").alias("id"))
+    held = done.assignments.join(listed, ["cluster", "id"]).join(firsts, "cluster").filter("distance_to_centroid <= least")
+    unlisted = held.agg((F.lit(done.k) - F.count("*")).alias("n_unlisted"))
+    return sizes.crossJoin(misplaced).crossJoin(unlisted)

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +14,7 @@ from pyspark.sql import types as T
 
 from nearfold.functions.columns import by_numeric_id, numeric_id
 from nearfold.functions.vectors import as_doubles, distance
+from nearfold.operators.fits import fit_models
 from nearfold.operators.nearest import (
     BLOCKS_PER_STAGE,
     _matrix,
@@ -192,32 +190,8 @@ def elbow_k(curve: DataFrame) -> DataFrame:
     return row.select(chosen.cast("int").alias("k"))
 
 
-def _features(vectors: DataFrame) -> DataFrame:
-    return vectors.select(array_to_vector(as_doubles(F.col("embedding"))).alias("features")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-
-
-#: Fits submitted to the cluster at a time; small ones would leave it idle.
-PARALLEL_FITS = 4
-
-
-def _fit_all(
-    features: DataFrame, jobs: list[tuple[int, int]], max_iter: int
-) -> list[tuple[int, float, list[list[float]]]]:
-    """(k, inertia, centres) per (k, seed); only the k centres reach the driver."""
-
-    def fit(job: tuple[int, int]) -> tuple[int, float, list[list[float]]]:
-        k, seed = job
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(features)
-        return k, float(model.summary.trainingCost), [c.tolist() for c in model.clusterCenters()]
-
-    with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(features.sparkSession)(fit), jobs, chunksize=1)
-
-
 def fit_kmeans(
-    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300
+    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4
 ) -> tuple[DataFrame, float]:
     """Best of ``n_init`` seeded fits: (centre table, inertia).
 
@@ -227,7 +201,7 @@ def fit_kmeans(
     n = vectors.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must lie between 1 and the number of rows ({n}), got {k}")
-    return numbered_centres(vectors, *fit_grid(vectors, [k], n_init, seed, max_iter)[k])
+    return numbered_centres(vectors, *fit_grid(vectors, [k], n_init, seed, max_iter, tol)[k])
 
 
 def numbered_centres(vectors: DataFrame, inertia: float, found: list[list[float]]) -> tuple[DataFrame, float]:
@@ -242,18 +216,14 @@ def numbered_centres(vectors: DataFrame, inertia: float, found: list[list[float]
 
 
 def fit_grid(
-    vectors: DataFrame, k_values: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300
+    vectors: DataFrame, k_values: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4
 ) -> dict[int, tuple[float, list[list[float]]]]:
-    """(inertia, centres) of the best full fit per k. The vectors are cached once for all k."""
-    features = _features(vectors)
-    try:
-        fits = _fit_all(features, [(int(k), seed + run) for k in k_values for run in range(n_init)], max_iter)
-    finally:
-        features.unpersist()
+    """(inertia, centres) of the best full fit per k; all fits share the scans of the vectors."""
+    fits = fit_models(vectors, [(int(k), seed + run) for k in k_values for run in range(n_init)], max_iter, tol)
     best: dict[int, tuple[float, list[list[float]]]] = {}
-    for k, inertia, centres in fits:
-        if k not in best or inertia < best[k][0]:
-            best[k] = (inertia, centres)
+    for fit in fits:
+        if fit.k not in best or fit.cost < best[fit.k][0]:
+            best[fit.k] = (fit.cost, fit.centres.tolist())
     return best
 
 

@@ -180,8 +180,31 @@ def flag_best(best: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
+#: What is known of a sample's preset builds: name in the result, column of the baselines, type.
+PRESETS = (
+    ("preset_o0_count", "o0_count", "bigint"),
+    ("preset_clang_oz_count", "clang_oz_count", "bigint"),
+    ("preset_clang_oz_ms", "clang_oz_ms", "double"),
+    ("preset_cgym_oz_count", "gym_oz_count", "bigint"),
+    ("preset_cgym_oz_ms", "gym_oz_ms", "double"),
+)
+
+
+def preset_builds(baselines: DataFrame) -> DataFrame:
+    """(id, preset_*): counts (NULL unless positive), build times (0 unless known) and the best of the -Oz counts.
+
+    ``baselines`` may lack the columns of builds that were not made.
+    """
+    def known(column: str, kind: str) -> Column:
+        value = F.col(column) if column in baselines.columns else F.lit(None)
+        return positive(value.cast(kind)) if kind == "bigint" else F.coalesce(value.cast(kind), F.lit(0.0))
+
+    best = best_baseline(*(F.col(c) for c in ("clang_oz_count", "gym_oz_count", "oz_count") if c in baselines.columns))
+    return baselines.select("id", *(known(c, kind).alias(name) for name, c, kind in PRESETS), best.cast("bigint").alias("preset_best_oz_count"))
+
+
 def outcome(flagged: DataFrame) -> DataFrame:
-    """Add category and final_*; expects base, best_* and preset_best columns."""
+    """Add category and final_*; expects base, best_* and preset_* columns."""
     best_below = F.coalesce("best_below_p10", F.lit(False))
     under = F.coalesce("below_p10", F.lit(False))
     chosen = (
@@ -190,7 +213,7 @@ def outcome(flagged: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(PRESET).alias("category"),
                 F.coalesce("best_cluster", "cluster").alias("final_cluster"),
-                F.col("preset_count").cast("bigint").alias("final_count"),
+                F.col("preset_best_oz_count").alias("final_count"),
                 F.lit(0.0).alias("final_reduction_pct"),
             ),
         )
@@ -225,32 +248,32 @@ def final_result(
     """The whole gated fallback.
 
     Only samples below their threshold are exploded, joined and aggregated; all
-    others go straight to the output without a shuffle. ``base`` is read twice,
-    so pass a written table.
+    others go straight to the output without a shuffle. The preset columns are
+    known for samples that end with a preset. ``base`` is read twice, so pass a
+    written table.
     """
     flagged = flag_below(base, thresholds)
     ncs = flagged.filter("below_p10")
     rest = flagged.filter(~F.col("below_p10"))
     extras = candidate_scores(fallback_candidates(ncs, codes), measurements)
     best = fallback_best(ncs, extras, thresholds)
-    presets = baselines.select(
-        "id", best_baseline(F.col("clang_oz_count"), F.col("gym_oz_count"), F.col("oz_count")).alias("preset_count")
-    )
-    worked = ncs.withColumnRenamed("best_code_id", "base_code_id").join(best, "id", "left").join(presets, "id", "left")
-    quiet = rest.withColumnRenamed("best_code_id", "base_code_id").select(
-        "*",
-        F.lit(None).cast("int").alias("best_cluster"),
-        F.lit(None).cast("string").alias("best_code_id"),
-        F.lit(None).cast("bigint").alias("best_count"),
-        F.lit(None).cast("double").alias("best_reduction_pct"),
-        F.lit(None).cast("double").alias("extras_compile_ms"),
-        F.lit(False).alias("best_below_p10"),
-        F.lit(None).cast("bigint").alias("preset_count"),
-    )
+    presets = [*(name for name, _, _ in PRESETS), "preset_best_oz_count"]
+    worked = ncs.withColumnRenamed("best_code_id", "base_code_id").join(best, "id", "left").join(preset_builds(baselines), "id", "left")
+    worked = worked.withColumns({c: F.when(F.col("best_below_p10"), F.col(c)) for c in presets})
+    none = {c: F.lit(None).cast(kind) for c, _, kind in PRESETS} | {
+        "preset_best_oz_count": F.lit(None).cast("bigint"),
+        "best_cluster": F.lit(None).cast("int"),
+        "best_code_id": F.lit(None).cast("string"),
+        "best_count": F.lit(None).cast("bigint"),
+        "best_reduction_pct": F.lit(None).cast("double"),
+        "extras_compile_ms": F.lit(None).cast("double"),
+        "best_below_p10": F.lit(False),
+    }
+    quiet = rest.withColumnRenamed("best_code_id", "base_code_id").withColumns(none)
     columns = [
         "id", "cluster", "base_code_id", "oz_count", "base_count", "reduction_pct", "below_p10",
         "best_cluster", "best_code_id", "best_count", "best_reduction_pct", "best_below_p10",
-        "extras_compile_ms", "preset_count",
+        "extras_compile_ms", *presets,
     ]
     return outcome(quiet.select(columns).unionByName(worked.select(columns)))
 
@@ -272,6 +295,9 @@ def stage_report(final: DataFrame) -> DataFrame:
         "gm_ncs": geomean_pct_from_counts(F.when(ncs, F.col("base_count")), F.col("oz_count")),
         "gm_ncs_best": geomean_pct_from_counts(F.when(ncs, F.col("best_count")), F.col("oz_count")),
         "gm_final": geomean_pct_from_pct(F.col("final_reduction_pct")),
+        "extras_compile_ms": F.coalesce(F.sum("extras_compile_ms"), F.lit(0.0)),
+        "preset_clang_oz_ms": F.coalesce(F.sum("preset_clang_oz_ms"), F.lit(0.0)),
+        "preset_cgym_oz_ms": F.coalesce(F.sum("preset_cgym_oz_ms"), F.lit(0.0)),
     }
     row = final.agg(*[c.cast("double").alias(name) for name, c in metrics.items()])
     return row.unpivot([], list(metrics), "metric", "value")

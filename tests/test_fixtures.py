@@ -290,8 +290,8 @@ def fallback(spark):
     measured += [(i, f"code{x[0]}", x[1], 2.0) for i, _, _, _, x in BASE if x]
     measurements = spark.createDataFrame(measured, "id string, code_id string, count bigint, compile_ms double")
     baselines = spark.createDataFrame(
-        [(i, oz, 95, None) for i, _, oz, _, _ in BASE],
-        "id string, oz_count bigint, clang_oz_count bigint, gym_oz_count bigint",
+        [(i, oz, 95, None, 140, 2.5) for i, _, oz, _, _ in BASE],
+        "id string, oz_count bigint, clang_oz_count bigint, gym_oz_count bigint, o0_count bigint, clang_oz_ms double",
     )
     thresholds = spark.createDataFrame([(1, 5.0), (2, -10.0), (3, None)], "cluster int, delta_p10 double")
     base = ev.base_result(near, codes, measurements, baselines)
@@ -329,10 +329,21 @@ def test_fallback_report(fallback):
         "gm_ncs": 1.667794,
         "gm_ncs_best": 2.337863,
         "gm_final": -0.321368,
+        "extras_compile_ms": report["extras_compile_ms"],
+        "preset_clang_oz_ms": 2.5,
+        "preset_cgym_oz_ms": 0.0,
     }
     assert {r[0]: r[1] for r in ev.category_counts(final).collect()} == {"centroid": 4, "ncs_ok": 2, "preset_fallback": 1}
 
 
+def test_preset_columns_belong_to_preset_outcomes(fallback):
+    _, final, _ = fallback
+    names = ["preset_o0_count", "preset_clang_oz_count", "preset_clang_oz_ms", "preset_cgym_oz_count", "preset_cgym_oz_ms", "preset_best_oz_count"]
+    got = {r["id"]: tuple(r[n] for n in names) for r in final.collect()}
+    assert got.pop("C") == (140, 95, 2.5, None, 0.0, 95)
+    assert set(got.values()) == {(None,) * 6}
+
+
 def test_fallback_without_gated_rows(spark, fallback):
     base, _, (near, codes, measurements, baselines) = fallback
     none = spark.createDataFrame([], "cluster int, delta_p10 double")
