@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -121,3 +122,66 @@ def edf(quotas: dict[str, int], slots: int) -> list[str]:
         done[pick] += 1
         out.append(pick)
     return out
+
+
+def runs_of(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every periodic run."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            stretch = words[i : i + length]
+            if j > i and length >= max(6, 4 * q) and not any(stretch[d:] == stretch[:-d] for d in range(1, q)):
+                out.append((i, length, q))
+            i = j + 1
+    return out
+
+
+def periodic(text: str | None) -> tuple:
+    words = WORD.findall(text or "")
+    found = sorted(runs_of(words), key=lambda r: (r[0], r[2]))
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    longest = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    best = (*longest, 1000 * longest[1] // longest[2]) if longest else (None,) * 4
+    return len(words), len(found), *best, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+
+
+def planted(doc: int | None, text: str | None) -> list[str]:
+    words = WORD.findall(text or "")
+    h = None if doc is None else zlib.crc32(str(doc).encode())
+    if h is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def collocations(rows, longest: int, top: int) -> list[tuple]:
+    counts: dict = {}
+    total: Counter = Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        candidates = {s: a for s, a in f.items() if len(s) > 1 and a >= 10}
+        gone = {s[i : i + k] for s, a in candidates.items() for k in range(2, len(s)) for i in range(len(s) - k + 1) if 100 * a >= 50 * candidates[s[i : i + k]]}
+        scored = []
+        for s, a in candidates.items():
+            if s not in gone:
+                score, _, left, right = min((10**6 * a * a // (f[s[:k]] * f[s[k:]]), k, f[s[:k]], f[s[k:]]) for k in range(1, len(s)))
+                scored.append((-score, -a, " ".join(s).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)

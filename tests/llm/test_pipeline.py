@@ -51,7 +51,7 @@ def test_middle_stages_keep_the_columns(spark):
 
 
 def test_all_numbers_are_there():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
