@@ -19,9 +19,11 @@ from nearfold.operators.nearest import (
     BLOCKS_PER_STAGE,
     _matrix,
     _merged,
+    _shipped,
     all_but_last,
     centre_blocks,
     nearest_centres,
+    received,
     so_far,
     squared_distances,
     tiles,
@@ -70,16 +72,16 @@ def _member_means(vectors: DataFrame, centres: DataFrame, scaler: Scaler | None)
     assignments leave the task.
     """
     rows, last = all_but_last(vectors.select("embedding"), centres, 1, scaler, "embedding")
-    shared = vectors.sparkSession.sparkContext.broadcast((last.ids, last.vectors, last.mean, last.deviation))
+    shared = vectors.sparkSession.sparkContext.broadcast(_shipped(last))
 
     def run(batches):
-        ids, block, mean, deviation = shared.value
+        block, mean, deviation = received(shared.value)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column(batch.schema.get_field_index("embedding")), block.shape[1])
+            x = _matrix(batch.column(batch.schema.get_field_index("embedding")), block[1].shape[1])
             scaled = x if mean is None else (x - mean) / deviation
-            label = _merged(so_far(batch), scaled, ids, block, 1)[0][:, 0]
+            label = _merged(so_far(batch), scaled, block, 1)[0][:, 0]
             order = np.argsort(label, kind="stable")
             found, start, n = np.unique(label[order], return_index=True, return_counts=True)
             means = np.add.reduceat(x[order], start, axis=0) / n[:, None]

@@ -3,13 +3,15 @@
 The centres are cut into blocks of a fixed size, in ascending order of their ids. Each block is
 broadcast and meets every sample where it lies: a narrow step merges the block's k nearest into the
 sample's best so far. One block is the ordinary case, many are a longer chain of the same steps;
-nothing is grouped or joined, so ids may be missing or repeated. Rows are worked on in tiles, so no
-array in a task exceeds a fixed size.
+nothing is grouped or joined, so ids may be missing or repeated. Blocks of many centres carry a metric
+index, which skips groups of centres that are too far to matter. Rows are worked on in tiles, so no array
+in a task exceeds a fixed size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfold.operators import metric_index
+from nearfold.operators.metric_index import Index
 from nearfold.operators.scaling import Scaler
 from nearfold.session import staged
 
@@ -106,21 +110,34 @@ def _neighbour_array(ids: np.ndarray, dist: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), entry)
 
 
-def _merged(so_far: pa.Array | None, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+#: A block as it is broadcast: ids ascending, vectors, their index if any.
+Block = tuple[np.ndarray, np.ndarray, Index | None]
+
+
+def _merged(so_far: pa.Array | None, x: np.ndarray, block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the k nearest among a block and the best of the blocks before it."""
-    order, dist = _best(x, vectors, k)
-    near = ids[order]
+    ids, vectors, index = block
+    known_ids = known = None
     if so_far is not None:
-        known = so_far.flatten()
-        near = np.hstack((known.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(x), -1), near))
-        dist = np.hstack((known.field("distance").to_numpy(zero_copy_only=False).reshape(len(x), -1), dist))
+        flat = so_far.flatten()
+        known_ids = flat.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        known = flat.field("distance").to_numpy(zero_copy_only=False).reshape(len(x), -1)
+    if index is None or not np.isfinite(x).all():
+        order, dist = _best(x, vectors, k)
+    else:
+        bound = known[:, k - 1] if known is not None and known.shape[1] >= k else None
+        order, dist, _ = metric_index.nearest(x, vectors, index, k, _best, bound)
+    near = ids[order]
+    if known is not None:
+        # Places that the bound left empty are infinitely far and never among the first k.
+        near, dist = np.hstack((known_ids, near)), np.hstack((known, dist))
         chosen = np.lexsort((near, dist), axis=1)[:, :k]
         near, dist = np.take_along_axis(near, chosen, axis=1), np.take_along_axis(dist, chosen, axis=1)
     return near, dist
 
 
 class Centres:
-    """A block of centres: ids ascending, vectors already scaled."""
+    """A block of centres: ids ascending, vectors already scaled, an index if there are many."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, scaler: Scaler | None):
         order = np.argsort(ids, kind="stable")
@@ -128,6 +145,10 @@ class Centres:
         self.mean = np.asarray(scaler.mean) if scaler else None
         self.deviation = np.asarray(scaler.deviation) if scaler else None
 
+    @cached_property
+    def block(self) -> Block:
+        return self.ids, self.vectors, metric_index.build(self.vectors)
+
 
 def centre_blocks(
     centres: DataFrame | Centres, scaler: Scaler | None = None, id_col: str = "cluster_id", vector_col: str = "embedding"
@@ -173,8 +194,19 @@ def centre_blocks(
             yield Centres(part.column(0).to_numpy(), vectors, scaler)
 
 
-#: Works on one Arrow batch: (scaled vectors, centre ids, centres, the batch) to added columns.
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], list[tuple[str, pa.Array]]]
+#: Works on one Arrow batch: (scaled vectors, block, the batch) to added columns.
+Kernel = Callable[[np.ndarray, Block, pa.RecordBatch], list[tuple[str, pa.Array]]]
+
+
+def _shipped(centres: Centres) -> tuple:
+    """Plain arrays, because broadcast values are read back before any package code is."""
+    ids, vectors, index = centres.block
+    return ids, vectors, index and tuple(index), centres.mean, centres.deviation
+
+
+def received(shipped: tuple) -> tuple[Block, np.ndarray | None, np.ndarray | None]:
+    ids, vectors, index, mean, deviation = shipped
+    return (ids, vectors, index and Index(*index)), mean, deviation
 
 
 def map_vectors(
@@ -187,18 +219,15 @@ def map_vectors(
     """
     names = [c for c in samples.columns if kept is None or c in kept]
     schema = T.StructType([samples.schema[c] for c in names] + added)
-    # Plain arrays, because broadcast values are read back before any package code is.
-    shared = samples.sparkSession.sparkContext.broadcast(
-        (centres.ids, centres.vectors, centres.mean, centres.deviation)
-    )
+    shared = samples.sparkSession.sparkContext.broadcast(_shipped(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, mean, deviation = shared.value
+        block, mean, deviation = received(shared.value)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column(batch.schema.get_field_index(vector_col)), vectors.shape[1])
-            extra = kernel(x if mean is None else (x - mean) / deviation, ids, vectors, batch)
+            x = _matrix(batch.column(batch.schema.get_field_index(vector_col)), block[1].shape[1])
+            extra = kernel(x if mean is None else (x - mean) / deviation, block, batch)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(
                 arrays + [a for _, a in extra], names=names + [n for n, _ in extra]
@@ -213,8 +242,8 @@ SO_FAR = "__neighbours"
 def all_but_last(samples: DataFrame, centres: DataFrame | Centres, k: int, scaler: Scaler | None, vector_col: str) -> tuple[DataFrame, Centres]:
     """Samples with the k nearest of every block but the last (a column SO_FAR if there are any), and the last block."""
 
-    def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
-        return [(SO_FAR, _neighbour_array(*_merged(so_far(batch), x, ids, vectors, k)))]
+    def kernel(x: np.ndarray, block: Block, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
+        return [(SO_FAR, _neighbour_array(*_merged(so_far(batch), x, block, k)))]
 
     last = None
     own = samples.columns
@@ -245,8 +274,8 @@ def nearest_centres(
     own = [c for c in samples.columns if keep_vector or c != vector_col]
     samples, last = all_but_last(samples, centres, k, scaler, vector_col)
 
-    def kernel(x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
-        return [("neighbours", _neighbour_array(*_merged(so_far(batch), x, ids, vectors, k)))]
+    def kernel(x: np.ndarray, block: Block, batch: pa.RecordBatch) -> list[tuple[str, pa.Array]]:
+        return [("neighbours", _neighbour_array(*_merged(so_far(batch), x, block, k)))]
 
     return map_vectors(samples, last, kernel, [T.StructField("neighbours", NEIGHBOURS)], vector_col, own)
 
