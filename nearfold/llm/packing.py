@@ -7,11 +7,11 @@ decreasing and compares the number of its sequences with a lower bound: dual fea
 to weights such that no sequence weighs more than one, so the weights' sum, rounded up, bounds every packing.
 
 * Bound met: no packing of the group needs fewer, its sequences are final, but for the least filled one.
-* A gap is left: all pieces of the group are exchanged.
+* A gap is left: full sequences are final, as nothing is wasted in them; all other pieces are exchanged.
 
-Exchanged pieces are dealt anew, to fewer groups under another hash, and packed again, as long as this
+Exchanged pieces are dealt anew, to fewer and larger groups under another hash, and packed again, as long as this
 saves sequences and the bound of all that is exchanged is not met. ``certified`` says whether a sequence
-comes from a group (or a last exchange) that met its bound.
+is full or comes from a group (or a last exchange) that met its bound.
 
 Encoding: a text is cut at blanks and line feeds where the vocabulary's own splitting rule must cut it
 too, every distinct cutting of a batch is encoded once, and the ids are put together again. Cuttings of plain
@@ -47,8 +47,9 @@ SPECIAL = b"<|endoftext|>"
 END = 2
 SIZE = 1024
 
-#: Pieces that a group packs, on average. Groups grow in number with the input, not in size.
-GROUP = 4096
+#: Pieces that a group packs at first, on average, and after exchanges, each of which doubles them, at most.
+#: Groups grow in number with the input, not in size.
+GROUP, MOST_IN_GROUP = 8192, 1 << 20
 #: Exchanges at most; each has to save sequences for the next to happen.
 ROUNDS = 8
 #: Text that is encoded at once; more text repeats more words.
@@ -241,7 +242,7 @@ def _bound_of(df: DataFrame, size: int) -> int:
 
 def _pack_groups(pool: DataFrame, size: int, number: int) -> DataFrame:
     """One round: ``pool`` dealt, packed and judged group by group."""
-    groups = max(1, -(-pool.count() // GROUP))
+    groups = max(1, -(-pool.count() // min(GROUP << number, max(GROUP, MOST_IN_GROUP))))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pool.dtypes), "sequence_id long", "offset long", "final boolean", "certified boolean"])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -249,10 +250,13 @@ def _pack_groups(pool: DataFrame, size: int, number: int) -> DataFrame:
         lengths = table.column("length").to_numpy()
         sequence, offset, made = best_fit_decreasing(lengths, size)
         met = made == lower_bound(np.bincount(lengths, minlength=size + 1))
-        loosest = np.bincount(sequence, weights=lengths, minlength=made).argmin()
-        final = (sequence != loosest) if met and groups > 1 else np.full(len(lengths), met)
+        load = np.bincount(sequence, weights=lengths, minlength=made)
+        full = load == size
+        final = full | met
+        if groups > 1 and not full.all():
+            final[load.argmin()] = False
         unique = (((number << 33) + key[0].as_py() << 24) + sequence) * 2
-        for name, values in (("sequence_id", unique), ("offset", offset), ("final", final), ("certified", np.full(len(lengths), met))):
+        for name, values in (("sequence_id", unique), ("offset", offset), ("final", final[sequence]), ("certified", (full | met)[sequence])):
             table = table.append_column(name, pa.array(values))
         return table
 
