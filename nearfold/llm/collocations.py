@@ -42,7 +42,7 @@ NO_LANGUAGE = "und"
 #: 64-bit words of the filter of frequent groups: 8 MB, whatever the input.
 SLOTS = 1 << 20
 #: Text of a block.
-BLOCK_BYTES = 6 * 1024 * 1024
+BLOCK_BYTES = 3 * 1024 * 1024
 
 _END = np.isin(np.arange(256), list(ENDS))
 _SEPARATOR = _END | np.isin(np.arange(256), list(SPACES))
@@ -92,7 +92,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if not len(words.starts):
                 continue
             owner = np.repeat(np.arange(len(texts)), words.counts())
-            ended = np.concatenate(([0], np.cumsum(_END[words.data], dtype=np.int64)))[words.starts]
+            ended = np.concatenate(([0], np.cumsum(_END[words.data], dtype=np.int32)))[words.starts]
             hashes = word_hashes(words)
             for code, name in enumerate(langs.dictionary.to_pylist()):
                 own = np.flatnonzero(lang[owner] == code)
@@ -102,18 +102,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 sizes = np.diff(np.append(np.flatnonzero(new), len(own)))
                 distinct, first, codes, times = np.unique(hashes[own], return_index=True, return_inverse=True, return_counts=True)
                 spelled = [words.data[words.starts[i] : words.ends[i]].tobytes().decode() for i in own[first]]
-                columns = (codes.astype(np.int32), sizes.astype(np.int32), distinct.view(np.int64), spelled, times)
-                lists = [pa.ListArray.from_arrays(np.array([0, len(x)], dtype=np.int32), pa.array(x)) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], [c.split()[0] for c in _BLOCK.split(", ")])
+                columns = (codes.astype(np.int32), sizes.astype(np.int32), distinct.view(np.int64), pa.array(spelled, pa.string()), times)
+                lists = [pa.ListArray.from_arrays(np.array([0, len(x)], dtype=np.int32), x if isinstance(x, pa.Array) else pa.array(x)) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), *lists], [c.split()[0] for c in _BLOCK.split(", ")])
 
     return docs.select("text", "lang").mapInArrow(run, _BLOCK)
 
 
-def _grown(key: np.ndarray, words: list[np.ndarray], passes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Merge join of the frequent rows of a relation with themselves one position on."""
-    key, words = key[passes], [w[passes] for w in words]
-    _, at, next_ = np.intersect1d(key + 1, key, assume_unique=True, return_indices=True)
-    return key[at], [*(w[at] for w in words), words[-1][next_]]
+def _grown(key: np.ndarray, group: np.ndarray, words: list[np.ndarray], passes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Merge join of the frequent rows of a relation with themselves one position on.
+
+    ``key`` is the sorted place of every row, ``group`` its group, ``words`` the groups' words. Also gives how
+    often each new group occurs.
+    """
+    kept = passes[group]
+    key, group = key[kept], group[kept]
+    next_ = np.flatnonzero(key[1:] == key[:-1] + 1)  # places are unique, so a following one is the next row
+    pair = group[next_] * len(passes) + group[next_ + 1]
+    pairs, group, times = np.unique(pair, return_inverse=True, return_counts=True)
+    first, second = np.divmod(pairs, len(passes))
+    return key[next_], group, [*(w[first] for w in words), words[-1][second]], times
 
 
 def _count_length(blocks: DataFrame, length: int, filters: list[np.ndarray], least: int) -> DataFrame:
@@ -127,13 +135,12 @@ def _count_length(blocks: DataFrame, length: int, filters: list[np.ndarray], lea
                 name = batch.column(0)[i].as_py()
                 codes, sizes, distinct = (batch.column(c)[i].values.to_numpy() for c in (1, 2, 3))
                 piece = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-                position = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                key, words = (piece << 32) + position, [distinct[codes]]
+                position = np.arange(len(codes)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+                key, group, words, times = (piece << 32) + position, codes.astype(np.int64), [distinct], None
                 for known in shared.value:
-                    key, words = _grown(key, words, _passes(known, group_hashes(name, words)))
-                groups, first, times = np.unique(group_hashes(name, words), return_index=True, return_counts=True)
+                    key, group, words, times = _grown(key, group, words, _passes(known, group_hashes(name, words)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(groups)), *(pa.array(w[first]) for w in words), pa.array(times)], ["lang", *columns, "n"]
+                    [pa.array([name] * len(times), pa.string()), *(pa.array(w) for w in words), pa.array(times)], ["lang", *columns, "n"]
                 )
 
     schema = ", ".join(["lang string", *(f"{c} long" for c in columns), "n long"])
