@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfold.functions.columns import positive
 from nearfold.functions.measures import (
@@ -15,6 +16,7 @@ from nearfold.functions.measures import (
     raw_reduction_pct,
     reduction_pct,
 )
+from nearfold.operators.joins import HotKeys, spread_join
 from nearfold.operators.ranks import group_percentile
 from nearfold.operators.retrieval import NEIGHBOUR_COUNT
 
@@ -75,18 +77,23 @@ def best_baseline(*counts: Column) -> Column:
     return F.least(*[positive(c) for c in counts]) if len(counts) > 1 else positive(counts[0])
 
 
+#: For callers that know of no cluster with an outsized share of the samples.
+NONE_HOT = HotKeys(T.IntegerType(), ())
+
+
 def base_result(
-    neighbours: DataFrame, codes: DataFrame, measurements: DataFrame | Scorer, baselines: DataFrame
+    neighbours: DataFrame, codes: DataFrame, measurements: DataFrame | Scorer, baselines: DataFrame, hot: HotKeys = NONE_HOT
 ) -> DataFrame:
     """Apply the assigned cluster's sequences to every sample and keep the best.
 
     ``codes`` holds one list per cluster: a single code gives the zero-shot
     result, several give best-of-k. Samples whose cluster has no usable
-    sequence stay, with NULLs.
+    sequence stay, with NULLs. ``hot`` clusters are split in the lookups, here
+    and below.
     """
     first = F.get("neighbours", 0)
     assigned = neighbours.select("id", first["cluster_id"].alias("cluster"), "neighbours")
-    offers = assigned.join(codes.withColumnRenamed("cluster_id", "cluster"), "cluster", "left").select(
+    offers = spread_join(assigned, codes.withColumnRenamed("cluster_id", "cluster"), "cluster", "id", hot).select(
         "id",
         "cluster",
         "neighbours",
@@ -114,24 +121,24 @@ def cluster_thresholds(base: DataFrame, quantile: float = GATE_QUANTILE) -> Data
     return group_percentile(base, "cluster", "reduction_pct", quantile, "delta_p10")
 
 
-def flag_below(base: DataFrame, thresholds: DataFrame) -> DataFrame:
+def flag_below(base: DataFrame, thresholds: DataFrame, hot: HotKeys = NONE_HOT) -> DataFrame:
     """Attach the assigned cluster's threshold and the ``below_p10`` flag."""
-    joined = base.join(thresholds.select("cluster", "delta_p10"), "cluster", "left")
+    joined = spread_join(base, thresholds.select("cluster", "delta_p10"), "cluster", "id", hot)
     return joined.withColumn("below_p10", below(F.col("reduction_pct"), F.col("delta_p10")))
 
 
-def fallback_candidates(ncs: DataFrame, codes: DataFrame) -> DataFrame:
+def fallback_candidates(ncs: DataFrame, codes: DataFrame, hot: HotKeys = NONE_HOT) -> DataFrame:
     """Neighbours 2 to 5 of the gated samples with each cluster's sequences."""
     extras = F.filter("neighbours", lambda n: n["rank"].between(2, NEIGHBOUR_COUNT))
     ranked = ncs.select("id", F.explode(extras).alias("n")).select(
         "id", F.col("n.rank").alias("cluster_rank"), F.col("n.cluster_id").alias("cluster")
     )
-    return ranked.join(codes.withColumnRenamed("cluster_id", "cluster"), "cluster", "left").select(
+    return spread_join(ranked, codes.withColumnRenamed("cluster_id", "cluster"), "cluster", "id", hot).select(
         "id", "cluster_rank", "cluster", F.posexplode_outer("codes").alias("seq_rank", "code_id")
     )
 
 
-def fallback_best(ncs: DataFrame, scored_extras: DataFrame, thresholds: DataFrame) -> DataFrame:
+def fallback_best(ncs: DataFrame, scored_extras: DataFrame, thresholds: DataFrame, hot: HotKeys = NONE_HOT) -> DataFrame:
     """Winner over the base candidate (rank 0) and the extras, tested against the winner's threshold."""
     base = ncs.select(
         "id",
@@ -170,12 +177,12 @@ def fallback_best(ncs: DataFrame, scored_extras: DataFrame, thresholds: DataFram
         raw_reduction_pct(F.col("w.count"), F.col("oz_count")).alias("best_reduction_pct"),
         "extras_compile_ms",
     )
-    return flag_best(best, thresholds)
+    return flag_best(best, thresholds, hot)
 
 
-def flag_best(best: DataFrame, thresholds: DataFrame) -> DataFrame:
+def flag_best(best: DataFrame, thresholds: DataFrame, hot: HotKeys = NONE_HOT) -> DataFrame:
     gates = thresholds.select(F.col("cluster").alias("best_cluster"), F.col("delta_p10").alias("best_delta_p10"))
-    return best.join(gates, "best_cluster", "left").withColumn(
+    return spread_join(best, gates, "best_cluster", "id", hot).withColumn(
         "best_below_p10", below(F.col("best_reduction_pct"), F.col("best_delta_p10"))
     )
 
@@ -244,6 +251,7 @@ def final_result(
     thresholds: DataFrame,
     measurements: DataFrame | Scorer,
     baselines: DataFrame,
+    hot: HotKeys = NONE_HOT,
 ) -> DataFrame:
     """The whole gated fallback.
 
@@ -252,11 +260,11 @@ def final_result(
     known for samples that end with a preset. ``base`` is read twice, so pass a
     written table.
     """
-    flagged = flag_below(base, thresholds)
+    flagged = flag_below(base, thresholds, hot)
     ncs = flagged.filter("below_p10")
     rest = flagged.filter(~F.col("below_p10"))
-    extras = candidate_scores(fallback_candidates(ncs, codes), measurements)
-    best = fallback_best(ncs, extras, thresholds)
+    extras = candidate_scores(fallback_candidates(ncs, codes, hot), measurements)
+    best = fallback_best(ncs, extras, thresholds, hot)
     presets = [*(name for name, _, _ in PRESETS), "preset_best_oz_count"]
     worked = ncs.withColumnRenamed("best_code_id", "base_code_id").join(best, "id", "left").join(preset_builds(baselines), "id", "left")
     worked = worked.withColumns({c: F.when(F.col("best_below_p10"), F.col(c)) for c in presets})

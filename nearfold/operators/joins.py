@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Most keys that are told apart as hot, and counters of the summary per such key.
+MOST_HOT, COUNTERS_PER_KEY = 4096, 16
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys that hold more rows than an even share of a partition, with the parts each is split into.
 
-from nearfold import session
+    At most as many as there are partitions, so the table can always be broadcast.
+    """
+
+    kind: T.DataType
+    parts: tuple[tuple[object, int], ...]
 
-#: Parts a single key of the large side is split into.
-SALTS = 32
+    def table(self, large: DataFrame) -> DataFrame:
+        schema = T.StructType([T.StructField("hot_key", self.kind), T.StructField("hot_parts", T.IntegerType())])
+        return F.broadcast(large.sparkSession.createDataFrame(list(self.parts), schema))
 
 
-def lookup_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """Left join with a lookup of one row per key, safe when one key holds most of ``large``.
+def hot_keys(df: DataFrame, key: str) -> HotKeys:
+    """One pass that only reads the key: a mergeable summary of frequent items beside the number of rows.
 
-    The lookup is written out and measured. A small one is broadcast, which
-    leaves the large side where it is; any other is joined with salted keys.
+    A NULL counts as a key, since rows without a key meet in one partition too. The summary's counts may be
+    a little high or low; they decide how rows are spread, never what is joined.
     """
-    table = session.staged(lookup, "lookup")
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.count("*")).head()
-    if (size[0] or 0) + 64 * size[1] <= session.BROADCAST_BYTES:
-        return large.join(F.broadcast(table), key, "left")
-    return salted_left_join(large, table, key, spread_by)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(2, min(MOST_HOT, partitions))
+    summary = F.expr(f"approx_top_k(`{key}`, {most}, {most * COUNTERS_PER_KEY})")
+    rows, top = df.agg(F.count("*"), summary).head()
+    share = rows / most
+    kind = df.schema[key].dataType
+    return HotKeys(kind, tuple((item["item"], -int(-item["count"] // share)) for item in top or () if item["count"] > share))
 
 
-def salted_left_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Left join on ``key`` that splits every key over ``salts`` partitions.
+def spread_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str, hot: HotKeys | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Left join on ``key`` (and the columns ``also``) in which hot keys are split and all others join as they are.
 
-    ``lookup`` is repeated per salt; ``spread_by`` is a column of ``large`` that
-    varies within a key. Lookup rows that no key asks for should be filtered
-    out before.
+    ``spread_by`` is a column of ``large`` that varies within a key. ``hot`` may come from another table whose
+    keys are spread alike; otherwise ``large`` is read once more to find them. Rows of ``lookup`` are
+    repeated once per part of their key, that is only for hot ones. Which side is broadcast is left to Catalyst.
     """
-    salted = large.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "salt"], "left").drop("salt")
+    hot = hot if hot is not None else hot_keys(large, key)
+    if not hot.parts:
+        return large.join(lookup, [key, *also], "left")
+    table = hot.table(large)
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.join(table, df[key].eqNullSafe(table["hot_key"]), "left").drop("hot_key")
+
+    part: Column = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("hot_parts")).cast("int"), F.lit(0))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1))
+    salted = with_parts(large).withColumn("hot_part", part).drop("hot_parts")
+    repeated = with_parts(lookup).withColumn("hot_part", every).drop("hot_parts")
+    return salted.join(repeated, [key, *also, "hot_part"], "left").drop("hot_part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.columns import after_marker, last_path_part, positive, strip_name
 from nearfold.functions.commands import affix_passes
-from nearfold.operators.joins import lookup_join
+from nearfold.operators.joins import spread_join
 from nearfold.operators.quality import dedupe_last
 
 
@@ -57,7 +57,7 @@ def _mapped_closest(members: DataFrame, name_map: DataFrame | None, prefix: str)
     names = members.select(F.col("closest_name").alias("raw_name")).distinct()
     renamed = mapped_names(names.withColumn("closest_name", F.col("raw_name")), "closest_name", name_map, prefix)
     raw = members.withColumnRenamed("closest_name", "raw_name")
-    return lookup_join(raw, renamed, "raw_name", "files").select(*members.columns)
+    return spread_join(raw, renamed, "raw_name", "files").select(*members.columns)
 
 
 def _literal(separator: str) -> str:
@@ -67,16 +67,13 @@ def _literal(separator: str) -> str:
 def compare_sequences(files: DataFrame, lookup: DataFrame, commands: DataFrame) -> DataFrame:
     """Each file's own command beside the command of its cluster's nearest member.
 
-    File names are unique, but one cluster may hold most files; the second
-    lookup allows for that and only carries commands of nearest members.
+    File names are unique, but one cluster may hold most files; its command is looked up once per entry of
+    ``lookup``, with that allowed for. All other joins are by name.
     """
     own = commands.select("name", F.col("commandline").alias("individual_sequence"))
-    wanted = lookup.select(F.col("closest_name").alias("name")).distinct()
-    theirs = commands.join(wanted, "name", "left_semi").select(
-        F.col("name").alias("closest_name"), F.col("commandline").alias("centroid_sequence")
-    )
-    joined = files.join(lookup, "name", "left").join(own, "name", "left")
-    return lookup_join(joined, theirs, "closest_name", "name").select(
+    theirs = commands.select(F.col("name").alias("closest_name"), F.col("commandline").alias("centroid_sequence"))
+    clustered = spread_join(lookup, theirs, "closest_name", "name")
+    return files.join(clustered, "name", "left").join(own, "name", "left").select(
         "name", "cluster", "closest_name", "centroid_sequence", "individual_sequence"
     )
 
@@ -94,9 +91,10 @@ def comparison_counts(compared: DataFrame, totals: DataFrame, measured: DataFram
     under = measured.select("name", "commandline", positive(F.col("count")).alias("count"))
     result = compared.join(known, "name", "left")
     for which in ("centroid", "individual"):
-        result = result.join(
-            under.withColumnsRenamed({"commandline": f"{which}_sequence", "count": f"{which}_count"}), ["name", f"{which}_sequence"], "left"
-        )
+        counted = under.select(F.col("name").alias("of"), "commandline", F.col("count").alias(f"{which}_count"))
+        # Only the name is a join key, so that rows and counts are shuffled by name once for both.
+        same = F.coalesce(F.col(f"{which}_sequence") == F.col("commandline"), F.lit(False))
+        result = result.join(counted, (F.col("name") == F.col("of")) & same, "left").drop("of", "commandline")
     return result.select(*compared.columns, *COUNTS)
 
 
@@ -111,7 +109,8 @@ def resolve_actions(sequences: DataFrame, actions: DataFrame, id_col: str = "id"
 
     ``actions`` is (name, action); matching ignores case and leading dashes, and of names
     that are then equal the largest number counts. Every different pass list is resolved
-    once and joined back, so every row stays a row, whatever its id.
+    once and joined back, so every row stays a row, whatever its id. A list that most rows share is
+    split by id.
     """
     known = actions.groupBy(_pass_key(F.col("name")).alias("pass_key")).agg(F.max(F.col("action").cast("int")).alias("action"))
     none = F.array().cast("array<string>")
@@ -124,8 +123,9 @@ def resolve_actions(sequences: DataFrame, actions: DataFrame, id_col: str = "id"
         F.array_sort(F.collect_list(hit)).alias("hits"), F.array_sort(F.collect_list(miss)).alias("misses")
     )
     values = [F.transform(c, lambda s: s["v"]).alias(name) for c, name in (("hits", "actions"), ("misses", "unknown"))]
-    resolved = gathered.select("passes", *values)
-    return rows.join(resolved, "passes", "left").select(
+    digest = F.xxhash64("passes").alias("digest")
+    resolved = gathered.select("passes", digest, *values)
+    return spread_join(rows.select("*", digest), resolved, "digest", id_col, also=("passes",)).select(
         id_col, F.coalesce("actions", F.array().cast("array<int>")).alias("actions"), F.coalesce("unknown", none).alias("unknown")
     )
 

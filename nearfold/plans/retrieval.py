@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nearfold.operators import evaluation as ev
+from nearfold.operators.joins import hot_keys
 from nearfold.operators.nearest import nearest_centres
 from nearfold.operators.quality import dedupe_last
 from nearfold.operators.retrieval import NEIGHBOUR_COUNT, SEQUENCES_PER_CLUSTER, cluster_codes, representative_vectors
@@ -54,11 +56,13 @@ def evaluate(
     both are read more than once.
     """
     codes = cluster_codes(clusters, per_cluster)
-    base = staged(ev.base_result(neighbours, codes, measurements, baselines), "base")
+    # One pass over the assigned clusters serves all lookups by cluster.
+    hot = hot_keys(neighbours.select(F.get("neighbours", 0)["cluster_id"].alias("cluster")), "cluster")
+    base = staged(ev.base_result(neighbours, codes, measurements, baselines, hot), "base")
     if thresholds is None:
         thresholds = ev.cluster_thresholds(base)
     else:
         thresholds = dedupe_last(thresholds.select("cluster", "delta_p10"), ["cluster"], [])
     gates = staged(thresholds, "thresholds")
-    final = ev.final_result(base, codes, gates, measurements, baselines)
+    final = ev.final_result(base, codes, gates, measurements, baselines, hot)
     return Retrieval(neighbours, base, gates, final)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfold import session
 from nearfold.functions.text import BASE_SPECIALS, CODE_SPECIALS, normalize_text
@@ -14,7 +15,7 @@ from nearfold.operators import clusters as cl
 from nearfold.operators import nearest as nn
 from nearfold.operators import pooling
 from nearfold.operators import tokens as tk
-from nearfold.operators.joins import lookup_join, salted_left_join
+from nearfold.operators.joins import HotKeys, hot_keys, spread_join
 from nearfold.operators.ranks import group_percentile
 from nearfold.operators.scaling import Scaler, fit_scaler
 from nearfold.operators.sequences import extract_sequences
@@ -344,15 +345,48 @@ def test_corpus_files(spark, tmp_path):
     assert not found["Source_1"]["has_source"]
 
 
-def test_salted_join_equals_join(spark, monkeypatch):
-    large = spark.range(3000).select("id", F.when(F.col("id") < 2500, 0).when(F.col("id") < 2990, F.col("id") % 7).alias("key"))
-    lookup = spark.createDataFrame([(0, "a"), (3, "b"), (9, "c")], "key long, v string")
+@pytest.fixture
+def uneven(spark):
+    """A key with 2,500 of 3,000 rows, one without a value with 300, and small ones."""
+    hot = F.when(F.col("id") < 2500, 0).when(F.col("id") < 2700, F.col("id") % 7 + 1)
+    return spark.range(3000).select("id", hot.cast("long").alias("key")), spark.createDataFrame([(0, "a"), (3, "b"), (9, "c"), (None, "d")], "key long, v string")
+
+
+def test_hot_keys_and_their_parts(spark, uneven):
+    large, _ = uneven
+    parts = dict(hot_keys(large, "key").parts)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(parts) <= {0, None} and parts[0] >= 2500 * n // 3000
+    assert hot_keys(large.filter("id < 0"), "key").parts == ()
+    assert hot_keys(spark.range(1000), "id").parts == ()
+
+
+def test_spread_join_equals_join(spark, uneven):
+    large, lookup = uneven
     key = lambda df: sorted(map(str, df.select("id", "key", "v").collect()))
     want = key(large.join(lookup, "key", "left"))
-    assert key(salted_left_join(large, lookup, "key", "id")) == want
-    assert key(lookup_join(large, lookup, "key", "id")) == want
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
-    assert key(lookup_join(large, lookup, "key", "id")) == want
+    assert key(spread_join(large, lookup, "key", "id")) == want
+    none = HotKeys(T.LongType(), ())
+    assert key(spread_join(large, lookup, "key", "id", none)) == want
+    wrong = HotKeys(T.LongType(), ((4, 3), (None, 2), (77, 5)))
+    assert key(spread_join(large, lookup, "key", "id", wrong)) == want
+    twice = lookup.unionByName(spark.createDataFrame([(0, "z")], "key long, v string"))
+    assert key(spread_join(large, twice, "key", "id")) == key(large.join(twice, "key", "left"))
+
+
+def test_a_hot_key_is_spread_over_tasks(spark, uneven):
+    large, lookup = uneven
+    quiet = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in quiet}
+    try:
+        for k, v in quiet.items():
+            spark.conf.set(k, v)
+        most = lambda df: max(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        assert most(large.join(lookup, "key", "left")) >= 2500
+        assert most(spread_join(large, lookup, "key", "id")) < 1500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_staged_tables_lie_in_the_shared_folder(spark):
