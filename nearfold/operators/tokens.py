@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold import session
 from nearfold.functions.text import BASE_SPECIALS, accent_table, fold_text, words
+from nearfold.operators.pair_index import best_merges
 
 # --- fixed values: piece marker, longest word, ignored label, draw shares ------
 CONTINUES = "##"
@@ -23,12 +22,6 @@ IGNORED = -100
 MASK_SHARE, RANDOM_SHARE = 0.8, 0.1
 # -------------------------------------------------------------------------------
 
-#: Candidate pairs looked at per round of vocabulary training.
-PAIRS_PER_ROUND = 256
-
-#: Rounds between two writes of the rewritten words.
-ROUNDS_PER_STAGE = 8
-
 
 def word_frequency(
     docs: DataFrame,
@@ -51,33 +44,6 @@ def word_frequency(
     return counts.filter(F.col("n") >= min_count)
 
 
-def _independent(pairs: list[tuple[str, str, int]], room: int, least: int) -> list[tuple[str, str, int]]:
-    """The leading pairs that one-at-a-time merging would pick in this very order.
-
-    Merging (a, b) uses up an ``a`` before a ``b``, so it only changes counts of
-    pairs that end in a or begin with b; and a pair made with the new piece
-    never counts more than the one of these it came from. So the next pair in
-    the ranking is safe while it is no such neighbour of an earlier pick and
-    outranks all such neighbours by count.
-    """
-    chosen: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    for i, (left, right, n) in enumerate(pairs):
-        if n < least or len(chosen) == room:
-            break
-        if right in lefts or left in rights:
-            break
-        tied = [p for p in pairs[i + 1 :] if p[2] == n]
-        open_ended = bool(chosen) and len(pairs) == PAIRS_PER_ROUND and pairs[-1][2] == n
-        if open_ended or any(p[1] in lefts or p[0] in rights for p in tied):
-            break
-        chosen.append((left, right, n))
-        lefts.add(left)
-        rights.add(right)
-    return chosen
-
-
 def train_vocabulary(
     counts: DataFrame,
     vocab_size: int,
@@ -86,10 +52,10 @@ def train_vocabulary(
 ) -> DataFrame:
     """(id, token): specials, then every letter alone and as a continuation, then merges.
 
-    ``counts`` is (word, n). Each round counts adjacent pieces over the distinct
-    words, takes as many of the best pairs as can be merged together without
-    changing the outcome, and rewrites the words. Ties go to the pair that
-    sorts first. Only the ranked head of the pair list reaches the driver.
+    ``counts`` is (word, n). Each round takes as many of the best pairs as can be
+    merged together without changing the outcome and reads only words that hold one
+    of them (see ``pair_index``). Ties go to the pair that sorts first. Only the
+    ranked head of the pair list reaches the driver.
     """
     if vocab_size <= 0 or min_frequency <= 0:
         raise ValueError("vocab_size and min_frequency must be positive")
@@ -109,42 +75,8 @@ def train_vocabulary(
     continued = [p for p in first if p.startswith(CONTINUES) and len(p) > len(CONTINUES)]
     single = sorted({p for p in first if p not in continued} | {p[len(CONTINUES) :] for p in continued})
     tokens = list(dict.fromkeys([*specials, *single, *continued]))
-    known = set(tokens)
-    rounds, cached = 0, []
-    while len(tokens) < vocab_size:
-        rounds += 1
-        # Every "left right" at a piece boundary; the look-ahead lets them overlap.
-        adjacent = F.regexp_extract_all("pieces", F.lit("(?<= )(?=([^ ]+ [^ ]+) )"), F.lit(1))
-        ranked = (
-            table.select(F.explode(adjacent).alias("pair"), "n")
-            .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), F.split("pair", " ")).limit(PAIRS_PER_ROUND).collect()
-        )
-        head = [(*row["pair"].split(" "), row["n"]) for row in ranked]
-        picks = _independent(head, vocab_size - len(tokens), min_frequency)
-        if not picks:
-            break
-        rewritten = F.col("pieces")
-        for left, right, _ in picks:
-            merged = left + right[len(CONTINUES) :]
-            pattern = rf"(?<= )\Q{left}\E \Q{right}\E(?= )"
-            rewritten = F.regexp_replace(rewritten, pattern, re.sub(r"([\\$])", r"\\\1", merged))
-            if merged not in known:
-                known.add(merged)
-                tokens.append(merged)
-        # The next count fills the cache in passing; now and then the words are
-        # written out, so that neither plans nor recomputation after a loss grow.
-        table = table.select(rewritten.alias("pieces"), "n")
-        if rounds % ROUNDS_PER_STAGE == 0:
-            table = session.staged(table, "words")
-            for old in cached:
-                old.unpersist()
-            cached = []
-        else:
-            cached.append(table.persist(StorageLevel.MEMORY_AND_DISK))
-    for old in cached:
-        old.unpersist()
-    return vocabulary_table(spark, tokens)
+    merged = best_merges(table, vocab_size - len(tokens), min_frequency, set(tokens), CONTINUES)
+    return vocabulary_table(spark, [*tokens, *merged])
 
 
 def vocabulary_table(spark: SparkSession, tokens: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from nearfold import session
 from nearfold.functions.text import BASE_SPECIALS, CODE_SPECIALS, normalize_text
 from nearfold.operators import clusters as cl
 from nearfold.operators import nearest as nn
+from nearfold.operators import pair_index
 from nearfold.operators import pooling
 from nearfold.operators import tokens as tk
 from nearfold.operators.joins import HotKeys, hot_keys, spread_join
@@ -230,13 +231,31 @@ def random_words():
     return Counter("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(600))
 
 
+@pytest.mark.parametrize("tracked", [pair_index.TRACKED, 9])
 @pytest.mark.parametrize("counts", [Counter(w for t in TEXTS for w in t.lower().split()), random_words()])
-def test_vocabulary_equals_one_merge_at_a_time(spark, counts):
+def test_vocabulary_equals_one_merge_at_a_time(spark, monkeypatch, counts, tracked):
+    """Also when few pairs are tracked, so that epochs end and counts of new pairs are cut."""
+    monkeypatch.setattr(pair_index, "TRACKED", tracked)
     df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
     got = [r["token"] for r in tk.train_vocabulary(df, 110, 2).orderBy("id").collect()]
     assert got == merged_one_by_one(counts, 110, 2, BASE_SPECIALS)
 
 
+def test_rounds_read_only_words_that_hold_a_merged_pair(spark):
+    counts = random_words()
+    table = session.staged(spark.createDataFrame([(" " + " ".join([w[0], *("##" + c for c in w[1:])]) + " ", n) for w, n in counts.items()], "pieces string, n long"), "words")
+    epoch = pair_index.Epoch(table, 2, "##")
+    ranking, beyond = epoch.ranking()
+    assert beyond is None
+    picks = pair_index.independent(ranking, 1, 2)
+    held = [r["pieces"] for r in epoch.held.filter(F.col("pair") == " ".join(picks[0][:2])).collect()]
+    assert 0 < len(held) < len(counts) and all(f" {picks[0][0]} {picks[0][1]} " in p for p in held)
+    epoch.merge(picks)
+    again = pair_index.Epoch(epoch.rewritten(), 2, "##")
+    known = {p: n for p, n in epoch.counts.items() if n >= 2}
+    assert {p: n for p, n in again.counts.items()} == known
+
+
 def vocabulary(spark, specials=BASE_SPECIALS):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     counts = tk.word_frequency(docs, specials, lowercase=True, accents=True)
