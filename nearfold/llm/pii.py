@@ -46,7 +46,8 @@ MIN_SEEDS, CONFIDENCE = 5, 0.5
 #: Growth of all confidences together below which rounds that admit no pattern end.
 SETTLED = 1e-3
 
-_SPAN = "struct<start:int,end:int,rank:int,kind:string,value:string,contexts:array<string>>"
+#: Spans sort by start, then by kind as listed; ``rank`` therefore stands before ``end``.
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,contexts:array<string>>"
 
 
 def _literal(pattern: str) -> str:
@@ -95,14 +96,14 @@ def _scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumns({f"__{k}": _places(f"__{k}", PATTERNS[k], SIGNS.get(k)) for k in KINDS} | {"__other": _places("__other", CANDIDATE, None)})
     df = df.withColumns({f"__{k}": F.expr(_with_offsets(f"__{k}", p)) for k, p in [*PATTERNS.items(), ("other", CANDIDATE)]})
     spans = [
-        f"transform(filter(__{k}, s -> {_VALID[k]}), s -> named_struct('start', s.start, 'end', s.end, 'rank', {rank}, 'kind', '{k}', 'value', s.value))"
+        f"transform(filter(__{k}, s -> {_VALID[k]}), s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{k}', 'value', s.value))"
         for rank, k in enumerate(KINDS)
     ]
     token = r"regexp_extract(s.value, r'\s(\S+)$', 1)"
-    others = f"""transform(__other, s -> named_struct('start', s.end - length({token}), 'end', s.end, 'rank', {len(KINDS)}, 'kind', 'id', 'value', {token}))"""
+    others = f"""transform(__other, s -> named_struct('start', s.end - length({token}), 'rank', {len(KINDS)}, 'end', s.end, 'kind', 'id', 'value', {token}))"""
     df = df.withColumns({"__base": F.expr(f"array_sort(concat({', '.join(spans)}))"), "__others": F.expr(others)})
     df = df.withColumn("__others", F.expr("filter(__others, o -> NOT exists(__base, b -> b.start < o.end AND o.start < b.end))"))
-    with_contexts = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'rank', s.rank, 'kind', s.kind, 'value', s.value, 'contexts', {}))"
+    with_contexts = "transform({}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'value', s.value, 'contexts', {}))"
     df = df.withColumns({c: F.expr(with_contexts.format(c, _CONTEXTS)) for c in ("__base", "__others")})
     return df.drop(*(f"__{k}" for k in [*KINDS, "other"]))
 
@@ -150,7 +151,7 @@ def score_patterns(seen: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``__base`` and ``__spans``, arrays of (start, end, rank, kind, value, contexts).
+    """The columns ``keep`` with ``__base`` and ``__spans``, arrays of (start, rank, end, kind, value, contexts).
 
     ``docs`` needs a column text; ``__spans`` holds the base spans and those that patterns add.
     """
