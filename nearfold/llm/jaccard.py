@@ -45,6 +45,8 @@ PIVOTS, ROUNDS = 3, 2
 #: Tokens of a bucket; sets that meet one pivot in a task.
 BUCKET_TOKENS, SALT = 1_500_000, 200
 _SHORT = np.uint64((1 << 48) - 1)
+#: Numbers from here on stand for texts without an id; ids have to be smaller.
+UNNAMED = 1 << 62
 
 _PACKED = "dealt int, kind int, units long, payload binary"
 
@@ -357,11 +359,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Texts without an id take part under a number beyond all ids, the same for equal texts.
+    unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(UNNAMED))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), F.col(text_col).alias("text"))
     sets = staged(docs.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, sid long, low long"), "sets")
-    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("low").alias("low"))
+    reps = sets.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("low").alias("low"))
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
 
     def bucket_count(tokens: int | None) -> int:
         return max(1, round((tokens or 0) * (100 - PERCENT) / 100 / BUCKET_TOKENS))
@@ -453,7 +456,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     classed = reps.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = classed.groupBy("label").agg(F.min("rep").alias("component_id"))
     class_of = classed.join(named, "label").select("sid", "component_id")
-    return sets.join(class_of, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = sets.join(class_of, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.withColumns({c: F.when(F.col(c) < UNNAMED, F.col(c)) for c in ("doc_id", "component_id")})
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
