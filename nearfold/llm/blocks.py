@@ -6,6 +6,9 @@ bounded by it; batches are cut to a few megabytes of text, a longer text is a ba
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -76,6 +79,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(done[: len(done) - rest], done[rest:]) if rest else done
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the machine; workers are used again and again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Texts:
     """A batch of texts as bytes: ``data`` holds them end to end, text i is data[at[i]:at[i + 1]]."""
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.blocks import Texts, byte_values, cut, mixed, powers, span_hashes
+from nearfold.llm.blocks import Texts, byte_values, cut, mixed, powers, release, span_hashes
 from nearfold.llm.quality import TOKENIZERS, VOCABULARY, load_pieces
 from nearfold.llm.repeats import spans
 
@@ -380,6 +380,7 @@ def sampled(docs: DataFrame, k: int, key_col: str = "doc_id", seed: int = 0, wit
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pieces = load_vocabulary(folder, vocabulary)
         for batch in cut(batches, limit=batch_bytes):
             texts = Texts(batch.column(1))
