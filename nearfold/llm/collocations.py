@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.blocks import Texts, Words, cut, lowered, mixed, word_hashes
+from nearfold.llm.blocks import Texts, Words, cut, lowered, mixed, release, word_hashes
 from nearfold.session import staged
 
 # --- fixed values: what ends a piece, what separates words, the name of no language --------
@@ -83,6 +83,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in cut(batches, limit=BLOCK_BYTES):
             langs = batch.column(1).fill_null(NO_LANGUAGE).dictionary_encode()
             lang = langs.indices.to_numpy()
@@ -130,6 +131,7 @@ def _count_length(blocks: DataFrame, length: int, filters: list[np.ndarray], lea
     shared = blocks.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 name = batch.column(0)[i].as_py()
