@@ -9,10 +9,11 @@ from catalog.registry import documents, query, table
 from catalog.tokens import TOKENS_SQL, hashed_ids
 from nearfold.functions.columns import id_from_path, natural_key, natural_order
 from nearfold.functions.text import fold_text, normalize_text
+from nearfold.operators.program_parts import body_lines_of_parts, instruction_count_of_parts, text_parts
 from nearfold.operators.program_text import CALL_PREFIX, OPCODES, RESULT_PREFIX, function_body_lines, instruction_count
 from nearfold.operators.ranks import hash_split
 from nearfold.operators.tokens import chunk_tokens
-from nearfold.session import scratch_path, spread
+from nearfold.session import scratch_path, spread, staged
 from nearfold.sources.readers import limit_corpus, read_corpus
 
 WORD = r"\p{L}\p{N}_"
@@ -199,3 +200,20 @@ def instruction_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("function_body_lines", PROGRAMS_SQL + "\nSELECT doc_id, line_no, line, is_instruction FROM counted")
 def function_body_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_body_lines(programs(spark, sf_dir))
+
+
+#: Characters of a part: about a line and a half, so that most lines and many line breaks are cut.
+PART = 40
+
+
+@query("instruction_count_parts", PROGRAMS_SQL + "\nSELECT doc_id, count(*) FILTER (WHERE is_instruction) AS n FROM counted GROUP BY doc_id")
+def instruction_count_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same count with every program in many parts, as a text too long for one task would be."""
+    parts = staged(text_parts(programs(spark, sf_dir), part_chars=PART), "parts")
+    return instruction_count_of_parts(parts)
+
+
+@query("function_body_lines_parts", PROGRAMS_SQL + "\nSELECT doc_id, line_no, line, is_instruction FROM counted")
+def function_body_lines_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = staged(text_parts(programs(spark, sf_dir), part_chars=PART), "parts")
+    return body_lines_of_parts(parts)

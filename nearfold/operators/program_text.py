@@ -19,33 +19,43 @@ RESULT_PREFIX = r"(%[-0-9A-Za-z_.$]+\s*=\s*)?"
 CALL_PREFIX = r"((tail|musttail|notail)\s+)?"
 # -------------------------------------------------------------------------------
 
+#: What ends a line.
+BREAK = "\r\n|\r|\n"
+
 INSTRUCTION = rf"(?i)^{RESULT_PREFIX}{CALL_PREFIX}({'|'.join(OPCODES)})([^\p{{L}}\p{{N}}_]|$)"
 
 
-def _opens(line: Column) -> Column:
+def opens(line: Column) -> Column:
     return line.startswith("define ") & line.endswith("{")
 
 
-def _closes(line: Column) -> Column:
+def closes(line: Column) -> Column:
     return line == "}"
 
 
-def _is_instruction(line: Column) -> Column:
+def is_instruction(line: Column) -> Column:
     return ~line.rlike("^[;!]") & ~line.endswith(":") & line.rlike(INSTRUCTION)
 
 
+def trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
 def _trimmed_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\r\n|\r|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.transform(F.split(text, BREAK), trimmed)
 
 
 def instruction_count(text: Column) -> Column:
-    """Instruction lines inside function bodies, folded within the row: no shuffle."""
+    """Instruction lines inside function bodies, folded within the row: no shuffle.
+
+    A text too long for one task goes through ``program_parts``.
+    """
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("n"))
 
     def step(state: Column, line: Column) -> Column:
-        hit = state["inside"] & ~_opens(line) & ~_closes(line) & _is_instruction(line)
+        hit = state["inside"] & ~opens(line) & ~closes(line) & is_instruction(line)
         return F.struct(
-            F.when(_opens(line), True).when(_closes(line), False).otherwise(state["inside"]).alias("inside"),
+            F.when(opens(line), True).when(closes(line), False).otherwise(state["inside"]).alias("inside"),
             (state["n"] + F.when(hit, 1).otherwise(0)).alias("n"),
         )
 
@@ -61,14 +71,14 @@ def function_body_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("line_no"), F.array().cast(kind).alias("lines"))
 
     def step(state: Column, line: Column) -> Column:
-        opens, closes = _opens(line), _closes(line)
+        opening, closing = opens(line), closes(line)
         here = F.struct(state["line_no"].alias("line_no"), line.alias("line"))
         return F.struct(
-            F.when(opens, True).when(closes, False).otherwise(state["inside"]).alias("inside"),
+            F.when(opening, True).when(closing, False).otherwise(state["inside"]).alias("inside"),
             (state["line_no"] + 1).alias("line_no"),
-            F.when(state["inside"] & ~opens & ~closes, F.array_append(state["lines"], here)).otherwise(state["lines"]).alias("lines"),
+            F.when(state["inside"] & ~opening & ~closing, F.array_append(state["lines"], here)).otherwise(state["lines"]).alias("lines"),
         )
 
     inside = F.aggregate(_trimmed_lines(F.col("text")), start, step, lambda state: state["lines"])
     body = docs.select(id_col, F.explode(inside).alias("l")).select(id_col, "l.line_no", "l.line")
-    return body.withColumn("is_instruction", _is_instruction(F.col("line")))
+    return body.withColumn("is_instruction", is_instruction(F.col("line")))
