@@ -10,8 +10,9 @@ from nearfold.functions.commands import log_total, pass_names, token_passes
 from nearfold.operators import sequences as sq
 from nearfold.operators.evaluation import metric_summary
 from nearfold.session import scratch_path, staged
-from nearfold.sources.readers import read_commands, read_sequences
-from nearfold.sources.writers import write_csv
+from nearfold.sources.readers import artifact_inventory, list_artifacts, read_commands, read_sequences, scan_sequences
+from nearfold.sources.small_files import write_keyed
+from nearfold.sources.writers import write_csv, write_sequences
 
 PASSES = ("mem2reg", "gvn", "licm", "instcombine", "simplifycfg", "sroa", "early-cse-memssa")
 MARKER = "benchmark://"
@@ -261,3 +262,45 @@ def sequence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sequence/"), F.col("l_orderkey").cast("string"), F.lit("_seq.txt")).alias("path"), text.alias("text")
     )
     return read_sequences(stored).select("code_id", F.array_join("passes", " ").alias("passes"))
+
+
+#: A supplier's sequence: the passes of the line numbers it delivers in, in order.
+SUPPLIED_SQL = f"""WITH used AS (
+  SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem
+), seqs AS (
+  SELECT l_suppkey, string_agg('-' || {list(PASSES)!r}[l_linenumber], ' ' ORDER BY l_linenumber) AS passes FROM used GROUP BY l_suppkey
+)"""
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("int"))).alias("n"))
+    names = F.array(*[F.lit(p) for p in PASSES])
+    return numbers.select(
+        F.col("l_suppkey").cast("string").alias("benchmark"), F.transform("n", lambda i: F.concat(F.lit("-"), F.element_at(names, i))).alias("passes")
+    )
+
+
+@query("sequence_files", SUPPLIED_SQL + "\nSELECT CAST(l_suppkey AS VARCHAR) AS code_id, passes FROM seqs")
+def sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sequence file per supplier, written and scanned back."""
+    path = scratch_path(spark, "sequences")
+    write_sequences(supplied(spark, sf_dir), path)
+    return scan_sequences(spark, path).select("code_id", F.array_join("passes", " ").alias("passes"))
+
+
+@query(
+    "artifact_files",
+    """SELECT 'Source_' || s_suppkey AS program_id, s_suppkey % 2 = 0 AS has_source, s_suppkey % 3 > 0 AS has_o0, s_suppkey % 5 > 0 AS has_oz,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'Source_' || s_suppkey || '/input.bc' WHEN s_suppkey % 3 > 0 THEN 'Source_' || s_suppkey || '/llvm_O0.ll' END AS start
+FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 > 0 OR s_suppkey % 5 > 0 OR s_suppkey % 7 = 0""",
+)
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders with some of the artefact files for every supplier, written and listed."""
+    path = scratch_path(spark, "artifacts")
+    key = F.col("s_suppkey")
+    held = {"Source.c": key % 2 == 0, "llvm_O0.ll": key % 3 > 0, "llvm_OZ.ll": key % 5 > 0, "input.bc": key % 7 == 0, "notes.txt": F.lit(True)}
+    names = F.filter(F.array(*[F.when(has, F.lit(name)) for name, has in held.items()]), lambda n: n.isNotNull())
+    files = table(spark, sf_dir, "supplier").select(key, F.explode(names).alias("file"))
+    write_keyed(files.select(F.concat(F.lit("Source_"), key, F.lit("/"), "file").alias("name"), F.col("file").alias("text")), path)
+    found = artifact_inventory(list_artifacts(spark, path))
+    return found.select("program_id", "has_source", "has_o0", "has_oz", F.regexp_extract("start_path", "[^/]+/[^/]+$", 0).alias("start"))

@@ -14,7 +14,8 @@ from nearfold.operators.program_text import CALL_PREFIX, OPCODES, RESULT_PREFIX,
 from nearfold.operators.ranks import hash_split
 from nearfold.operators.tokens import chunk_tokens
 from nearfold.session import scratch_path, spread, staged
-from nearfold.sources.readers import limit_corpus, read_corpus
+from nearfold.sources.readers import limit_corpus, read_corpus, read_corpus_parts
+from nearfold.sources.small_files import write_keyed
 
 WORD = r"\p{L}\p{N}_"
 
@@ -57,13 +58,21 @@ def fold_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corpus_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text file per document, written and scanned back."""
+    """One text file per document in a few folders, written and scanned back, many files to a task."""
     path = scratch_path(spark, "corpus")
-    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("value"))
-    docs.write.partitionBy("doc_id").text(path)
-    read = read_corpus(spark, path, "*.txt", r"doc_id=([0-9]+)/")
-    # The text writer ends every row with a line feed.
-    return read.select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    place = F.concat_ws("/", F.concat(F.lit("shelf"), F.col("doc_id") % 10), F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")))
+    write_keyed(documents(spark, sf_dir).select(place.alias("name"), "text"), path)
+    return read_corpus(spark, path, "*.txt", r"/doc([0-9]+)\.txt$", packed=True).select("doc_id", "text")
+
+
+@query("corpus_parts", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
+def corpus_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read in parts and put together again."""
+    path = scratch_path(spark, "corpus")
+    write_keyed(documents(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")).alias("name"), "text"), path)
+    parts = read_corpus_parts(spark, path, "*.txt", r"/doc([0-9]+)\.txt$", part_bytes=1 << 21)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+    return parts.groupBy("doc_id").agg(F.array_join(texts, "").alias("text"))
 
 
 NATURAL_SQL = """list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'),

@@ -17,6 +17,7 @@ from nearfold.functions.columns import (
 )
 from nearfold.functions.text import normalize_text
 from nearfold.functions.vectors import as_doubles, vector_from_json
+from nearfold.sources.small_files import PACK_BYTES, packed_files
 
 # --- fixed values: accepted column names, file names and formats ---------------
 VECTOR_COLUMNS = ("embeddings", "embedding")
@@ -34,11 +35,14 @@ def read_corpus(
     id_pattern: str | None = None,
     preprocess: bool = False,
     max_files: int | None = None,
+    packed: bool = False,
 ) -> DataFrame:
     """One row (doc_id, path, text) per file below ``path``, searched recursively.
 
     ``max_files`` keeps the first files in natural path order; it lists paths
     from file metadata only, before any text is read. No match is an error.
+    ``packed`` reads with many small files to a task, where Arrow can open the
+    file system; ``read_corpus_parts`` also cuts large files.
     """
     paths = [path] if isinstance(path, str) else list(path)
     listed = file_paths(spark, paths, file_glob)
@@ -47,11 +51,20 @@ def read_corpus(
     some = [r["path"] for r in (listed if max_files is not None else listed.limit(1)).collect()]
     if not some:
         raise ValueError(f"no files matched {paths}" + (f" with {file_glob}" if file_glob else ""))
-    files = whole_files(spark, paths, file_glob) if max_files is None else whole_files(spark, some)
+    wanted = (paths, file_glob) if max_files is None else (some, None)
+    files = packed_files(spark, *wanted, split=False) if packed else whole_files(spark, *wanted)
     text = normalize_text(F.col("text")) if preprocess else F.col("text")
     return files.select(id_from_path(F.col("path"), id_pattern).alias("doc_id"), "path", text.alias("text"))
 
 
+def read_corpus_parts(
+    spark: SparkSession, path: str | list[str], file_glob: str | None = None, id_pattern: str | None = None, part_bytes: int = PACK_BYTES
+) -> DataFrame:
+    """(doc_id, path, part, text): files in parts of about ``part_bytes``, small ones packed to that size per task."""
+    files = packed_files(spark, path, file_glob, part_bytes)
+    return files.select(id_from_path(F.col("path"), id_pattern).alias("doc_id"), "path", "part", "text")
+
+
 def file_paths(spark: SparkSession, paths: str | list[str], file_glob: str | None = None) -> DataFrame:
     """(path) of every file at any depth below ``paths``; no content is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -156,8 +169,8 @@ def name_map(df: DataFrame, json_col: str, *kept: str) -> DataFrame:
 
 
 def scan_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(code_id, passes) from a folder of ``<code_id>_seq.txt`` files."""
-    return read_sequences(whole_files(spark, path, "*_seq.txt"))
+    """(code_id, passes) from a folder of ``<code_id>_seq.txt`` files, many of them to a task."""
+    return read_sequences(packed_files(spark, path, "*_seq.txt", split=False))
 
 
 def read_sequences(files: DataFrame) -> DataFrame:

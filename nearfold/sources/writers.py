@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.operators.scaling import Scaler, identity_scaler
+from nearfold.sources.small_files import write_keyed
 
 CSV = {"header": True, "escape": '"', "quote": '"'}
 
@@ -51,10 +52,9 @@ def write_config(df: DataFrame, path: str) -> None:
 
 
 def write_sequences(sequences: DataFrame, path: str) -> None:
-    """One text per benchmark, one pass per line, in a folder per benchmark."""
-    sequences.select("benchmark", F.array_join("passes", "\n").alias("value")).write.mode("overwrite").partitionBy(
-        "benchmark"
-    ).text(path)
+    """One file ``<benchmark>_seq.txt`` per benchmark, one pass per line, as ``scan_sequences`` reads them."""
+    name = F.concat("benchmark", F.lit("_seq.txt")).alias("name")
+    write_keyed(sequences.select(name, F.array_join("passes", "\n").alias("text")), path)
 
 
 def write_model(centres: DataFrame, scaler: Scaler | None, folder: str) -> None:
