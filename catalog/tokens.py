@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import documents, query
 from nearfold.functions.text import BASE_SPECIALS, CONTROL, word_pattern, words
 from nearfold.functions.vectors import all_finite
-from nearfold.operators.tokens import chunk_tokens, encode, mlm_examples, train_vocabulary, vocabulary_table, word_frequency
+from nearfold.operators.tokens import KINDS, chunk_tokens, encode, mlm_examples, train_vocabulary, vocabulary_table, word_frequency
 from nearfold.plans.embedding import embed_documents
 from nearfold.session import staged
 
@@ -66,13 +66,15 @@ def chunk_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mlm_examples",
-    TOKENS_SQL + f""", drawn AS (
-  SELECT doc_id, chunk_no, list_transform(input_ids, lambda x, i: {{'id': x, 'm': md5('42:' || doc_id || ':' || chunk_no || ':' || (i - 1))}}) AS d
+    TOKENS_SQL + f""", digests AS (
+  SELECT doc_id, chunk_no, input_ids, list_transform(range(0, (len(input_ids) + 3) // 4), lambda g: md5('42:' || doc_id || ':' || chunk_no || ':' || g)) AS m
   FROM chunks
+), drawn AS (
+  SELECT doc_id, chunk_no, list_transform(input_ids, lambda x, i: {{'id': x, 'r': CAST(('0x' || substr(m[(i - 1) // 4 + 1], (i - 1) % 4 * 8 + 1, 8)) AS BIGINT)}}) AS d
+  FROM digests
 ), chosen AS (
-  SELECT doc_id, chunk_no, list_transform(d, lambda t: {{'id': t.id,
-    'chosen': t.id > 4 AND CAST(('0x' || substr(t.m, 1, 7)) AS INT) / 268435456.0::DOUBLE < 0.15::DOUBLE,
-    'kind': CAST(('0x' || substr(t.m, 8, 7)) AS INT) / 268435456.0::DOUBLE, 'other': CAST(('0x' || substr(t.m, 15, 7)) AS INT) % {HASHED_IDS}}}) AS d
+  SELECT doc_id, chunk_no, list_transform(d, lambda t: {{'id': t.id, 'chosen': t.id > 4 AND t.r < 0.15::DOUBLE * 4294967296.0::DOUBLE,
+    'kind': t.r % {KINDS} / {KINDS}.0::DOUBLE, 'other': t.r % {HASHED_IDS}}}) AS d
   FROM drawn
 )
 SELECT doc_id, chunk_no,

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from nearfold import session
 from nearfold.functions.text import BASE_SPECIALS, accent_table, fold_text, words
+from nearfold.operators.longest_match import Matcher
 from nearfold.operators.pair_index import best_merges
 
 # --- fixed values: piece marker, longest word, ignored label, draw shares ------
@@ -23,6 +24,10 @@ MASK_SHARE, RANDOM_SHARE = 0.8, 0.1
 # -------------------------------------------------------------------------------
 
 
+#: Steps in which the kind of a masked token is drawn; a prime, so that it tells nothing of the other id.
+KINDS = 10_007
+
+
 def word_frequency(
     docs: DataFrame,
     specials: Sequence[str] = (),
@@ -83,24 +88,6 @@ def vocabulary_table(spark: SparkSession, tokens: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(tokens)), "id INT, token STRING")
 
 
-def _greedy(word: str, ids: dict[str, int], unknown: int, longest: int | None) -> list[int]:
-    """Longest known prefix first; the whole word is unknown when a rest does not match."""
-    if longest is not None and len(word) > longest:
-        return [unknown]
-    found, start = [], 0
-    while start < len(word):
-        mark = CONTINUES if start else ""
-        for end in range(len(word), start, -1):
-            piece = ids.get(mark + word[start:end])
-            if piece is not None:
-                break
-        else:
-            return [unknown]
-        found.append(piece)
-        start = end
-    return found
-
-
 def word_folder(lowercase: bool, accents: bool) -> Callable[[str], str]:
     """``fold_text`` for single words inside a task."""
     table = str.maketrans(*accent_table()) if accents else {}
@@ -130,7 +117,7 @@ def encode(
     and no token is ever shuffled.
     """
     ids = {r["token"]: r["id"] for r in vocab.select("token", "id").toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast((ids, ids[unknown]))
+    shared = docs.sparkSession.sparkContext.broadcast((ids, CONTINUES, unknown))
     atoms = tuple(specials)
     atomic = set(atoms)
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -139,8 +126,17 @@ def encode(
     schema = T.StructType(kept + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unk = shared.value
+        table, continues, unknown = shared.value
+        matcher, unk = Matcher(table, continues), [table[unknown]]
         memo: dict[str, list[int]] = {}
+
+        def match(word: str) -> list[int]:
+            if word in atomic:
+                return [table.get(word, unk[0])]
+            folded = fold(word)
+            too_long = longest_word is not None and len(folded) > longest_word
+            return unk if too_long else matcher.split(folded) or ([] if not folded else unk)
+
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             flat = lists.flatten().dictionary_encode()
@@ -149,7 +145,7 @@ def encode(
                 if word not in memo:
                     if len(memo) > 1_000_000:
                         memo.clear()
-                    memo[word] = [table.get(word, unk)] if word in atomic else _greedy(fold(word), table, unk, longest_word)
+                    memo[word] = match(word)
                 matched.append(memo[word])
             lengths = np.array([len(m) for m in matched] + [0], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -211,24 +207,23 @@ def mlm_examples(
     """Add ``masked_ids`` and ``labels``: a seeded hash per token decides.
 
     Chosen tokens carry their id as label, all others -100; of the chosen, 80 %
-    become the mask, 10 % a hashed id, the rest stay.
+    become the mask, 10 % a hashed id, the rest stay. One digest gives the draws of four
+    tokens, 32 of its bits each: their size chooses, remainders tell the kind and the other id.
     """
     place = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("chunk_no").cast("string"))
-    scale = float(16**7)
-
-    def draw(mark: Column, at: int) -> Column:
-        return F.conv(F.substring(mark, at, 7), 16, 10).cast("int")
-
-    marks = F.transform("input_ids", lambda _, i: F.md5(F.concat(place, F.lit(":"), i.cast("string"))))
-    marked = chunks.withColumn(
+    last = F.greatest(F.floor((F.size("input_ids") - 1) / 4), F.lit(0))
+    digests = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda g: F.md5(F.concat(place, F.lit(":"), g.cast("string"))))
+    marked = chunks.withColumn("digests", digests)
+    drawn = F.transform("input_ids", lambda x, i: F.conv(F.substring(F.get("digests", F.floor(i / 4).cast("int")), i % 4 * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    marked = marked.withColumn("draws", drawn).withColumn(
         "drawn",
         F.transform(
-            F.arrays_zip(F.col("input_ids"), F.col("special_tokens_mask"), marks.alias("mark")),
+            F.arrays_zip("input_ids", "special_tokens_mask", "draws"),
             lambda t: F.struct(
                 t["input_ids"].alias("id"),
-                ((t["special_tokens_mask"] == 0) & (draw(t["mark"], 1) / scale < probability)).alias("chosen"),
-                (draw(t["mark"], 8) / scale).alias("kind"),
-                (draw(t["mark"], 15) % vocab_size).alias("other"),
+                ((t["special_tokens_mask"] == 0) & (t["draws"] < probability * 2.0**32)).alias("chosen"),
+                (t["draws"] % KINDS / float(KINDS)).alias("kind"),
+                (t["draws"] % vocab_size).cast("int").alias("other"),
             ),
         ),
     )
@@ -240,4 +235,4 @@ def mlm_examples(
         .otherwise(t["id"]),
     )
     labels = F.transform("drawn", lambda t: F.when(t["chosen"], t["id"]).otherwise(F.lit(IGNORED)))
-    return marked.withColumn("masked_ids", shown).withColumn("labels", labels).drop("drawn")
+    return marked.withColumn("masked_ids", shown).withColumn("labels", labels).drop("drawn", "draws", "digests")
