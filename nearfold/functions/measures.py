@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nearfold.functions.exact import exact_mean
+
 # --- fixed value: decimals kept in a stored reduction -------------------------
 STORED_DECIMALS = 6
 # -------------------------------------------------------------------------------
@@ -30,10 +32,10 @@ def below(value: Column, threshold: Column) -> Column:
 
 
 def geomean_ratio(ratio: Column) -> Column:
-    """Geometric mean over the positive finite ratios; NULL without any."""
+    """Geometric mean over the positive finite ratios; NULL without any. Equal for rows in any order."""
     value = known_number(ratio)
     usable = (value > 0) & (value < float("inf"))
-    return F.exp(F.avg(F.when(usable, F.ln(value))))
+    return F.exp(exact_mean(F.when(usable, F.ln(value))))
 
 
 def geomean_pct_from_counts(count: Column, baseline: Column) -> Column:

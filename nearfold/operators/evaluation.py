@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.functions.columns import positive
+from nearfold.functions.exact import exact_mean
 from nearfold.functions.measures import (
     below,
     geomean_pct_from_counts,
@@ -315,7 +316,7 @@ def metric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, n_values, mean_value) per column over its known values."""
     sums = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
+        *[exact_mean(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
     )
     entries = [
         F.struct(F.lit(c).alias("metric"), F.col(f"n_{c}").alias("n_values"), F.col(f"m_{c}").alias("mean_value"))

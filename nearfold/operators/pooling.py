@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfold.functions.exact import exact_sum
 from nearfold.functions.vectors import as_doubles, l2_normalize, scaled
 from nearfold.operators.clusters import vector_mean
 
@@ -60,9 +61,12 @@ def combine_chunks(chunks: DataFrame, weighting: str = "token_count", normalizat
 
 
 def weighted_perplexity(batches: DataFrame) -> DataFrame:
-    """(loss, perplexity) from (loss, masked_tokens) per batch; batches without masked tokens are skipped."""
+    """(loss, perplexity) from (loss, masked_tokens) per batch; batches without masked tokens are skipped.
+
+    Equal for batches in any order.
+    """
     used = F.when(F.col("masked_tokens") > 0, F.col("masked_tokens"))
-    total = F.sum(F.when(used.isNotNull(), F.col("loss") * used))
+    total = exact_sum(F.when(used.isNotNull(), F.col("loss").cast("double") * used))
     row = batches.agg(total.alias("s"), F.sum(used).alias("n"))
     loss = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(
         F.raise_error(F.lit("no masked tokens in any batch")).cast("double")
