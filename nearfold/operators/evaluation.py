@@ -43,8 +43,10 @@ def candidate_scores(candidates: DataFrame, measurements: DataFrame | Scorer) ->
     else:
         # A measurement that says it is not valid is as good as none.
         usable = measurements.filter(F.coalesce("valid", F.lit(True))) if "valid" in measurements.columns else measurements
-        table = usable.select("id", "code_id", "count", "compile_ms")
-        scored = candidates.join(table, ["id", "code_id"], "left")
+        table = usable.select(F.col("id").alias("of"), F.col("code_id").alias("with_code"), "count", "compile_ms")
+        # Only the id is a join key: what follows by id then needs no further exchange.
+        same = F.coalesce(F.col("code_id") == F.col("with_code"), F.lit(False))
+        scored = candidates.join(table, (F.col("id") == F.col("of")) & same, "left").drop("of", "with_code")
     return scored.withColumn("count", positive(F.col("count")))
 
 
@@ -83,25 +85,28 @@ NONE_HOT = HotKeys(T.IntegerType(), ())
 
 
 def base_result(
-    neighbours: DataFrame, codes: DataFrame, measurements: DataFrame | Scorer, baselines: DataFrame, hot: HotKeys = NONE_HOT
+    neighbours: DataFrame, codes: DataFrame, measurements: DataFrame | Scorer, baselines: DataFrame, hot: HotKeys = NONE_HOT, carry: bool = True
 ) -> DataFrame:
     """Apply the assigned cluster's sequences to every sample and keep the best.
 
     ``codes`` holds one list per cluster: a single code gives the zero-shot
     result, several give best-of-k. Samples whose cluster has no usable
-    sequence stay, with NULLs. ``hot`` clusters are split in the lookups, here
-    and below.
+    sequence stay, with NULLs. Sample ids are unique. ``hot`` clusters are split in the lookups, here
+    and below. Without ``carry`` the neighbours are left behind, for the fallback to
+    look up for the few samples that need them.
     """
+    carried = ["neighbours"] if carry else []
     first = F.get("neighbours", 0)
-    assigned = neighbours.select("id", first["cluster_id"].alias("cluster"), "neighbours")
+    assigned = neighbours.select("id", first["cluster_id"].alias("cluster"), *carried)
     offers = spread_join(assigned, codes.withColumnRenamed("cluster_id", "cluster"), "cluster", "id", hot).select(
         "id",
         "cluster",
-        "neighbours",
+        *carried,
         F.lit(1).alias("cluster_rank"),
         F.posexplode_outer("codes").alias("seq_rank", "code_id"),
     )
-    best = best_of_k(candidate_scores(offers, measurements), ["id", "cluster"], "neighbours")
+    # A sample has one cluster; grouped by id alone the rows stay where the join has put them, and in its order.
+    best = best_of_k(candidate_scores(offers, measurements), ["id"], "cluster", *carried)
     joined = best.join(baselines.select("id", positive(F.col("oz_count")).alias("oz_count")), "id", "left")
     count = F.col("best_count")
     return joined.select(
@@ -113,7 +118,7 @@ def base_result(
         reduction_pct(count, F.col("oz_count")).alias("reduction_pct"),
         F.when(F.col("oz_count") > 0, count / F.col("oz_count")).alias("ratio"),
         "compile_ms",
-        "neighbours",
+        *carried,
     )
 
 
@@ -253,18 +258,20 @@ def final_result(
     measurements: DataFrame | Scorer,
     baselines: DataFrame,
     hot: HotKeys = NONE_HOT,
+    neighbours: DataFrame | None = None,
 ) -> DataFrame:
     """The whole gated fallback.
 
     Only samples below their threshold are exploded, joined and aggregated; all
     others go straight to the output without a shuffle. The preset columns are
     known for samples that end with a preset. ``base`` is read twice, so pass a
-    written table.
+    written table; if it does not carry the neighbours, they are given apart.
     """
     flagged = flag_below(base, thresholds, hot)
     ncs = flagged.filter("below_p10")
     rest = flagged.filter(~F.col("below_p10"))
-    extras = candidate_scores(fallback_candidates(ncs, codes, hot), measurements)
+    near = ncs if neighbours is None else ncs.select("id").join(neighbours.select("id", "neighbours"), "id")
+    extras = candidate_scores(fallback_candidates(near, codes, hot), measurements)
     best = fallback_best(ncs, extras, thresholds, hot)
     presets = [*(name for name, _, _ in PRESETS), "preset_best_oz_count"]
     worked = ncs.withColumnRenamed("best_code_id", "base_code_id").join(best, "id", "left").join(preset_builds(baselines), "id", "left")

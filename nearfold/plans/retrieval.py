@@ -59,10 +59,10 @@ def retrieve(
     given = [near, clusters, measurements, baselines]
     codes = cluster_codes(clusters, per_cluster)
     hot = hot_clusters(near)
-    base = stages.table("base", lambda: ev.base_result(near, codes, measurements, baselines, hot), given, per_cluster=per_cluster)
+    base = stages.table("base", lambda: ev.base_result(near, codes, measurements, baselines, hot, carry=False), given, per_cluster=per_cluster)
     wanted = ev.cluster_thresholds(base) if thresholds is None else dedupe_last(thresholds.select("cluster", "delta_p10"), ["cluster"], [])
     gates = stages.table("thresholds", lambda: wanted, [base if thresholds is None else thresholds], derived=thresholds is None)
-    final = stages.table("final", lambda: ev.final_result(base, codes, gates, measurements, baselines, hot), [base, gates, *given[1:]], per_cluster=per_cluster)
+    final = stages.table("final", lambda: ev.final_result(base, codes, gates, measurements, baselines, hot, near), [base, gates, *given], per_cluster=per_cluster)
     return Retrieval(near, base, gates, final)
 
 
@@ -89,11 +89,11 @@ def evaluate(
     """
     codes = cluster_codes(clusters, per_cluster)
     hot = hot_clusters(neighbours)
-    base = staged(ev.base_result(neighbours, codes, measurements, baselines, hot), "base")
+    base = staged(ev.base_result(neighbours, codes, measurements, baselines, hot, carry=False), "base")
     if thresholds is None:
         thresholds = ev.cluster_thresholds(base)
     else:
         thresholds = dedupe_last(thresholds.select("cluster", "delta_p10"), ["cluster"], [])
     gates = staged(thresholds, "thresholds")
-    final = ev.final_result(base, codes, gates, measurements, baselines, hot)
+    final = ev.final_result(base, codes, gates, measurements, baselines, hot, neighbours)
     return Retrieval(neighbours, base, gates, final)
