@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm import chat, collocations, fm_index, jaccard, mixing, packing, periods, pii, quality, sampling, sharding, suffix_merge, topk
-from nearfold.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +31,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    key = [c.alias(n) for n, c in sharding.key_columns().items()]
-    keys = staged(docs.select("doc_id", crc, *key), "shard-keys")
-    return sharding.shard_keyed(keys, keys, 8).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The checksum is that of the text that has arrived in its shard.
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return sharding.shard_by_bytes(docs, 8).select(
+        "doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
