@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import zlib
 
-from nearfold.llm import jaccard, pii
+from nearfold.llm import jaccard, pii, sharding
+from nearfold.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.test_operators import got, prose
 
@@ -40,3 +42,26 @@ def test_rows_without_id_link_the_others(spark):
     assert got(jaccard.near_duplicates(docs)) == sorted(((d, size[t], component.get(t)) for d, t in rows), key=str)
     kept = [r.doc_id for r in jaccard.keep_first(docs).collect()]
     assert sorted(kept, key=str) == sorted([1, 7, None, None, None, None], key=str)
+
+
+def test_shards_against_the_whole_order(spark):
+    """Every border against all others, every slot against its rank, every checksum against the row's own text."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = sharding.key_columns()
+    plain = {r["doc_id"]: r for r in docs.select("doc_id", "text", *(c.alias(n) for n, c in key.items())).collect()}
+    order = sorted(plain, key=lambda d: (plain[d]["__h"], plain[d]["__i"]))
+    places = [0]
+    for d in order:
+        places.append(places[-1] + len((plain[d]["text"] or "").encode()) + 1)
+    found = {r.doc_id: r for r in QUERIES["op4_sharding"](spark, sf_dir).collect()}
+    assert set(found) == set(plain)
+    shards = [found[d].shard for d in order]
+    assert shards == sorted(shards)
+    for s in range(1, 8):
+        ideal, border = places[-1] * s // 8, places[sum(x < s for x in shards)]
+        nearest = min(abs(p - ideal) for p in places)
+        assert abs(border - ideal) <= max(nearest, places[-1] / 8 * sharding.TOLERANCE)
+    for d, r in found.items():
+        before = [x for x in order[: order.index(d)] if found[x].shard == r.shard]
+        assert (r.slot, r.size, r.text_crc32, r.law) == (len(before), len((plain[d]["text"] or "").encode()) + 1, zlib.crc32((plain[d]["text"] or "").encode()), "bytes")
