@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.blocks import BATCH_BYTES, Texts, cut, lowered, mixed, span_hashes
+from nearfold.llm.blocks import BATCH_BYTES, Texts, cut, lowered, mixed, release, span_hashes
 from nearfold.llm.repeats import pack, rows_of, unpack, unpack_all
 from nearfold.session import staged
 
@@ -57,6 +57,12 @@ def _by_owner(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.argsort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits)) if bits else value, kind="stable")
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, for a worker that has given back what its earlier tasks held."""
+    release()
+    yield from batches
+
+
 class Sets:
     """Distinct shingle hashes of a batch of texts; text i has tokens at[i]:at[i + 1], ascending."""
 
@@ -107,7 +113,7 @@ class Sets:
 
 def _describe(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches):
+        for batch in _fresh(cut(batches)):
             sets = Sets(Texts(batch.column(1)), size)
             low = np.bincount(sets.owner[_low(sets.tokens)], minlength=len(sets.n))
             columns = [batch.column(0), pa.array(sets.n, pa.int64()), pa.array(sets.ids), pa.array(low, pa.int64())]
@@ -128,7 +134,7 @@ def _low_tokens(size: int, buckets: int):
     """(token, set) of the low tokens of every set, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches):
+        for batch in _fresh(cut(batches)):
             sets = Sets(Texts(batch.column(1)), size)
             chosen = np.zeros(len(sets.n), dtype=bool)
             chosen[sets.once()] = True
@@ -190,7 +196,7 @@ def _all_tokens(size: int, buckets: int):
     """(token, set) of every suspect, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(_opened(batches)):
+        for batch in _fresh(cut(_opened(batches))):
             sets = Sets(Texts(batch.column(1)), size)
             if len(sets.tokens):
                 yield pa.RecordBatch.from_pydict(rows_of(_by_bucket(_bucket(sets.tokens, 0, buckets), (sets.tokens & _SHORT, sets.ids[sets.owner]))))
@@ -223,7 +229,7 @@ def _index(size: int, buckets: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
-        for batch in cut(_opened(batches)):
+        for batch in _fresh(cut(_opened(batches))):
             sets = Sets(Texts(batch.column(1)), size)
             once = sets.once()
             if not len(once):
@@ -462,7 +468,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in cut(batches):
+    for batch in _fresh(cut(batches)):
         texts = Texts(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(texts.raw(i)) for i in range(len(texts))], pa.binary())], ["doc_id", "packed"])
 
