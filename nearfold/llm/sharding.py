@@ -122,6 +122,9 @@ def shard_keyed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float
         .select(F.col("__h").alias("__hot"), "__a", ((F.col("__b").cast("double") - F.col("__a") + 1) / F.ceil(F.col("n") / CELL_ROWS)).alias("__w"))
     )
 
+    # Both small tables are written, so that their known size lets them be broadcast and no text moves for them.
+    hot = staged(hot, "hot-texts")
+
     def celled(df: DataFrame) -> DataFrame:
         sub = F.coalesce(F.floor((F.col("__i").cast("double") - F.col("__a")) / F.col("__w")), F.lit(0)).cast("long")
         place = F.shiftright("__h", _HASH_BITS - bits)
@@ -132,7 +135,7 @@ def shard_keyed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float
     cell = ["shard", "__p", "__t", "__s"]
     sized = celled(keys).groupBy(*cell).agg(F.count("*").alias("n"))
     by_shard = Window.partitionBy("shard").orderBy("__p", F.col("__t").asc_nulls_first(), "__s")
-    starts = sized.withColumn("__start", F.sum("n").over(by_shard) - F.col("n")).drop("n")
+    starts = staged(sized.withColumn("__start", F.sum("n").over(by_shard) - F.col("n")).drop("n"), "shard-cells")
     in_cell = Window.partitionBy(*cell).orderBy("__h", "__i")
     numbered = celled(rows).withColumn("__n", F.row_number().over(in_cell))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cell]
