@@ -31,15 +31,15 @@ def base_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).filter(F.col("id").cast("bigint") % 5 != 0)
 
 
-def label_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base vectors of each label with their distance to the label's mean."""
-    v = base_vectors(spark, sf_dir)
+def label_membership(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Base vectors (``whole``: all vectors) of each label with their distance to the label's mean."""
+    v = (vectors if whole else base_vectors)(spark, sf_dir)
     return own_centre_distance(v, staged(group_means(v, "cluster"), "label-means"))
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clusters(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The cluster table: size, nearest member, five nearest members."""
-    return staged(cluster_summary(staged(label_membership(spark, sf_dir), "membership")), "clusters")
+    return staged(cluster_summary(staged(label_membership(spark, sf_dir, whole), "membership")), "clusters")
 
 
 def hex_number(text: Column, start: int, digits: int) -> Column:
@@ -166,6 +166,9 @@ WITH v AS (
   FROM v
 )"""
 
+#: The same over all vectors, for queries about the clusters themselves.
+WHOLE_SQL = SETTING_SQL.replace(" WHERE vec_id % 5 <> 0", "").replace(" WHERE v.vec_id % 5 <> 0", "")
+
 
 def base_sql(codes: str) -> str:
     """CTEs up to the base result; ``codes`` is rep_codes or top_codes."""
