@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import SETTING_SQL, base_sql, clusters, setting
+from catalog.inputs import SETTING_SQL, WHOLE_SQL, base_sql, clusters, setting
 from catalog.registry import query, table
 from nearfold.operators import evaluation as ev
 from nearfold.operators.retrieval import neighbours_from_text, top_clusters_text
@@ -15,14 +15,14 @@ from nearfold.sources import readers, writers
 
 @query(
     "load_clusters",
-    SETTING_SQL + """
+    WHOLE_SQL + """
 SELECT c.cluster_id, c.cluster_size, c.closest_code_id,
   (SELECT string_agg(t.code_id, ', ' ORDER BY t.seq_rank) FROM top_codes t WHERE t.cluster_id = c.cluster_id) AS top_closest_ids
 FROM clusters c""",
 )
 def load_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "clusters-csv")
-    writers.write_cluster_analysis(clusters(spark, sf_dir), path)
+    writers.write_cluster_analysis(clusters(spark, sf_dir, whole=True), path)
     return readers.read_clusters(spark, path)
 
 

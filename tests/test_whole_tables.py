@@ -29,7 +29,7 @@ def test_representatives_of_all_vectors(spark, clusters_dir):
     assert sorted(tuple(r) for r in found.select("cluster_id", "closest_code_id").collect()) == [(0, "5"), (1, "10")]
 
 
-@pytest.mark.parametrize("name", ["cluster_summary"])
+@pytest.mark.parametrize("name", ["cluster_summary", "load_clusters"])
 def test_clusters_of_all_vectors(spark, clusters_dir, name):
     assert _rows(spark, name, clusters_dir, "cluster_id", "cluster_size", "closest_code_id") == [(0, 5, "5"), (1, 5, "10")]
 
