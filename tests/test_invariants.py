@@ -1,5 +1,6 @@
 """Properties and brute-force twins of what SQL does not say, and file round trips."""
 
+import hashlib
 import os
 import random
 from collections import Counter
@@ -562,3 +563,21 @@ def test_normalisation_on_real_words_keeps_layout(spark):
 
 def test_scaler_identity():
     assert Scaler((0.0,), (1.0,)).dim == 1
+
+
+def test_every_token_has_a_digest_of_its_own(spark):
+    ids = list(range(100, 400))
+    df = spark.createDataFrame(
+        [("a", 0, ids, [0] * 300), ("b", 3, [7, 8], [1, 0]), ("c", 0, None, None), (None, 1, [], [])],
+        "doc_id string, chunk_no int, input_ids array<int>, special_tokens_mask array<int>",
+    )
+    rows = {r["doc_id"]: r for r in tk.mlm_examples(df, 0.15, 42, 4, 5000).collect()}
+    shown, labels = [], []
+    for i, token in enumerate(ids):
+        m = hashlib.md5(f"42:a:0:{i}".encode()).hexdigest()
+        chosen, kind, other = int(m[:7], 16) / 16**7 < 0.15, int(m[7:14], 16) / 16**7, int(m[14:21], 16) % 5000
+        shown.append(token if not chosen else 4 if kind < 0.8 else other if kind < 0.9 else token)
+        labels.append(token if chosen else -100)
+    assert rows["a"]["masked_ids"] == shown and rows["a"]["labels"] == labels
+    assert rows["c"]["masked_ids"] is None and rows["c"]["labels"] is None
+    assert rows[None]["masked_ids"] == [] and rows["b"]["labels"][0] == -100
