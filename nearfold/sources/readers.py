@@ -60,8 +60,8 @@ def read_corpus(
 def read_corpus_parts(
     spark: SparkSession, path: str | list[str], file_glob: str | None = None, id_pattern: str | None = None, part_bytes: int = PACK_BYTES
 ) -> DataFrame:
-    """(doc_id, path, part, text): files in parts of about ``part_bytes``, small ones packed to that size per task."""
-    files = packed_files(spark, path, file_glob, part_bytes)
+    """(doc_id, path, part, text): files in parts of about ``part_bytes``; a task reads many, so tasks grow with bytes, not with parts."""
+    files = packed_files(spark, path, file_glob, max(part_bytes, PACK_BYTES), part_bytes=part_bytes)
     return files.select(id_from_path(F.col("path"), id_pattern).alias("doc_id"), "path", "part", "text")
 
 

@@ -135,3 +135,15 @@ def test_a_large_program_is_counted_in_parts(spark, tmp_path):
     assert parts.groupBy("doc_id").count().agg(F.min("count")).head()[0] > 10
     whole = spark.createDataFrame(list(text.items()), "doc_id string, text string").select("doc_id", instruction_count(F.col("text")).alias("n"))
     assert sorted(map(tuple, instruction_count_of_parts(parts).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_tasks_grow_with_bytes_not_with_parts(tmp_path, spark):
+    """Small parts must not mean a task for every file or two."""
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(200):
+        (root / f"doc{i}.txt").write_text(f"text {i}" if i else "x" * 2500)
+    parts = readers.read_corpus_parts(spark, str(root), "*.txt", r"doc([0-9]+)\.txt", part_bytes=1000)
+    assert parts.rdd.getNumPartitions() <= 2
+    found = {(r["doc_id"], r["part"]): r["text"] for r in parts.collect()}
+    assert len(found) == 202 and found["0", 2] == "x" * 500 and found["7", 0] == "text 7"
