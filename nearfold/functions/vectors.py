@@ -28,8 +28,10 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(NORM_FLOOR)))
+    """The norm is bound to a name of its own: inside a lambda it would be summed up again for every element."""
+    norm = lambda w: F.greatest(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)), F.lit(NORM_FLOOR))
+    bound = F.transform(F.array(v), lambda w: F.struct(w.alias("vector"), norm(w).alias("norm")))
+    return F.transform(bound, lambda b: F.transform(b["vector"], lambda x: x / b["norm"]))[0]
 
 
 def scaled(v: Column, by: Column) -> Column:

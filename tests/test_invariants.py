@@ -6,12 +6,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog.tokens import _bucket_embedder
 from nearfold import session
 from nearfold.functions.text import BASE_SPECIALS, CODE_SPECIALS, normalize_text
+from nearfold.functions.vectors import l2_normalize
 from nearfold.operators import clusters as cl
 from nearfold.operators import nearest as nn
 from nearfold.operators import pair_index
@@ -581,3 +584,35 @@ def test_every_token_has_a_digest_of_its_own(spark):
     assert rows["a"]["masked_ids"] == shown and rows["a"]["labels"] == labels
     assert rows["c"]["masked_ids"] is None and rows["c"]["labels"] is None
     assert rows[None]["masked_ids"] == [] and rows["b"]["labels"][0] == -100
+
+
+def test_norms_are_summed_once_per_vector(spark):
+    """The sum of squares stays out of the function that divides every element."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>")
+    normed = df.select(l2_normalize(F.col("v")).alias("v"))
+    assert [r["v"] for r in normed.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
+    plan = normed._jdf.queryExecution().optimizedPlan().toString()
+    division = plan[: plan.index("/")].rindex("lambdafunction(")
+    assert "aggregate(" not in plan[division : plan.index("/") + 80]
+
+
+def test_encoding_matches_a_bounded_number_of_words_at_once(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "words": [["a"] * 3, [], ["b"] * 9, ["c", "d"]]})
+    assert [part.num_rows for part in tk._slices(batch, 4)] == [2, 1, 1]
+    assert pa.Table.from_batches(list(tk._slices(batch.slice(1), 4))).to_pydict() == batch.slice(1).to_pydict()
+    docs = spark.createDataFrame([(i, "ab " * i + "zz ba") for i in range(40)], "doc_id int, text string").coalesce(1)
+    vocab = tk.vocabulary_table(spark, [*BASE_SPECIALS, "a", "b", "##a", "##b"])
+    want = {r["doc_id"]: r["input_ids"] for r in tk.encode(docs, vocab).collect()}
+    monkeypatch.setattr(tk, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(tk, "REMEMBERED", 1)
+    assert {r["doc_id"]: r["input_ids"] for r in tk.encode(docs, vocab).collect()} == want
+    assert want[2] == [5, 8, 5, 8, 1, 6, 7]
+
+
+def test_bucket_embedder_counts_remainders(spark):
+    chunks = spark.createDataFrame([("a", 0, [0, 64, 1, 130]), ("b", 1, []), ("c", 0, [63])], "doc_id string, chunk_no int, input_ids array<int>")
+    embedded = _bucket_embedder(chunks)
+    assert "ArrowEvalPython" in embedded._jdf.queryExecution().optimizedPlan().toString()  # one pass, not one per bucket
+    rows = {r["doc_id"]: r for r in embedded.collect()}
+    assert rows["a"]["vec"] == [2.0, 1.0, 1.0] + [0.0] * 61 and rows["a"]["n_tokens"] == 4
+    assert rows["b"]["vec"] == [0.0] * 64 and rows["c"]["vec"] == [0.0] * 63 + [1.0]
