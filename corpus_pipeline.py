@@ -1,13 +1,14 @@
 """From raw documents to samples of token ids: five stages, each over all that the one before kept.
 
 Quality rules drop documents, near-duplicate classes keep their first, personal data is masked, sources
-are mixed to target weights, and the texts are encoded. Every stage's result is a table in the shared
+are mixed to target weights, and the texts are encoded; ordered by (part, row) the samples are the mixture. Every stage's result is a table in the shared
 folder, read again as the next one's documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfold.llm import jaccard, mixing, pii, quality, sampling
 from nearfold.session import staged
@@ -38,8 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every text, with ids (operator 3)."""
-    return sampling.sampled(docs, k=2, batch_bytes=ENCODE_BYTES)
+    """Two sampled segmentations of every text, with ids (operator 3), and the text's place in the order of the mixture:
+    the number of its file and its row there, as that order is the one in which the table was written."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("int")
+    placed = docs.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
+    return sampling.sampled(placed, k=2, batch_bytes=ENCODE_BYTES, carried=("part", "row"))
 
 
 STAGES = [

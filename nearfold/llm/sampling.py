@@ -26,7 +26,7 @@ import functools
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +94,15 @@ def load_vocabulary(folder: str, name: str) -> Pieces:
     return Pieces(folder, name)
 
 
+def _order(key: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys from 0 to ``most``. Where they fit beside it, places are sorted along with the keys, which is
+    several times faster than sorting places by key."""
+    bits = len(key).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 class Lattices:
     """Lattices of chunks data[at[c]:at[c + 1]]; node p + c stands before byte p of chunk c."""
 
@@ -130,7 +139,7 @@ class Lattices:
         src, dst = (src + of).astype(np.int32), (dst + of).astype(np.int32)
         share = self._sum_up(n + chunks, distance, src, dst, weight)
         # Edges by node, the likeliest first: a draw mostly ends with the first.
-        order = np.argsort((src.astype(np.int64) << 16) + (65535 - np.rint(share * 65535)).astype(np.int64), kind="stable")
+        order = _order((src.astype(np.int64) << 16) + (65535 - np.rint(share * 65535)).astype(np.int64), (n + chunks) << 16)
         self.src, self.dst, self.ids = src[order], dst[order], ids[order].astype(np.int32)
         self.weight, self.share = weight[order], share[order]
         begin = np.flatnonzero(np.concatenate(([True], self.src[1:] != self.src[:-1])))
@@ -145,7 +154,7 @@ class Lattices:
     def _sum_up(self, nodes: int, distance: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Backward sums per node; every edge's share of what leaves its node."""
         self.total = np.zeros(nodes)
-        order = np.lexsort((src, distance)) if len(src) < 1000 else np.argsort(distance * np.int64(nodes + 1) + src, kind="stable")
+        order = _order(distance * np.int64(nodes + 1) + src, (int(distance.max(initial=0)) + 1) * (nodes + 1))
         edge = np.searchsorted(distance[order], np.arange(1, int(distance.max(initial=0)) + 2))
         by_src, by_dst, by_weight = src[order], dst[order], weight[order]
         for begin, end in zip(edge[:-1], edge[1:], strict=True):
@@ -371,8 +380,8 @@ def _finished(row: _Row, lattices: Lattices | None, pieces: Pieces) -> list[dict
 SAMPLES = "sample int, n_pieces int, log_prob double, inclusion double, ids_sha256 string, exact boolean"
 
 
-def sampled(docs: DataFrame, k: int, key_col: str = "doc_id", seed: int = 0, with_ids: bool = True, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, batch_bytes: int = BATCH) -> DataFrame:
-    """(key, sample, n_pieces, log_prob, inclusion, ids_sha256, exact[, ids]): up to k samples a row.
+def sampled(docs: DataFrame, k: int, key_col: str = "doc_id", seed: int = 0, with_ids: bool = True, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, batch_bytes: int = BATCH, carried: Sequence[str] = ()) -> DataFrame:
+    """(key, sample, n_pieces, log_prob, inclusion, ids_sha256, exact[, ids], carried columns): up to k samples a row.
 
     ``sample`` counts from 1 in falling order of the noisy values; ``exact`` says that decoding the ids
     gave the text back; ``ids_sha256`` is over the ids as little-endian 32-bit numbers. ``batch_bytes``
@@ -393,14 +402,18 @@ def sampled(docs: DataFrame, k: int, key_col: str = "doc_id", seed: int = 0, wit
                     values = (i, rank, len(s["ids"]), s["log_prob"], s["inclusion"], hashlib.sha256(s["ids"].astype("<i4").tobytes()).hexdigest(), pieces.decode(s["ids"]) == raw, s["ids"])
                     for name, value in zip(out, values, strict=True):
                         out[name].append(value)
-            columns = {key_col: ids.take(pa.array(out.pop("row"), pa.int64())), "sample": pa.array(out["sample"], pa.int32()), "n_pieces": pa.array(out["n_pieces"], pa.int32())}
+            row = pa.array(out.pop("row"), pa.int64())
+            columns = {key_col: ids.take(row), "sample": pa.array(out["sample"], pa.int32()), "n_pieces": pa.array(out["n_pieces"], pa.int32())}
             columns |= {name: pa.array(out[name]) for name in ("log_prob", "inclusion", "ids_sha256", "exact")}
             if with_ids:
                 columns["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
+            columns |= {name: batch.column(2 + i).take(row) for i, name in enumerate(carried)}
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"`{key_col}` long, {SAMPLES}" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key_col).cast("long").alias(key_col), "text").mapInArrow(run, schema)
+    kept = docs.select(F.col(key_col).cast("long").alias(key_col), "text", *carried)
+    schema += "".join(f", `{name}` {type_}" for name, type_ in kept.dtypes[2:])
+    return kept.mapInArrow(run, schema)
 
 
 def decoded(samples: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

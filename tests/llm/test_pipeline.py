@@ -7,7 +7,8 @@ import os
 import pytest
 
 import corpus_pipeline
-from nearfold.llm import pii, quality, sampling
+from nearfold import session
+from nearfold.llm import mixing, pii, quality, sampling
 from nearfold.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.oracle import compare
@@ -75,3 +76,12 @@ def test_mixing_query_places_every_document(spark):
         slots.setdefault(r.slot, set()).add(r.source)
     assert all(len(s) == 1 for s in slots.values())
     assert len({(r.slot, r.place) for r in rows}) == len(rows)
+
+
+def test_the_samples_are_in_the_order_of_the_mixture(spark):
+    """What mixing decides reaches the last stage: ordered by their places the samples are the mixture."""
+    docs = spark.createDataFrame([(i, f"text {i}", "a" if i % 10 else "b") for i in range(60)], "doc_id long, text string, source string")
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("slot", "place").collect()]
+    mixed = session.staged(corpus_pipeline.mix_sources(spark, docs, SF_DIR), "mixed")
+    samples = corpus_pipeline.encode(spark, mixed, SF_DIR).collect()
+    assert [r.doc_id for r in sorted(samples, key=lambda r: (r.part, r.row)) if r.sample == 1] == want != sorted(want)
