@@ -43,6 +43,8 @@ NO_LANGUAGE = "und"
 SLOTS = 1 << 20
 #: Text of a block.
 BLOCK_BYTES = 3 * 1024 * 1024
+#: Groups that a task hands on at once.
+HANDED_ON = 1 << 15
 
 _END = np.isin(np.arange(256), list(ENDS))
 _SEPARATOR = _END | np.isin(np.arange(256), list(SPACES))
@@ -141,9 +143,14 @@ def _count_length(blocks: DataFrame, length: int, filters: list[np.ndarray], lea
                 key, group, words, times = (piece << 32) + position, codes.astype(np.int64), [distinct], None
                 for known in shared.value:
                     key, group, words, times = _grown(key, group, words, _passes(known, group_hashes(name, words)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(times), pa.string()), *(pa.array(w) for w in words), pa.array(times)], ["lang", *columns, "n"]
-                )
+                del codes, sizes, distinct, piece, position, key, group
+                for begin in range(0, len(times), HANDED_ON):
+                    part = slice(begin, begin + HANDED_ON)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(name, pa.string()), len(times[part])), *(pa.array(w[part]) for w in words), pa.array(times[part])], ["lang", *columns, "n"]
+                    )
+                del words, times
+                release()
 
     schema = ", ".join(["lang string", *(f"{c} long" for c in columns), "n long"])
     counted = blocks.select("lang", "codes", "sizes", "words").mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfold.llm import chat, fm_index, jaccard, mixing, pii, quality, repeats, sampling, sharding, suffix_merge, topk
+from nearfold.llm import chat, collocations, fm_index, jaccard, mixing, pii, quality, repeats, sampling, sharding, suffix_merge, topk
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -424,3 +424,17 @@ def test_crc(spark):
     rows = QUERIES["op4_sharding"](spark, "/root/testdata/sf0.001").limit(5).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+
+
+def test_places_are_sorted_with_their_keys():
+    """The same order as a stable sort by key, also for keys that leave no room for places."""
+    key = np.random.default_rng(3).integers(0, 50, 5000)
+    for most in (50, 1 << 60):
+        assert (sampling._order(key, most) == np.argsort(key, kind="stable")).all()
+
+
+def test_counted_groups_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a{i % 7} b{i % 5} c{i % 3} d", "en") for i in range(400)], "text string, lang string")
+    want = sorted(tuple(r) for r in collocations.collocations(docs, least=3).collect())
+    monkeypatch.setattr(collocations, "HANDED_ON", 5)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, least=3).collect()) == want != []
