@@ -3,7 +3,7 @@
 Training goes in epochs. An epoch begins with one pass over the distinct words: it counts all pairs of neighbouring
 pieces, tracks the ``TRACKED`` best and writes their postings, one row per tracked pair and word that holds
 it, sorted by pair. The rounds of the epoch then read the postings of the pairs they merge and nothing else. A word's
-present pieces are those of the epoch's beginning with the epoch's merges replayed, so postings are never rewritten; a
+present pieces are those of the epoch's beginning with the epoch's merges replayed, on arrays of a whole batch, so postings are never rewritten; a
 pair with a new piece is found under the pair that piece was first made from. A round sends back how the counts of
 tracked and of new pairs change. The epoch ends when the best pair is no longer sure to be among those tracked,
 or a merge makes a piece that was known already, which could raise counts that are not tracked.
@@ -12,10 +12,11 @@ or a merge makes a piece that was known already, which could raise counts that a
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,28 +59,57 @@ def independent(pairs: list[tuple[str, str, int]], room: int, least: int, beyond
     return chosen
 
 
-def replay(pieces: list[str], merges: dict[Pair, list[int]], made: list[str], begin: int, end: int) -> list[str]:
-    """Apply the merges numbered ``begin`` to ``end`` in order; ``merges`` has the numbers of every pair, ascending."""
-    while len(pieces) > 1:
-        next_, pair = end, None
-        for candidate in zip(pieces, pieces[1:], strict=False):
-            numbers = merges.get(candidate)
-            if numbers:
-                at = bisect_left(numbers, begin)
-                if at < len(numbers) and numbers[at] < next_:
-                    next_, pair = numbers[at], candidate
-        if pair is None:
-            break
-        out, i = [], 0
-        while i < len(pieces):
-            if i + 1 < len(pieces) and (pieces[i], pieces[i + 1]) == pair:
-                out.append(made[next_])
-                i += 2
-            else:
-                out.append(pieces[i])
-                i += 1
-        pieces, begin = out, next_ + 1
-    return pieces
+class Coded:
+    """A batch of words as piece numbers: word w of ``rows`` has the pieces where ``word`` is w, in order."""
+
+    def __init__(self, texts: pa.Array, made: list[str]) -> None:
+        lists = pc.split_pattern(pc.utf8_trim(texts, " "), " ")
+        flat = lists.flatten().dictionary_encode()
+        self.names: list[str] = flat.dictionary.to_pylist()
+        self.number = {name: i for i, name in enumerate(self.names)}
+        for name in made:
+            if name not in self.number:
+                self.number[name] = len(self.names)
+                self.names.append(name)
+        self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.rows = len(texts)
+        self.word = np.repeat(np.arange(self.rows), pc.list_value_length(lists).to_numpy())
+
+    def replay(self, merges: list[Pair], made: list[str]) -> None:
+        """Apply the merges in order, each from left to right through all words."""
+        present = np.zeros(len(self.names), dtype=bool)
+        present[self.codes] = True
+        for (left, right), piece in zip(merges, made, strict=True):
+            a, b = self.number.get(left, -1), self.number.get(right, -1)
+            if a < 0 or b < 0 or not (present[a] and present[b]):
+                continue
+            at = np.flatnonzero(self.codes[:-1] == a)
+            at = at[(self.codes[at + 1] == b) & (self.word[at + 1] == self.word[at])]
+            if a == b and len(at):  # of overlapping places every second one is free
+                begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 0]
+            if len(at):
+                c = self.number[piece]
+                self.codes[at], present[c] = c, True
+                self.codes, self.word = np.delete(self.codes, at + 1), np.delete(self.word, at + 1)
+
+    def keep(self, rows: np.ndarray) -> None:
+        chosen = rows[self.word]
+        self.codes, self.word = self.codes[chosen], self.word[chosen]
+
+    def sizes(self) -> np.ndarray:
+        return np.bincount(self.word, minlength=self.rows)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of neighbours as one number, and its word."""
+        at = np.flatnonzero(self.word[:-1] == self.word[1:])
+        return self.codes[at] * len(self.names) + self.codes[at + 1], self.word[at]
+
+    def joined(self) -> pa.Array:
+        """The words as text again."""
+        at = np.concatenate(([0], np.cumsum(self.sizes()))).astype(np.int32)
+        pieces = pa.array(self.names, pa.string()).take(pa.array(self.codes))
+        return pc.binary_join_element_wise("", pc.binary_join(pa.ListArray.from_arrays(at, pieces), " "), "", " ")
 
 
 class Epoch:
@@ -99,7 +129,7 @@ class Epoch:
         self.boundary = _rank(best[TRACKED]) if len(best) > TRACKED else None
         self.roots: dict[Pair, Pair] = {pair: pair for pair in self.counts}
         self.origin: dict[str, Pair] = {}
-        self.merges: dict[Pair, list[int]] = {}
+        self.merges: list[Pair] = []
         self.made: list[str] = []
         if best:
             tracked = words.sparkSession.createDataFrame([(" ".join(p),) for p in self.counts], "pair string")
@@ -118,27 +148,39 @@ class Epoch:
         begin, end = len(self.made), len(self.made) + len(picks)
         roots = sorted({self.roots[a, b] for a, b, _ in picks})
         for a, b, _ in picks:
-            self.merges.setdefault((a, b), []).append(len(self.made))
+            self.merges.append((a, b))
             self.made.append(a + b[len(self.continues) :])
         fresh = {self.made[begin + i]: self.roots[a, b] for i, (a, b, _) in enumerate(picks)}
         merges, made, tracked = self.merges, self.made, set(self.counts)
+        asked = {" ".join(r): i for i, r in enumerate(roots)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = set(roots)
             for batch in batches:
-                changes: Counter[Pair] = Counter()
-                for pair, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    pieces = text.split()
-                    # A word that is read under several pairs counts under the first.
-                    if min(p for p in zip(pieces, pieces[1:], strict=False) if p in asked) != tuple(pair.split(" ")):
-                        continue
-                    before = replay(pieces, merges, made, 0, begin)
-                    after = replay(before, merges, made, begin, end)
-                    if len(after) < len(before):
-                        for p in zip(before, before[1:], strict=False):
-                            changes[p] -= n
-                        for p in zip(after, after[1:], strict=False):
-                            changes[p] += n
+                words = Coded(batch.column(1), made)
+                # A word that is read under several pairs counts under the first.
+                rank = {words.number[a] * len(words.names) + words.number[b]: i for i, (a, b) in enumerate(roots) if a in words.number and b in words.number}
+                own = np.array([asked[p] for p in batch.column(0).to_pylist()])
+                keys, word = words.pairs()
+                known = np.array(sorted(rank))
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[place] == keys
+                first = np.full(words.rows, len(roots))
+                np.minimum.at(first, word[hit], np.array([rank[k] for k in known.tolist()])[place[hit]])
+                words.keep(first == own)
+                words.replay(merges[:begin], made[:begin])
+                size = words.sizes()
+                before, of_before = words.pairs()
+                words.replay(merges[begin:end], made[begin:end])
+                shorter = words.sizes() < size
+                after, of_after = words.pairs()
+                n = batch.column(2).to_numpy()
+                old, new = shorter[of_before], shorter[of_after]
+                keys = np.concatenate((before[old], after[new]))
+                found, at = np.unique(keys, return_inverse=True)
+                total = np.zeros(len(found), dtype=np.int64)
+                np.add.at(total, at, np.concatenate((-n[of_before[old]], n[of_after[new]])))
+                names = words.names
+                changes = {(names[k // len(names)], names[k % len(names)]): t for k, t in zip(found.tolist(), total.tolist(), strict=True)}
                 kept = [(p, n) for p, n in changes.items() if n and (p in tracked or p[0] in fresh or p[1] in fresh)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for (a, _), _ in kept], pa.string()), pa.array([b for (_, b), _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64()), pa.array([p not in tracked for p, _ in kept], pa.bool_())],
@@ -167,8 +209,9 @@ class Epoch:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                now = [f" {' '.join(replay(text.split(), merges, made, 0, len(made)))} " for text in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(now, pa.string()), batch.column(1)], ["pieces", "n"])
+                words = Coded(batch.column(0), made)
+                words.replay(merges, made)
+                yield pa.RecordBatch.from_arrays([words.joined(), batch.column(1)], ["pieces", "n"])
 
         return session.staged(self.words.select("pieces", "n").mapInArrow(run, "pieces string, n long"), "words")
 

@@ -616,3 +616,24 @@ def test_bucket_embedder_counts_remainders(spark):
     rows = {r["doc_id"]: r for r in embedded.collect()}
     assert rows["a"]["vec"] == [2.0, 1.0, 1.0] + [0.0] * 61 and rows["a"]["n_tokens"] == 4
     assert rows["b"]["vec"] == [0.0] * 64 and rows["c"]["vec"] == [0.0] * 63 + [1.0]
+
+
+def test_merges_are_replayed_on_whole_batches():
+    """Arrays of piece numbers give what merging one word at a time gives."""
+    rng = random.Random(5)
+    words = [[rng.choice("ab"), *("##" + rng.choice("abc") for _ in range(rng.randrange(9)))] for _ in range(300)]
+    merges = [("##a", "##a"), ("a", "##b"), ("##aa", "##aa"), ("##b", "##c"), ("a", "##aa"), ("##a", "##a"), ("##x", "##a")]
+    made = [a + b[2:] for a, b in merges]
+    want = []
+    for pieces in words:
+        for pair, piece in zip(merges, made):
+            out, i = [], 0
+            while i < len(pieces):
+                hit = tuple(pieces[i : i + 2]) == pair
+                out.append(piece if hit else pieces[i])
+                i += 1 + hit
+            pieces = out
+        want.append(f" {' '.join(pieces)} ")
+    coded = pair_index.Coded(pa.array([f" {' '.join(w)} " for w in words]), made)
+    coded.replay(merges, made)
+    assert coded.joined().to_pylist() == want
