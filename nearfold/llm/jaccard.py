@@ -10,7 +10,10 @@ has no partner, as partners differ in fewer; counting these tokens over all docu
 all tokens that a hash selects, leaves a few suspects, and only their texts go further. A token that lies in few prefixes gives all its pairs;
 one that lies in many (a class of near copies, in the end) gives its members' pairs with one pivot, in
 linear number. Verified links join classes; then only pairs whose ends are still in different classes are
-looked at. Thus no link between different classes is lost, and copies are never expanded into all pairs.
+looked at, and of these only such as the sets' marks allow: each set has MARKS bits, bit b telling whether an odd
+number of its tokens hash to b, and sets differ in at least as many tokens as their marks do in bits. A pair is formed
+once, under the smallest full token that its ends share. Thus no link between different classes is lost, and copies are
+never expanded into all pairs.
 
 Frequent tokens are counted over all suspects. The set that is sent to the executors has at most
 MOST_FREQUENT tokens by construction: the count from which a token is frequent is at least the number of
@@ -42,6 +45,8 @@ FEW = 24
 FREQUENT, MOST_FREQUENT = 24, 1_000_000
 #: Pivots of a token in more sets; rounds in which each set meets its likeliest partner.
 PIVOTS, ROUNDS = 3, 2
+#: Bits of a set's marks; members of a token that are compared in one group with as many others.
+MARKS, TILE = 2048, 4096
 #: Tokens of a bucket; sets that meet one pivot in a task.
 BUCKET_TOKENS, SALT = 1_500_000, 200
 _SHORT = np.uint64((1 << 48) - 1)
@@ -296,6 +301,75 @@ def _pair_up(table: pa.Table) -> pa.Table:
     })
 
 
+def _marked(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(sid, marks) of every different set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _fresh(cut(_opened(batches))):
+            sets = Sets(Texts(batch.column(1)), size)
+            bit = (mixed(sets.tokens ^ np.uint64(ORDERS[1])) % np.uint64(MARKS)).astype(np.int64)
+            once = sets.once()
+            rows = [np.packbits((np.bincount(bit[sets.at[i] : sets.at[i + 1]], minlength=MARKS) & 1).astype(np.uint8)).tobytes() for i in once]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.ids[once], pa.int64()), pa.array(rows, pa.binary())], ["sid", "marks"])
+
+    return run
+
+
+class _Members:
+    """Members of a full token, one chunk of them: sets, sizes, classes, marks and all full tokens."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.sid, self.label, self.n, self.own = (table[c].to_numpy() for c in ("sid", "label", "n", "own"))
+        self.outside = table["outside"].to_numpy(zero_copy_only=False).astype(bool)
+        self.marks = np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint64).reshape(len(table), MARKS // 64)
+        tokens = table["tokens"].combine_chunks()
+        self.tokens, self.count = tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy())
+        self.at = np.cumsum(self.count) - self.count
+
+
+def _shared(left: _Members, right: _Members, x: np.ndarray, y: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray]:
+    """(full tokens in common, is none of them smaller than ``token``?) of pairs of places."""
+    names = np.unique(np.concatenate((left.tokens, right.tokens)))
+    here = np.searchsorted(names, token)
+    key = np.sort(np.repeat(np.arange(len(right.sid)), right.count) * len(names) + np.searchsorted(names, right.tokens))
+    name = np.searchsorted(names, left.tokens)
+    common, first = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    step = max(1, BATCH_BYTES // 8 // int(left.count.max(initial=1)))
+    for begin in range(0, len(x), step):
+        i, j = x[begin : begin + step], y[begin : begin + step]
+        count = left.count[i]
+        pair = np.repeat(np.arange(len(i)), count)
+        mine = name[np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count) + left.at[i][pair]]
+        asked = j[pair] * len(names) + mine
+        both = key[np.minimum(np.searchsorted(key, asked), len(key) - 1)] == asked
+        common[begin : begin + step] = np.bincount(pair[both], minlength=len(i))
+        first[begin : begin + step] = np.bincount(pair[both & (mine < here)], minlength=len(i)) == 0
+    return common, first
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Pairs of a full token's members in different classes that sizes, own tokens and marks leave similar enough."""
+    token = table["token"][0].as_py()
+    is_left = table["is_left"].to_numpy(zero_copy_only=False).astype(bool)
+    left, right = (_Members(table.filter(pa.array(chosen))) for chosen in (is_left, ~is_left))
+    xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    step = max(1, BATCH_BYTES // 2 // (max(1, len(right.sid)) * MARKS // 8))
+    for begin in range(0, len(left.sid), step):
+        at = slice(begin, begin + step)
+        good = (left.label[at, None] != right.label) & _close(left.n[at, None], left.own[at, None], right.n, right.own)
+        good &= ~right.outside | (left.sid[at, None] < right.sid)  # both ways only once
+        x, y = np.nonzero(good)
+        differ = np.bitwise_count(left.marks[begin + x] ^ right.marks[y]).sum(axis=1, dtype=np.int64)
+        # Similar sets share at least t (n + m) / (1 + t) tokens and differ in the rest.
+        near = (100 + PERCENT) * differ <= (100 - PERCENT) * (left.n[begin + x] + right.n[y])
+        xs.append(begin + x[near])
+        ys.append(y[near])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    weight, first = _shared(left, right, x, y, token)
+    a, b = left.sid[x[first]], right.sid[y[first]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "weight": weight[first]})
+
+
 def _verify(size: int) -> Callable[[pa.Table], pa.Table]:
     """Which texts of a group are similar enough to its pivot?"""
 
@@ -443,16 +517,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     members = staged(members.join(alike.groupBy("c", "h").agg(F.min("token").alias("token")).select("token"), "token"), "members")
     size_of = members.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = size_of.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "label"))).where("r = 1")
-    outside = members.join(main.select("token", F.col("label").alias("main")), "token").where("label <> main")
-    left = outside.select("token", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("own").alias("oa"))
-    right = members.select("token", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    # A set with so many tokens of its own that it has no partner at all is left out before the join.
-    able = lambda n, own: 100 * (F.col(n) - F.col(own)) >= PERCENT * F.col(n)
-    fits = (F.col("la") != F.col("lb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
-    across = left.where(able("na", "oa")).join(right.where(able("nb", "ob")), "token").where(fits)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = across.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    placed = members.join(main.select("token", F.col("label").alias("main")), "token").withColumn("outside", F.col("label") != F.col("main"))
+    # A set with so many tokens of its own that it has no partner at all is left out before it meets others.
+    able = placed.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
+    marks = texts.select("sid", "packed").mapInArrow(_marked(shingle), "sid long, marks binary").dropDuplicates(["sid"])
+    having = staged(able.groupBy("sid").agg(F.collect_set("token").alias("tokens")).join(marks, "sid"), "marks")
+    # Each one outside its token's main class meets all members, chunk by chunk.
+    chunks = able.groupBy("token").agg(F.ceil(F.count_if("outside") / TILE).cast("int").alias("lefts"), F.ceil(F.count("*") / TILE).cast("int").alias("rights"))
+    tiled = able.join(chunks.where("lefts > 0"), "token")
+    chunk = lambda count: F.pmod(F.xxhash64("sid"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = tiled.where("outside").select("token", "sid", "label", "n", "own", "outside", F.lit(True).alias("is_left"), chunk("lefts").alias("l"), every("rights").alias("r"))
+    right = tiled.select("token", "sid", "label", "n", "own", "outside", F.lit(False).alias("is_left"), chunk("rights").alias("r"), every("lefts").alias("l"))
+    across = left.unionByName(right).join(having, "sid").groupBy("token", "l", "r").applyInArrow(_across, "a long, b long, weight long")
     rest = staged(left_over.unionByName(across).groupBy("a", "b").agg(F.max("weight").alias("weight")), "rest")
     if not rest.isEmpty():
         rest = settle(rest)

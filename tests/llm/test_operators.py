@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.llm import chat, collocations, fm_index, jaccard, mixing, pii, quality, repeats, sampling, sharding, suffix_merge, topk
+from nearfold.session import staged
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,6 +146,57 @@ def test_near_duplicates(monkeypatch, docs, rows, few):
     assert got(jaccard.near_duplicates(docs)) == sorted(brute.classes(rows), key=str)
 
 
+def edited_copies(n: int, edits: int, seed: int) -> list[tuple[int, str]]:
+    """One text of 200 words in n copies, each with words of its own at random places."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), edits):
+            words[at] = f"x{rng.randrange(4 * n)}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+def test_near_copies_too_different_to_link_are_not_paired(spark, monkeypatch):
+    """Most are classes of their own; all pairs of different classes would be over 1,000."""
+    rows = edited_copies(60, 5, 1)
+    counts: dict[str, list[int]] = {}
+
+    def counted(df, name):
+        counts.setdefault(name, []).append((out := staged(df, name)).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    want = sorted(brute.classes(rows), key=str)
+    assert got(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len({c for _, _, c in want}) > 40 and counts["members"][0] > 60 and counts["rest"][0] < 600
+
+
+def test_links_between_classes_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 7, raising=False)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rows = edited_copies(50, 3, 2) + [(100 + d, t) for d, t in edited_copies(40, 4, 3)]
+    assert got(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(brute.classes(rows), key=str)
+
+
+def test_pairs_across_classes_come_once_under_their_smallest_token():
+    rng = np.random.default_rng(5)
+    tokens = [sorted(rng.choice(9, 4, replace=False).tolist()) for _ in range(30)]
+    marks = [bytes(jaccard.MARKS // 8)] * 29 + [b"\xff" * (jaccard.MARKS // 8)]  # the last differs from all
+    found = []
+    for token in range(9):
+        here = [i for i in range(30) if token in tokens[i]]
+        rows = [(token, i, i % 3, 40, 0, i % 3 > 0, left, tokens[i], marks[i]) for left in (True, False) for i in here if i % 3 or not left]
+        names = ["token", "sid", "label", "n", "own", "outside", "is_left", "tokens", "marks"]
+        table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(names)})
+        found += [tuple(r.values()) for r in jaccard._across(table).to_pylist()]
+    pairs = [(i, j, len({*tokens[i]} & {*tokens[j]})) for i in range(29) for j in range(i + 1, 29) if i % 3 != j % 3]
+    assert sorted(found) == [p for p in pairs if p[2]]
+
+
 def test_near_duplicates_keep_first(docs, rows):
     kept = {d for d, _, c in brute.classes(rows) if d == c}
     assert {r.doc_id for r in jaccard.keep_first(docs).collect()} == kept
