@@ -19,7 +19,8 @@ TOTAL_PATTERNS = (
 )
 # -------------------------------------------------------------------------------
 
-SHELL_WORD = r"""((?:[^\s"']+|"[^"]*"|'[^']*')+)"""
+#: A word, or a quote that is left open, which is found by itself.
+SHELL_WORD = r"""((?:[^\s"']++|"[^"]*+"|'[^']*+')+|["'])"""
 QUOTED = r""""([^"]*)"|'([^']*)'"""
 
 
@@ -34,25 +35,31 @@ def affix_passes(command: Column) -> Column:
 
 def shell_words(command: Column) -> Column:
     """Words as a shell would split them; NULL when a quote is left open."""
-    leftover = F.regexp_replace(command, SHELL_WORD, "")
-    found = F.regexp_extract_all(command, F.lit(SHELL_WORD), F.lit(1))
-    plain = F.transform(found, lambda t: F.regexp_replace(t, QUOTED, "$1$2"))
-    return F.when(~leftover.rlike("[\"']"), plain)
+    quoted = lambda t: t.contains('"') | t.contains("'")
+    plain = lambda t: F.when(quoted(t), F.regexp_replace(t, QUOTED, "$1$2")).otherwise(t)
+    found = F.array(F.regexp_extract_all(command, F.lit(SHELL_WORD), F.lit(1)))
+    closed = lambda words: ~F.exists(words, lambda t: t.isin('"', "'"))
+    return F.get(F.transform(found, lambda words: F.when(closed(words), F.transform(words, plain))), 0)
 
 
 def token_passes(command: Column) -> Column:
     """Pass list by looking at each shell word: the tool, ``-o`` with its
     argument and the placeholder files are dropped wherever they stand."""
-    tokens = shell_words(command)
-    tokens = F.when(
-        last_path_part(F.get(tokens, 0)).startswith(TOOL), F.slice(tokens, F.lit(2), F.size(tokens))
-    ).otherwise(tokens)
+    # The words are used three times over; as the argument of a function over an array of one they are found once.
+    without_tool = F.transform(
+        F.array(shell_words(command)),
+        lambda words: F.when(
+            last_path_part(F.get(words, 0)).startswith(TOOL), F.slice(words, F.lit(2), F.size(words))
+        ).otherwise(words),
+    )
+    tokens = F.get(without_tool, 0)
     start = F.struct(
         F.array().cast("array<string>").alias("kept"), F.lit(False).alias("is_argument")
     )
 
     def step(state: Column, token: Column) -> Column:
-        skip = state["is_argument"] | (token == "-o") | last_path_part(token).isin(*PLACEHOLDER_FILES)
+        name = F.when(token.contains("/"), last_path_part(token)).otherwise(token)
+        skip = state["is_argument"] | (token == "-o") | name.isin(*PLACEHOLDER_FILES)
         return F.struct(
             F.when(skip, state["kept"]).otherwise(F.concat(state["kept"], F.array(token))).alias("kept"),
             (~state["is_argument"] & (token == "-o")).alias("is_argument"),

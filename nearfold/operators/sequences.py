@@ -9,6 +9,7 @@ from nearfold.functions.columns import after_marker, last_path_part, positive, s
 from nearfold.functions.commands import affix_passes
 from nearfold.operators.joins import spread_join
 from nearfold.operators.quality import dedupe_last
+from nearfold.session import staged
 
 
 def mapped_names(df: DataFrame, name_col: str, name_map: DataFrame | None, prefix: str = "") -> DataFrame:
@@ -114,7 +115,7 @@ def resolve_actions(sequences: DataFrame, actions: DataFrame, id_col: str = "id"
     """
     known = actions.groupBy(_pass_key(F.col("name")).alias("pass_key")).agg(F.max(F.col("action").cast("int")).alias("action"))
     none = F.array().cast("array<string>")
-    rows = sequences.select(id_col, F.coalesce("passes", none).alias("passes"))
+    rows = staged(sequences.select(id_col, F.coalesce("passes", none).alias("passes")), "pass-lists")
     steps = rows.select("passes").distinct().select("passes", F.posexplode("passes").alias("pos", "pass"))
     joined = steps.withColumn("pass_key", _pass_key(F.col("pass"))).join(known, "pass_key", "left")
     hit = F.when(F.col("action").isNotNull(), F.struct("pos", F.col("action").alias("v")))

@@ -637,3 +637,30 @@ def test_merges_are_replayed_on_whole_batches():
     coded = pair_index.Coded(pa.array([f" {' '.join(w)} " for w in words]), made)
     coded.replay(merges, made)
     assert coded.joined().to_pylist() == want
+
+
+def test_pass_lists_are_made_once_however_often_they_are_read(spark):
+    from nearfold.operators import sequences as sq
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def listed(n):
+        made.add(1)
+        return ["-gvn", f"-p{n % 3}"]
+
+    seqs = spark.range(200).select(F.col("id").cast("string").alias("id"), listed("id").alias("passes"))
+    actions = spark.createDataFrame([("gvn", 2)], "name string, action int")
+    found = sq.resolve_actions(seqs, actions).collect()
+    assert {(r["id"], *r["actions"], *r["unknown"]) for r in found} == {(str(n), 2, f"-p{n % 3}") for n in range(200)}
+    assert made.value == 200
+
+
+def test_the_words_of_a_command_are_found_once(spark):
+    from nearfold.functions.commands import token_passes
+
+    rows = [("opt -a 'b c'd x/input.bc -o \"o p\" -e", ["-a", "b cd", "-e"]), ("-a 'b", None), ("", []), (None, None), ("/x/opt-10 -o -o -a \"\"", ["-a", ""])]
+    df = spark.createDataFrame(rows, "c string, want array<string>").select("want", token_passes(F.col("c")).alias("passes"))
+    assert all(r["passes"] == r["want"] for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
