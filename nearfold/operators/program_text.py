@@ -22,7 +22,10 @@ CALL_PREFIX = r"((tail|musttail|notail)\s+)?"
 #: What ends a line.
 BREAK = "\r\n|\r|\n"
 
-INSTRUCTION = rf"(?i)^{RESULT_PREFIX}{CALL_PREFIX}({'|'.join(OPCODES)})([^\p{{L}}\p{{N}}_]|$)"
+#: The word where an opcode stands is the fourth group; a word of other letters or with digits is none.
+OPERATION = rf"(?i)^{RESULT_PREFIX}{CALL_PREFIX}([A-Za-z_]+)([^\p{{L}}\p{{N}}_]|$)"
+#: White space of regular expressions, and the ends of a line that are none.
+BLANKS, LINE_ENDS = " \t\n\x0b\f\r", ("\u0085", "\u2028", "\u2029")
 
 
 def opens(line: Column) -> Column:
@@ -34,11 +37,14 @@ def closes(line: Column) -> Column:
 
 
 def is_instruction(line: Column) -> Column:
-    return ~line.rlike("^[;!]") & ~line.endswith(":") & line.rlike(INSTRUCTION)
+    comment = line.startswith(";") | line.startswith("!")
+    return ~comment & ~line.endswith(":") & F.lower(F.regexp_extract(line, OPERATION, 4)).isin(*OPCODES)
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    """The line without white space around it; blanks before one last line end go too, which only the pattern knows."""
+    ended = line.contains(LINE_ENDS[0]) | line.contains(LINE_ENDS[1]) | line.contains(LINE_ENDS[2])
+    return F.when(ended, F.regexp_replace(line, r"^\s+|\s+$", "")).otherwise(F.btrim(line, F.lit(BLANKS)))
 
 
 def _trimmed_lines(text: Column) -> Column:

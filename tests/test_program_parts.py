@@ -58,3 +58,27 @@ def test_parts_put_together_are_the_text(spark):
 def test_no_parts(spark):
     none = spark.createDataFrame([], "doc_id long, part int, text string")
     assert instruction_count_of_parts(none).count() == 0 and body_lines_of_parts(none).count() == 0
+
+
+def test_parts_are_read_once_for_states_and_once_for_texts(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, "define {\nret\nadd\n}\n" * (i % 3 + 1)) for i in range(30)], "doc_id long, text string")
+    parts = text_parts(docs, part_chars=9).localCheckpoint()
+    made = parts.withColumn("text", seen("text"))
+    assert key(body_lines_of_parts(made)) == key(function_body_lines(docs))
+    # Texts that a filter lets pass are read again behind it.
+    assert read.value < 3 * parts.count()
+
+
+def test_blanks_and_words_of_a_line(spark):
+    from nearfold.operators.program_text import is_instruction, trimmed
+
+    rows = [(" ret ", "ret", True), ("Ret", "Ret", True), ("ret9", "ret9", False), ("a  ", "a ", False), ("%x = TAIL\tcall ", "%x = TAIL\tcall", True), ("!ret", "!ret", False), ("invoKe x", "invoKe x", False), ("ret ", "ret ", True)]
+    df = spark.createDataFrame(rows, "line string, want string, hit boolean").select("*", trimmed(F.col("line")).alias("t"))
+    assert [(r["t"], r["i"]) for r in df.withColumn("i", is_instruction(F.col("t"))).collect()] == [(w, h) for _, w, h in rows]
