@@ -9,6 +9,10 @@ Rounds: the centres of all open fits stand in one matrix. A task measures its ro
 sends one mean, count and cost per centre, however many rows it has; Spark merges these. A fit whose centres no longer
 move is closed with the centres and the cost of that very scan and leaves the matrix. Fits share a scan while their
 centres take up no more than a block (``BLOCK_BYTES``); beyond that a round takes one scan per block.
+
+Scans are many, so each is kept cheap: vectors are kept as the bytes of their doubles, which reach a task as they are and
+not number by number, in memory as far as there is room, and the means of the tasks are merged in as few tasks as their
+size asks for.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -29,6 +35,8 @@ from nearfold.session import spread, staged
 
 #: Drawing steps of the candidate pools, and most of them when a pool is still smaller than k.
 STEPS, MOST_STEPS = 2, 12
+#: Bytes of centres merged in one task.
+MERGE_BYTES = 256 * 1024
 #: Movement below which a centre counts as unmoved; sums differ by rounding with the order of tasks.
 STILL = 1e-9
 
@@ -60,8 +68,31 @@ def _least(x: np.ndarray, matrix: np.ndarray, at: Sequence[int]) -> Iterator[tup
             yield part, tile, label + a, squares[np.arange(len(label)), label + a]
 
 
+def _packed(vectors: DataFrame) -> DataFrame:
+    """(key, embedding), each vector as the bytes of its doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) * flat.itemsize
+            bounds = np.concatenate(([0], ends)).astype(np.int32)
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            buffers = [pa.py_buffer(np.packbits(known, bitorder="little")), pa.py_buffer(bounds), pa.py_buffer(flat)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(column), buffers)], ["key", "embedding"])
+
+    return vectors.mapInArrow(run, "key long, embedding binary")
+
+
 def _vectors(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    return _matrix(batch.column(batch.schema.get_field_index("embedding")), dim)
+    column = batch.column(batch.schema.get_field_index("embedding"))
+    width = 8 * dim
+    if column.null_count or (pc.binary_length(column).to_numpy() != width).any():
+        raise ValueError(f"every vector must have {dim} dimensions")
+    if not len(column):
+        return np.empty((0, dim))
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], np.float64, len(fixed) * dim, fixed.offset * width).reshape(-1, dim)
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -120,6 +151,20 @@ def _drawn(vectors: DataFrame, pools: list[np.ndarray], costs: list[float], seed
     return [np.unique(np.concatenate((pool, new[part == i])), axis=0) if (part == i).any() else pool for i, pool in enumerate(pools)]
 
 
+def _summed(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and sum of the rows per label below k."""
+    members = np.bincount(label, minlength=k)
+    if k <= x.shape[1]:
+        # With few labels a product with 0s and 1s takes less than bringing the rows into order.
+        marks = np.zeros((len(x), k))
+        marks[np.arange(len(x)), label] = 1.0
+        return members, marks.T @ x
+    found, sums = np.flatnonzero(members), np.zeros((k, x.shape[1]))
+    if len(found):
+        sums[found] = np.add.reduceat(x[np.argsort(label, kind="stable")], (np.cumsum(members) - members)[found], axis=0)
+    return members, sums
+
+
 def _scan(vectors: DataFrame, parts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
     """One pass: members, their mean and the cost, per part of stacked centres. Centres without members keep their place."""
     matrix, at = _stack(parts)
@@ -131,14 +176,14 @@ def _scan(vectors: DataFrame, parts: list[np.ndarray]) -> tuple[list[np.ndarray]
         for batch in batches:
             x = _vectors(batch, matrix.shape[1])
             for part, tile, label, squares in _least(x, matrix, at):
-                order = np.argsort(label, kind="stable")
-                found, first, n = np.unique(label[order], return_index=True, return_counts=True)
-                if len(found):
-                    sums[found] += np.add.reduceat(x[tile][order], first, axis=0)
-                    members[found] += n
-                    costs[at[part]] += squares.sum()
-        used = np.flatnonzero((members > 0) | (costs > 0))
-        means = sums[used] / np.maximum(members[used], 1)[:, None]
+                a, b = at[part : part + 2]
+                n, total = _summed(x[tile], label - a, b - a)
+                sums[a:b] += total
+                members[a:b] += n
+                # With a centre that has members, as only these are sent.
+                costs[a + n.argmax()] += squares.sum()
+        used = np.flatnonzero(members)
+        means = sums[used] / members[used][:, None]
         bounds = np.arange(0, means.size + 1, matrix.shape[1], dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(members[used]), pa.array(costs[used]), pa.ListArray.from_arrays(bounds, pa.array(means.ravel()))],
@@ -146,6 +191,7 @@ def _scan(vectors: DataFrame, parts: list[np.ndarray]) -> tuple[list[np.ndarray]
         )
 
     partial = vectors.mapInArrow(run, "centre long, n long, cost double, mean array<double>")
+    partial = partial.repartition(1 + matrix.nbytes // MERGE_BYTES, "centre")
     mean = vector_to_array(Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double")))
     # As many rows as there are centres in the matrix, which fits one block.
     table = partial.groupBy("centre").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), mean.alias("mean")).toArrow()
@@ -177,7 +223,7 @@ def _started(vectors: DataFrame, models: Sequence[tuple[int, int]]) -> list[Fit]
     seeds = sorted({seed for _, seed in models})
     most = max(k for k, _ in models)
     firsts = vectors.agg(*[F.min_by("embedding", F.xxhash64("key", F.lit(seed))).alias(f"s{i}") for i, seed in enumerate(seeds)]).head()
-    pools = [np.array([first], dtype=np.float64) for first in firsts]
+    pools = [np.frombuffer(first, dtype=np.float64)[None] for first in firsts]
     for step in range(MOST_STEPS):
         if step >= STEPS and min(map(len, pools)) >= most:
             break
@@ -208,11 +254,19 @@ def fit_models(vectors: DataFrame, models: Sequence[tuple[int, int]], max_iter:
 
     A fit ends when no centre moves by more than ``tol``, or after ``max_iter`` rounds.
     """
-    narrow = staged(vectors.select(F.xxhash64("id").alias("key"), as_doubles(F.col("embedding")).alias("embedding")), "fit-vectors")
+    narrow = staged(_packed(vectors.select(F.xxhash64("id").alias("key"), as_doubles(F.col("embedding")).alias("embedding"))), "fit-vectors")
     wide = spread(narrow)
     if wide is not narrow:
         narrow = staged(wide, "fit-vectors")
-    fits = _started(narrow, models)
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _settled(narrow, _started(narrow, models), max_iter, tol)
+    finally:
+        narrow.unpersist()
+
+
+def _settled(narrow: DataFrame, fits: list[Fit], max_iter: int, tol: float) -> list[Fit]:
+    """The fits after their last rounds."""
     open_ = fits
     while open_:
         for wave in _waves(open_):

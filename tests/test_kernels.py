@@ -114,3 +114,49 @@ def test_fits_keep_rare_far_rows(spark):
     x = np.vstack([RNG.normal(size=(2_000, 3)), RNG.normal(size=(2, 3)) + 500.0])
     best = min(ft.fit_models(vectors(spark, x), [(3, s) for s in range(3)]), key=lambda f: f.cost)
     assert best.cost < cost_of(x, x[:3]) / 10
+
+
+def test_scans_move_bytes_and_let_go(spark, monkeypatch):
+    """Rounds read vectors as bytes from memory, merge few centres in one task, and leave nothing in memory behind."""
+    x = cloud(300, 4, "clustered")
+    seen = []
+    scan = ft._scan
+    monkeypatch.setattr(ft, "_scan", lambda v, parts: seen.append((v, v.schema["embedding"].dataType.typeName(), v.storageLevel.useMemory)) or scan(v, parts))
+    ft.fit_models(vectors(spark, x), [(2, 1), (4, 1)])
+    assert {(kind, held) for _, kind, held in seen} == {("binary", True)}
+    assert not seen[0][0].storageLevel.useMemory
+
+
+def test_scan_with_an_empty_first_centre(spark):
+    x = cloud(50, 3, "clustered")
+    rows = ft._packed(vectors(spark, x).selectExpr("xxhash64(id) AS key", "embedding"))
+    far = np.full((1, 3), 1e6)
+    members, means, costs = ft._scan(rows, [np.vstack([far, x[:1]]), np.vstack([x[:1], far])])
+    assert [m.tolist() for m in members] == [[0, 50], [50, 0]]
+    assert np.array_equal(means[0][0], far[0]) and np.allclose(means[0][1], x.mean(0)) and np.allclose(means[1][0], x.mean(0))
+    assert costs == pytest.approx([cost_of(x, x[:1])] * 2)
+
+
+def test_sums_by_marks_are_those_by_order():
+    x, label = cloud(400, 5, "clustered"), RNG.integers(0, 5, 400)
+    label[label == 3] = 4
+    few, many = ft._summed(x, label, 5), ft._summed(x, label, 90)
+    assert few[0].tolist() == many[0][:5].tolist() == np.bincount(label, minlength=5).tolist() and not many[0][5:].any()
+    for j in range(5):
+        assert np.allclose(few[1][j], x[label == j].sum(0)) and np.allclose(many[1][j], x[label == j].sum(0))
+    assert not many[1][5:].any()
+
+
+def test_packed_vectors_come_back(spark):
+    rows = [(1, [1.5, -2.0]), (2, [float("inf"), 0.0]), (3, [0.25, 1e-300])]
+    packed = ft._packed(spark.createDataFrame(rows, "key long, embedding array<double>").coalesce(1)).toArrow()
+    batch = packed.combine_chunks().to_batches()[0]
+    assert ft._vectors(batch, 2).tolist() == [v for _, v in rows]
+    assert ft._vectors(batch.slice(1, 2), 2).tolist() == [v for _, v in rows[1:]]
+    assert ft._vectors(batch.slice(3), 2).shape == (0, 2)
+    with pytest.raises(ValueError):
+        ft._vectors(batch, 3)
+    for odd in ([1.0], None):
+        bad = ft._packed(spark.createDataFrame([(1, [1.0, 2.0]), (2, odd)], "key long, embedding array<double>").coalesce(1)).toArrow()
+        with pytest.raises(ValueError):
+            ft._vectors(bad.combine_chunks().to_batches()[0], 2)
